@@ -18,6 +18,10 @@ from .pagerank import personalized_pagerank
 GRAPH_WEIGHT = 0.5
 RESCUE_FLOOR = 0.15
 
+# Distributed sums differ in their last bits from run to run.  Scores are cut
+# to this many places so that equal scores stay equal and ranks repeatable.
+SCORE_PLACES = 9
+
 HIT_COLUMNS = ["kind", "title", "pointer", "snippet", "related", "scope", "score", "coverage", "coverage_strong"]
 
 
@@ -51,11 +55,11 @@ def blend(scored: lexical.Scored, pr: DataFrame | None, by: list[str]) -> DataFr
         top = F.lit(best)
     keep = ["id", *by, *LABELS]
     if pr is None:
-        return hits.select(*keep, (F.col("lex") / top).alias("score"), "coverage", "coverage_strong")
+        return hits.select(*keep, F.round(F.col("lex") / top, SCORE_PLACES).alias("score"), "coverage", "coverage_strong")
     ranks = pr.select("id", "pr")
     lexical_part = hits.join(ranks, "id", "left").select(
         *keep,
-        (F.col("lex") / top + GRAPH_WEIGHT * F.coalesce("pr", F.lit(0.0))).alias("score"),
+        F.round(F.col("lex") / top + GRAPH_WEIGHT * F.coalesce("pr", F.lit(0.0)), SCORE_PLACES).alias("score"),
         "coverage", "coverage_strong",
     )
     rescued = rescue(scored, ranks, by)
@@ -67,7 +71,7 @@ def rescue(scored: lexical.Scored, ranks: DataFrame, by: list[str]) -> DataFrame
     central = ranks.where(F.col("pr") >= RESCUE_FLOOR).join(scored.hits.select("id"), "id", "left_anti")
     rows = scored.matches.join(central, "id")
     covered = lexical.coverage_of(rows, scored.stats, by)
-    return rows.select("id", *by, *LABELS, (GRAPH_WEIGHT * F.col("pr")).alias("score")).join(
+    return rows.select("id", *by, *LABELS, F.round(GRAPH_WEIGHT * F.col("pr"), SCORE_PLACES).alias("score")).join(
         covered.drop(*by), "id")
 
 

@@ -32,8 +32,12 @@ def body_of(docs: DataFrame) -> Column:
 # query-time reduction of documents
 
 
+def _count(hits: Column, term: str) -> Column:
+    return F.size(F.filter(hits, lambda x: x == term))
+
+
 def _tf(hits: Column, terms: list[str]) -> Column:
-    return F.array(*[F.size(F.filter(hits, lambda x, t=t: x == t)) for t in terms])
+    return F.array(*[_count(hits, t) for t in terms])
 
 
 def _has(hits: Column, terms: list[str]) -> Column:

@@ -20,7 +20,7 @@ LITERAL_SCOPES = 500
 def prefixes(path: Column) -> Column:
     """All segment prefixes of a path, shortest first: a, a/b, a/b/c."""
     parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.substring_index(path, "/", i))
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
 
 
 def with_scope(df: DataFrame, scopes: list[str] | DataFrame, path: str = "path", out: str = "scope") -> DataFrame:

@@ -4,6 +4,6 @@ from .registry import QUERIES, Query
 
 
 def all_queries() -> dict[str, Query]:
-    from . import text_queries  # noqa: F401
+    from . import graph_queries, text_queries  # noqa: F401
 
     return dict(QUERIES)

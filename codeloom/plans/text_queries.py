@@ -12,7 +12,7 @@ from ..sources import tables as S
 from . import sqltext as Q
 from .registry import query
 
-DOC_QUERY = "attion thanedble retion elle mit"
+DOC_QUERY = "attion la elle mit"
 PART_QUERY = "red widget economy"
 
 
@@ -208,7 +208,7 @@ def scope_gate_also_matched(spark, sf):
 
 def rrf_sql(k: int) -> str:
     return f"""
-kept AS (SELECT h.lang AS scope, h.id, h.lex / max(h.lex) OVER (PARTITION BY h.lang) AS score
+kept AS (SELECT h.lang AS scope, h.id, round(h.lex / max(h.lex) OVER (PARTITION BY h.lang), 9) AS score
          FROM lx_hits h JOIN best b ON b.lang = h.lang AND (b.coverage_strong >= 0.1 OR b.coverage >= 0.5)),
 ranked AS (SELECT scope, id, 1.0 / (60 + row_number() OVER (PARTITION BY scope ORDER BY score DESC, id)) AS s FROM kept),
 fused AS (SELECT id, scope, s / max(s) OVER () AS score FROM ranked)
