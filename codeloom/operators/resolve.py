@@ -44,12 +44,12 @@ def resolve_names(asked: DataFrame, nodes: DataFrame, kinds: list[str]) -> DataF
 
 def own_name(id_: Column) -> Column:
     """Last name segment of an id."""
-    return F.element_at(F.split(F.substring_index(id_, "#", -1), r"\."), -1)
+    return F.element_at(F.split(F.substring(id_, F.instr(id_, "#") + 1, F.length(id_)), r"\."), -1)
 
 
 def owner_methods(nodes: DataFrame) -> DataFrame:
     """Methods by the last two segments of their id: (owner, name, id, path, ord)."""
-    parts = F.split(F.expr("substring(id, instr(id, '#') + 1)"), r"\.")
+    parts = F.split(F.substring("id", F.instr("id", "#") + 1, F.length("id")), r"\.")
     return (
         nodes.where((F.col("kind") == "method") & (F.size(parts) >= 2))
         .select(F.element_at(parts, -2).alias("owner"), F.element_at(parts, -1).alias("name"), "id", "path", "ord")
@@ -196,7 +196,7 @@ def resolve_go_imports(imports: DataFrame, nodes: DataFrame, modules: DataFrame)
         .groupBy("file", "specifier")
         .agg(F.max_by(F.struct("module", "dir"), F.length("module")).alias("m"))
     )
-    sub = F.expr("substring(specifier, length(m.module) + 2)")
+    sub = F.substring("specifier", F.length("m.module") + 2, F.length("specifier"))
     located = owned.select(
         "file", "specifier", normalize_path(F.concat_ws("/", F.col("m.dir"), sub)).alias("pkg"))
     first_file = (
