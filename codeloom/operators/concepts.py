@@ -186,14 +186,15 @@ def orphan_notes(existing: DataFrame, concepts: DataFrame) -> DataFrame:
     return existing.join(concepts.select("slug"), "slug", "left_anti")
 
 
-def tree_digest(files: DataFrame, buckets: int = 4096) -> DataFrame:
+def tree_digest(files: DataFrame, digits: int = 3) -> DataFrame:
     """One digest over all (path, hash), folded in two levels.
 
     Lines are digested per hash bucket of the path and the bucket digests are
-    digested in turn, so no task ever sees the whole list.
+    digested in turn, so no task ever sees the whole list.  More ``digits``
+    mean more and smaller buckets.
     """
-    bucket = F.pmod(F.xxhash64("path"), F.lit(buckets))
+    bucket = F.substring(X.content_hash(F.col("path")), 1, digits)
     line = F.concat_ws(":", "path", "hash")
     per = files.groupBy(bucket.alias("bucket")).agg(X.digest(F.collect_list(line)).alias("d"), F.count("*").alias("n"))
-    entry = F.concat_ws(":", F.col("bucket").cast("string"), "d")
+    entry = F.concat_ws(":", "bucket", "d")
     return per.agg(X.digest(F.collect_list(entry)).alias("digest"), F.sum("n").alias("files"))

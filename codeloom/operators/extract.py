@@ -100,13 +100,32 @@ def tokens(files: DataFrame) -> DataFrame:
 # definitions
 
 _NOT_METHODS = ["if", "for", "while", "switch", "catch", "function", "return", "with", "new", "super", "await", "typeof"]
+_MODIFIERS = ["abstract", "async", "static", "get", "set", "public", "private", "protected", "override", "readonly", "declare"]
 _BEFORE_METHOD = ["{", "}", ";", ",", "async", "static", "get", "set", "public", "private", "protected", "override", "*", ")"]
 
 
+# Stands for a token past the end of the file.
+FAR = 2**31 - 1
+
+
+def _tails(toks: DataFrame) -> DataFrame:
+    """The token before each position: (path, limit, end_seq, end_line, end_off)."""
+    return toks.select("path", F.coalesce("after_seq", F.lit(FAR)).alias("limit"), F.col("seq").alias("end_seq"), "end_line", "end_off")
+
+
 def _is(c: str) -> Column:
     return F.col(c).rlike(IDENT)
 
 
+def _shape(kind: str, name: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+
+
+def _method(name: Column, recv: Column, var: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(name.alias("name"), recv.alias("recv"), (none if var is None else var).alias("var"))
+
+
 def _ends(toks: DataFrame) -> DataFrame:
     """Closing bracket of every opening one: (path, open, close, close_line, close_off)."""
     w = Window.partitionBy("path", "level").orderBy("seq")
@@ -123,14 +142,17 @@ def _ts_definitions(toks: DataFrame, ends: DataFrame) -> DataFrame:
     has_body = F.col("brace").isNotNull() & (F.col("semi").isNull() | (F.col("brace") < F.col("semi")))
     fresh = F.coalesce(p1, F.lit("")) != "."
     word = (
-        F.when((t == "class") & _is("n1") & ~n1.isin("extends", "implements"), F.struct(F.lit("class").alias("kind"), n1.alias("name")))
-        .when((t == "interface") & _is("n1") & n2.isin("{", "extends", "<"), F.struct(F.lit("interface"), n1))
-        .when((t == "enum") & _is("n1") & (n2 == "{"), F.struct(F.lit("enum"), n1))
-        .when((t == "function") & _is("n1") & n2.isin("(", "<"), F.struct(F.lit("function"), n1))
-        .when((t == "function") & (n1 == "*") & _is("n2"), F.struct(F.lit("function"), n2))
+        F.when((t == "class") & _is("n1") & ~n1.isin("extends", "implements"), _shape("class", n1))
+        .when((t == "interface") & _is("n1") & n2.isin("{", "extends", "<"), _shape("interface", n1))
+        .when((t == "enum") & _is("n1") & (n2 == "{"), _shape("enum", n1))
+        .when((t == "function") & _is("n1") & n2.isin("(", "<"), _shape("function", n1))
+        .when((t == "function") & (n1 == "*") & _is("n2"), _shape("function", n2))
     )
+    begin = (
+        F.when(p1.isin(*_MODIFIERS) & F.col("p2").isin(*_MODIFIERS), F.col("before_off2"))
+        .when(p1.isin(*_MODIFIERS), F.col("before_off")).otherwise(F.col("start_off")).alias("start_off"))
     blocks = toks.where(fresh & has_body).withColumn("d", word).where(F.col("d").isNotNull()).select(
-        "path", "seq", "line", "start_off", F.col("d.kind").alias("kind"), F.col("d.name").alias("name"), F.col("brace").alias("open"))
+        "path", "seq", "line", begin, F.col("d.kind").alias("kind"), F.col("d.name").alias("name"), F.col("brace").alias("open"))
 
     calls = toks.where(_is("tok") & (n1 == "(") & ~t.isin(*_NOT_METHODS) & (p1.isin(*_BEFORE_METHOD) | F.col("bol")))
     opens = ends.select("path", (F.col("open") - 0).alias("paren"), "after_close", "brace_after", "semi_after")
@@ -138,7 +160,7 @@ def _ts_definitions(toks: DataFrame, ends: DataFrame) -> DataFrame:
         (F.col("after_close") == "{")
         | ((F.col("after_close") == ":") & F.col("brace_after").isNotNull()
            & (F.col("semi_after").isNull() | (F.col("brace_after") < F.col("semi_after"))))
-    ).select("path", "seq", "line", "start_off", F.lit("method").alias("kind"), t.alias("name"), F.col("brace_after").alias("open"))
+    ).select("path", "seq", "line", begin, F.lit("method").alias("kind"), t.alias("name"), F.col("brace_after").alias("open"))
     defs = blocks.unionByName(methods)
     closed = defs.join(ends.select("path", "open", "close", "close_line", "close_off", "open_off"), ["path", "open"])
     body = closed.select(
@@ -151,7 +173,7 @@ def _ts_definitions(toks: DataFrame, ends: DataFrame) -> DataFrame:
     declared = toks.withColumns({
         "eq": F.first(F.when(t == "=", eq), ignorenulls=True).over(value),
         "arrow": F.first(F.when(t == "=>", F.struct("seq", "n1", "after_seq", "start_off")), ignorenulls=True).over(value),
-        "stop": F.least(F.coalesce("semi", F.lit(2**31 - 1)), F.coalesce("shut_up", F.lit(2**31 - 1))),
+        "stop": F.least(F.coalesce("semi", F.lit(FAR)), F.coalesce("shut_up", F.lit(FAR))),
     }).where(p1.isin("const", "let", "var") & _is("tok") & n1.isin("=", ":") & F.col("eq").isNotNull() & (F.col("eq.seq") < F.col("stop")))
     first = F.when(F.col("eq.n1") == "async", F.col("eq.second")).otherwise(F.col("eq.first"))
     lead = F.when(F.col("eq.n1") == "async", F.col("eq.n2")).otherwise(F.col("eq.n1"))
@@ -166,28 +188,21 @@ def _ts_definitions(toks: DataFrame, ends: DataFrame) -> DataFrame:
     fns = maybe.where(by_arrow | by_word).withColumn(
         "open", F.when(by_word, F.col("brace")).when(F.col("arrow.n1") == "{", F.col("arrow.after_seq")))
     fns = fns.join(ends.select("path", "open", "close", "close_line", "close_off", "open_off"), ["path", "open"], "left")
-    last = toks.select("path", F.col("seq").alias("tail"), F.col("end_line").alias("tail_line"), F.col("end_off").alias("tail_off"))
-    limit = F.least(F.col("stop"), F.coalesce("new_line", F.lit(2**31 - 1)))
-    short = fns.where(F.col("open").isNull()).withColumn("limit", limit)
-    short = short.join(last, "path").where(F.col("tail").between(F.col("seq"), F.col("limit") - 1)).groupBy(
-        "path", "seq", "line", "start_off", "name").agg(
-        F.first("arrow.start_off").alias("header_off"), F.max(F.struct("tail", "tail_line", "tail_off")).alias("e"))
+    limit = F.least(F.col("stop"), F.coalesce("new_line", F.lit(FAR)))
+    short = fns.where(F.col("open").isNull()).withColumn("limit", limit).join(_tails(toks), ["path", "limit"])
     arrows = fns.where(F.col("open").isNotNull()).select(
         "path", "seq", "line", "start_off", F.lit("function").alias("kind"), "name", F.col("open_off").alias("header_off"),
         F.col("close").alias("end_seq"), F.col("close_line").alias("end_line"), F.col("close_off").alias("end_off"),
     ).unionByName(short.select(
-        "path", "seq", "line", "start_off", F.lit("function").alias("kind"), "name", "header_off",
-        F.col("e.tail").alias("end_seq"), F.col("e.tail_line").alias("end_line"), F.col("e.tail_off").alias("end_off")))
+        "path", "seq", "line", "start_off", F.lit("function").alias("kind"), "name", F.col("arrow.start_off").alias("header_off"),
+        "end_seq", "end_line", "end_off"))
 
     # type Name = …
     alias = toks.where((t == "type") & _is("n1") & n2.isin("=", "<") & fresh & ~F.coalesce(p1, F.lit("")).isin("import", ","))
-    alias = alias.withColumn("limit", F.least(F.coalesce(F.col("semi"), F.lit(2**31 - 1)), F.coalesce("new_line", F.lit(2**31 - 1))))
-    alias = alias.select("path", "seq", "line", "start_off", n1.alias("name"), "limit").join(last, "path").where(
-        F.col("tail").between(F.col("seq"), F.col("limit") - 1)).groupBy("path", "seq", "line", "start_off", "name").agg(
-        F.max(F.struct("tail", "tail_line", "tail_off")).alias("e"))
-    types = alias.select(
-        "path", "seq", "line", "start_off", F.lit("type").alias("kind"), "name", (F.col("e.tail_off") + 1).alias("header_off"),
-        F.col("e.tail").alias("end_seq"), F.col("e.tail_line").alias("end_line"), F.col("e.tail_off").alias("end_off"))
+    limit = F.least(F.coalesce("semi", F.lit(FAR)), F.coalesce("new_line", F.lit(FAR)), F.coalesce("shut_up", F.lit(FAR)))
+    types = alias.withColumn("limit", limit).drop("end_line", "end_off").join(_tails(toks), ["path", "limit"]).select(
+        "path", "seq", "line", "start_off", F.lit("type").alias("kind"), n1.alias("name"), (F.col("end_off") + 1).alias("header_off"),
+        "end_seq", "end_line", "end_off")
     return body.unionByName(arrows).unionByName(types).withColumns({
         "receiver": F.lit(None).cast("string"), "receiver_var": F.lit(None).cast("string")})
 
@@ -202,12 +217,9 @@ def _py_definitions(toks: DataFrame, ends: DataFrame) -> DataFrame:
     dedents = starts.select("path", "seq", "indent").join(levels, "path").where(F.col("indent") <= F.col("deep"))
     w = Window.partitionBy("path", "deep").orderBy("seq")
     after = dedents.withColumn("next_seq", F.lead("seq").over(w)).where(F.col("indent") == F.col("deep")).select("path", "seq", "next_seq")
-    tail = toks.select("path", (F.col("seq")).alias("end_seq"), F.col("end_line"), F.col("end_off"), F.col("after_seq").alias("next_seq"))
     found = head.join(after, ["path", "seq"]).select(
         "path", "seq", "line", "start_off", "name", F.when(t == "class", "class").otherwise("function").alias("kind"), "colon", "next_seq")
-    closed = found.where(F.col("next_seq").isNotNull()).join(tail.where(F.col("next_seq").isNotNull()), ["path", "next_seq"])
-    at_end = found.where(F.col("next_seq").isNull()).drop("next_seq").join(tail.where(F.col("next_seq").isNull()).drop("next_seq"), "path")
-    both = closed.drop("next_seq").unionByName(at_end)
+    both = found.withColumn("limit", F.coalesce("next_seq", F.lit(FAR))).join(_tails(toks), ["path", "limit"])
     return both.select(
         "path", "seq", "line", "start_off", "kind", "name", F.coalesce("colon.after_off", "end_off").alias("header_off"),
         "end_seq", "end_line", "end_off", F.lit(None).cast("string").alias("receiver"), F.lit(None).cast("string").alias("receiver_var"))
@@ -217,12 +229,12 @@ def _go_definitions(toks: DataFrame, ends: DataFrame) -> DataFrame:
     t = F.col("tok")
     n = [None, *[F.col(f"n{i}") for i in range(1, 8)]]
     # func ( v * T ) Name  |  func ( v T ) Name  |  func ( * T ) Name  |  func ( T ) Name
-    shape = F.when(n[1] != "(", F.struct(n[1].alias("name"), F.lit(None).cast("string").alias("recv"), F.lit(None).cast("string").alias("var")))
     shape = (
-        shape.when((n[3] == "*") & (n[5] == ")"), F.struct(n[6], n[4], n[2]))
-        .when((n[2] == "*") & (n[4] == ")"), F.struct(n[5], n[3], F.lit(None).cast("string")))
-        .when(n[4] == ")", F.struct(n[5], n[3], n[2]))
-        .when(n[3] == ")", F.struct(n[4], n[2], F.lit(None).cast("string")))
+        F.when(n[1] != "(", _method(n[1], F.lit(None).cast("string")))
+        .when((n[3] == "*") & (n[5] == ")"), _method(n[6], n[4], n[2]))
+        .when((n[2] == "*") & (n[4] == ")"), _method(n[5], n[3]))
+        .when(n[4] == ")", _method(n[5], n[3], n[2]))
+        .when(n[3] == ")", _method(n[4], n[2]))
     )
     # a body opens on the line its signature ends on, so it stands before the next line of the same level
     bodied = F.col("brace").isNotNull() & (F.col("new_line").isNull() | (F.col("brace") < F.col("new_line")))
@@ -238,10 +250,10 @@ def _go_definitions(toks: DataFrame, ends: DataFrame) -> DataFrame:
     single = toks.where((t == "type") & F.col("bol") & _is("n1"))
     single = single.select("path", F.col("after_seq").alias("seq"), "line", (F.col("start_off") + 5).alias("start_off"),
                            shaped(n[2]).alias("kind"), n[1].alias("name"), "brace", "new_line", F.col("after_off2").alias("shape_off"))
-    groups = toks.where((t == "type") & (n[1] == "(")).select("path", F.col("after_seq").alias("open")).join(
-        ends.select("path", "open", "close"), ["path", "open"])
-    inside = toks.where(F.col("bol") & _is("tok") & (F.col("level") == 1)).join(groups, "path").where(
-        F.col("seq").between(F.col("open"), F.col("close"))
+    # a name on the first level stands in the last bracket opened on level zero
+    outer = F.last(F.when((F.col("level") == 0) & t.isin(*OPEN), F.col("p1")), ignorenulls=True).over(BEFORE)
+    inside = toks.withColumn("outer", outer).where(
+        F.col("bol") & _is("tok") & (F.col("level") == 1) & (F.col("outer") == "type")
     ).select("path", "seq", "line", "start_off", shaped(n[1]).alias("kind"), t.alias("name"), "brace", "new_line", F.col("after_off").alias("shape_off"))
     named = single.unionByName(inside)
     blocky = named.where(F.col("kind") != "type").select(
@@ -261,15 +273,18 @@ def _go_definitions(toks: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def _linked(toks: DataFrame) -> DataFrame:
-    """Add the positions of the following tokens and a few look-aheads."""
+    """Add the positions of following tokens and of the bracket that closes around each."""
     ahead = Window.partitionBy("path", "level").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    return toks.withColumns({
+    near = toks.withColumns({
         "after": F.lead("tok").over(FILE_WINDOW), "after_seq": F.lead("seq").over(FILE_WINDOW),
         "after_seq2": F.lead("seq", 2).over(FILE_WINDOW), "after_off": F.lead("start_off").over(FILE_WINDOW),
         "after_off2": F.lead("start_off", 2).over(FILE_WINDOW),
-        # the bracket that closes around a token stands one level up
-        "shut_up": F.lit(None).cast("int"),
+        "before_off": F.lag("start_off").over(FILE_WINDOW), "before_off2": F.lag("start_off", 2).over(FILE_WINDOW),
     }).withColumn("colon", F.first(F.when(F.col("tok") == ":", F.struct("seq", "after_off")), ignorenulls=True).over(ahead))
+    # the bracket around a token closes one level up: it joins that token's level as a mark
+    marks = near.where(F.col("tok").isin(*CLOSE)).select("path", "seq", (F.col("level") + 1).alias("level"), F.col("seq").alias("mark"))
+    both = near.withColumn("mark", F.lit(None).cast("int")).unionByName(marks, allowMissingColumns=True)
+    return both.withColumn("shut_up", F.first("mark", ignorenulls=True).over(ahead)).where(F.col("mark").isNull()).drop("mark")
 
 
 def enclosing(points: DataFrame, defs: DataFrame) -> DataFrame:

@@ -464,7 +464,10 @@ def sources_digest(spark, sf):
     return c.groupBy("conv_id").agg(X.digest(F.collect_list(line)).alias("digest"))
 
 
-@query("tree_digest")
+@query("tree_digest", f"""WITH {RECORDED}, b AS (
+  SELECT substring(sha256(path), 1, 3) AS bucket, count(*) AS n,
+         sha256(string_agg(path || ':' || hash, chr(10) ORDER BY path || ':' || hash)) AS d FROM present GROUP BY 1)
+SELECT sha256(string_agg(bucket || ':' || d, chr(10) ORDER BY bucket || ':' || d)) AS digest, sum(n)::BIGINT AS files FROM b""")
 def tree_digest(spark, sf):
     """One digest over all documents, folded in two levels."""
     return C.tree_digest(present(spark, sf))
@@ -504,12 +507,12 @@ def dangling(spark, sf):
 # sessions
 
 SEEN = """
-ev AS (SELECT user_id AS session, event_id AS at, event_type || regexp_extract(props, '(\\d+)', 1) AS pointer,
+ev AS (SELECT user_id AS session, event_id AS step, event_type || regexp_extract(props, '(\\d+)', 1) AS pointer,
               row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
 walked AS (
-  SELECT session, n, at, pointer, true AS fresh, [pointer] AS seen FROM ev WHERE n = 1
+  SELECT session, n, step, pointer, true AS fresh, [pointer] AS seen FROM ev WHERE n = 1
   UNION ALL
-  SELECT e.session, e.n, e.at, e.pointer, NOT list_contains(w.seen, e.pointer),
+  SELECT e.session, e.n, e.step, e.pointer, NOT list_contains(w.seen, e.pointer),
          CASE WHEN list_contains(w.seen, e.pointer) THEN w.seen
               ELSE list_append(w.seen, e.pointer)[greatest(len(w.seen) + 1 - 39, 1):] END
   FROM walked w JOIN ev e ON e.session = w.session AND e.n = w.n + 1)"""
@@ -517,23 +520,23 @@ walked AS (
 
 def shown(spark, sf):
     return S.table(spark, sf, "events").select(
-        F.col("user_id").alias("session"), F.col("event_id").alias("at"),
+        F.col("user_id").alias("session"), F.col("event_id").alias("step"),
         F.concat("event_type", F.regexp_extract("props", r"(\d+)", 1)).alias("pointer"))
 
 
-@query("novelty_dedup", f"WITH RECURSIVE {SEEN} SELECT session, at, pointer FROM walked WHERE fresh")
+@query("novelty_dedup", f"WITH RECURSIVE {SEEN} SELECT session, step, pointer FROM walked WHERE fresh")
 def novelty(spark, sf):
     """Pointers a session does not remember among its last forty."""
     return SS.fresh_pointers(shown(spark, sf))
 
 
-@query("novelty_stream", f"WITH RECURSIVE {SEEN} SELECT session, at, pointer FROM walked WHERE fresh")
+@query("novelty_stream", f"WITH RECURSIVE {SEEN} SELECT session, step, pointer FROM walked WHERE fresh")
 def novelty_stream(spark, sf):
     """The same gate as a stream over the events file."""
     events = S.table(spark, sf, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     rows = stream.select(
-        F.col("user_id").alias("session"), F.col("event_id").alias("at"),
+        F.col("user_id").alias("session"), F.col("event_id").alias("step"),
         F.concat("event_type", F.regexp_extract("props", r"(\d+)", 1)).alias("pointer"))
     return drain(spark, SS.novelty_stream(rows), "novelty")
 
@@ -576,12 +579,12 @@ def accumulate(spark, sf):
 
 
 @query("session_nudges", """
-SELECT user_id AS session, event_id AS at, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nudge
+SELECT user_id AS session, event_id AS step, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nudge
 FROM events WHERE event_type = 'error' QUALIFY nudge <= 2""")
 def session_nudges(spark, sf):
     weak = S.table(spark, sf, "events").where("event_type = 'error'").select(
-        F.col("user_id").alias("session"), F.col("event_id").alias("at"))
-    return SS.nudges(weak, [F.col("at")]).select("session", "at", F.col("nudge").cast("long").alias("nudge"))
+        F.col("user_id").alias("session"), F.col("event_id").alias("step"))
+    return SS.nudges(weak, [F.col("step")]).select("session", "step", F.col("nudge").cast("long").alias("nudge"))
 
 
 @query("session_scope_hint", f"""WITH {Q.DOCS},

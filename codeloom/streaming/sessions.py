@@ -36,20 +36,20 @@ def nudges(weak: DataFrame, order: list[Column], cap: int = NUDGES) -> DataFrame
 
 
 def fresh_pointers(shown: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
-    """Rows (session, at, pointer) whose pointer the session does not remember.
+    """Rows (session, step, pointer) whose pointer the session does not remember.
 
     A session remembers the last ``remembered`` pointers it was shown.  Where
     it meets no more distinct pointers than that, a pointer is fresh exactly
     once, which is a plain aggregate at any size.  Only the other sessions are
     replayed in order; they stream through with the short list as their state.
     """
-    firsts = materialize(shown.groupBy("session", "pointer").agg(F.min("at").alias("at")))
+    firsts = materialize(shown.groupBy("session", "pointer").agg(F.min("step").alias("step")))
     busy = broadcast_if_small(
         firsts.groupBy("session").agg(F.count("*").alias("n")).where(F.col("n") > remembered).select("session"))
-    calm = firsts.join(busy, "session", "left_anti").select("session", "at", "pointer")
+    calm = firsts.join(busy, "session", "left_anti").select("session", "step", "pointer")
     replayed = (
-        shown.join(busy, "session", "left_semi").select("session", "at", "pointer")
-        .repartition("session").sortWithinPartitions("session", "at", "pointer")
+        shown.join(busy, "session", "left_semi").select("session", "step", "pointer")
+        .repartition("session").sortWithinPartitions("session", "step", "pointer")
         .mapInPandas(lambda it: _replay(it, remembered), schema=_schema_of(shown))
     )
     return calm.unionByName(replayed)
@@ -57,7 +57,7 @@ def fresh_pointers(shown: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
 
 def _schema_of(shown: DataFrame) -> T.StructType:
     kinds = {f.name: f.dataType for f in shown.schema.fields}
-    return T.StructType([T.StructField(c, kinds[c]) for c in ("session", "at", "pointer")])
+    return T.StructType([T.StructField(c, kinds[c]) for c in ("session", "step", "pointer")])
 
 
 def _replay(batches: Iterator[pd.DataFrame], remembered: int) -> Iterator[pd.DataFrame]:
@@ -84,7 +84,7 @@ class NoveltyGate(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         seen = list(self.shown.get()[0]) if self.shown.exists() else []
         # one micro-batch of one session, in event order
-        batch = pd.concat(list(rows)).sort_values(["at", "pointer"])
+        batch = pd.concat(list(rows)).sort_values(["step", "pointer"])
         keep = []
         for p in batch["pointer"]:
             new = p not in seen
@@ -92,14 +92,14 @@ class NoveltyGate(StatefulProcessor):
             if new:
                 seen = (seen + [p])[-REMEMBERED:]
         self.shown.update((seen,))
-        yield batch[keep][["session", "at", "pointer"]]
+        yield batch[keep][["session", "step", "pointer"]]
 
     def close(self) -> None:
         pass
 
 
 def novelty_stream(shown: DataFrame) -> DataFrame:
-    """Streaming novelty gate over (session, at, pointer)."""
+    """Streaming novelty gate over (session, step, pointer)."""
     return shown.groupBy("session").transformWithStateInPandas(
         statefulProcessor=NoveltyGate(), outputStructType=_schema_of(shown),
         outputMode="Append", timeMode="None")
@@ -119,9 +119,10 @@ def saved_total(outputs: DataFrame, pattern: str) -> DataFrame:
 
 def event_counts_stream(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Events per window and type, closed once the watermark passes."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return timed.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(
         F.count("*").alias("n"), F.sum("value").alias("total")
-    ).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    ).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
 def scope_hint(paths: DataFrame, mentioned: DataFrame) -> DataFrame:
