@@ -97,6 +97,29 @@ def batch_keys(batched: DataFrame) -> DataFrame:
     return batched.groupBy("batch").agg(F.count("*").alias("files"), X.digest(F.collect_list(line)).alias("key"))
 
 
+DRAFT = (
+    "pos int, name string, type string, summary string, sources array<string>, "
+    "links array<struct<to:string,relation:string,description:string>>"
+)
+
+
+def synthesize(batched: DataFrame, synthesizer: Callable[[list[tuple[str, str]]], list[dict]]) -> DataFrame:
+    """Draft concepts for every batch (batch, path, summary) with a user's function.
+
+    A batch is bounded by its budget.  ``ord`` keeps batch and answer order.
+    """
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("path")
+        drafts = synthesizer(list(zip(pdf["path"], pdf["summary"])))
+        rows = [(key[0], i, d["name"], d.get("type"), d.get("summary"), list(d.get("sources") or []),
+                 [{"to": x["to"], "relation": x.get("relation"), "description": x.get("description")} for x in d.get("links") or []])
+                for i, d in enumerate(drafts)]
+        return pd.DataFrame(rows, columns=["batch", "pos", "name", "type", "summary", "sources", "links"])
+
+    drafts = batched.select("batch", "path", "summary").groupBy("batch").applyInPandas(run, "batch bigint, " + DRAFT)
+    return drafts.withColumn("ord", F.col("batch") * 1_000_000 + F.col("pos")).drop("batch", "pos")
+
+
 # --------------------------------------------------------------------------
 # merging and linking
 
