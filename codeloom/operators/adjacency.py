@@ -7,45 +7,58 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import broadcast_if_small, materialize, materialize_by
 
-# Links of one source that may share a task; a larger source is split.
+# Links packed into one row, and links of one source that may share a task.
+LINKS_PER_ROW = 10_000
 LINKS_PER_SALT = 250_000
 
 
 @dataclass
 class Adjacency:
-    """Links keyed by ``src``, stored partitioned by that key.
+    """Links packed per source and stored partitioned and sorted by it.
 
-    A source with very many links is spread over several salts.  Only then
-    do the rows of a frontier carry a salt, and only those of hot sources are
-    repeated; without hot sources the expansion is a plain co-located join.
+    A frontier joins one row per source, without moving or sorting the links,
+    and unpacks them afterwards.  A source with very many links is cut into
+    rows of bounded size and spread over several salts; only frontier rows of
+    such sources are repeated.
     """
 
-    links: DataFrame          # src, dst, payload (and salt when ``hot`` is set)
+    packed: DataFrame         # src, links array<struct<dst, payload>> (and salt when ``hot`` is set)
+    fields: list[str]
     hot: DataFrame | None     # src, n_salt
 
     def expand(self, frontier: DataFrame) -> DataFrame:
         """Join ``frontier`` (id, …) with the links of each id."""
+        carried = [c for c in frontier.columns if c != "id"]
         f = frontier.withColumnRenamed("id", "src")
         if self.hot is None:
-            return f.join(self.links, "src")
-        salted = (
-            f.join(self.hot, "src", "left")
-            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("n_salt", F.lit(1)) - 1)))
-            .drop("n_salt")
-        )
-        return salted.join(self.links, ["src", "salt"]).drop("salt")
+            met = f.join(self.packed, "src")
+        else:
+            salted = f.join(self.hot, "src", "left").withColumn(
+                "salt", F.explode(F.sequence(F.lit(0), F.coalesce("n_salt", F.lit(1)) - 1)))
+            met = salted.join(self.packed, ["src", "salt"])
+        flat = met.select("src", *carried, F.explode("links").alias("l"))
+        return flat.select("src", *carried, *[F.col(f"l.{c}").alias(c) for c in self.fields])
 
 
-def adjacency(links: DataFrame, links_per_salt: int = LINKS_PER_SALT) -> Adjacency:
+def adjacency(
+    links: DataFrame, links_per_salt: int = LINKS_PER_SALT, links_per_row: int = LINKS_PER_ROW
+) -> Adjacency:
     """Prepare ``links`` (src, dst, …) with unique (src, dst)."""
-    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fan = links.groupBy("src").agg(F.count("*").alias("fan")).where(F.col("fan") > links_per_salt)
-    hot = materialize(fan.select("src", F.ceil(F.col("fan") / links_per_salt).cast("int").alias("n_salt")))
+    fields = [c for c in links.columns if c != "src"]
+    entry = F.collect_list(F.struct(*fields)).alias("links")
+    fan = links.groupBy("src").agg(F.count("*").alias("fan")).where(F.col("fan") > links_per_row)
+    wide = materialize(fan.select(
+        "src", F.ceil(F.col("fan") / links_per_row).cast("int").alias("n_row"),
+        F.ceil(F.col("fan") / links_per_salt).cast("int").alias("n_salt")))
+    if wide.isEmpty():
+        return Adjacency(materialize_by(links.groupBy("src").agg(entry), "src"), fields, None)
+    cut = links.join(broadcast_if_small(wide), "src", "left").withColumn(
+        "row", F.pmod(F.hash("dst"), F.coalesce("n_row", F.lit(1))))
+    cut = cut.withColumn("salt", F.pmod("row", F.coalesce("n_salt", F.lit(1))))
+    packed = cut.groupBy("src", "row", "salt").agg(entry).drop("row")
+    hot = wide.where(F.col("n_salt") > 1).select("src", "n_salt")
     if hot.isEmpty():
-        return Adjacency(materialize(links.repartition(parts, "src")), None)
-    salted = links.join(hot, "src", "left").withColumn(
-        "salt", F.pmod(F.hash("dst"), F.coalesce("n_salt", F.lit(1)))
-    ).drop("n_salt")
-    return Adjacency(materialize(salted.repartition(parts, "src", "salt")), hot)
+        return Adjacency(materialize_by(packed.drop("salt"), "src"), fields, None)
+    return Adjacency(materialize_by(packed, "src", "salt"), fields, broadcast_if_small(hot))

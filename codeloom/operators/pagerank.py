@@ -16,17 +16,23 @@ ITERATIONS = 25
 CHECKPOINT_EVERY = 5
 
 
-def inner_edges(nodes: DataFrame, edges: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Walk edges between real nodes; with ``by``, only inside one group."""
-    by = by or []
-    ids = nodes.select("id", *by).dropDuplicates(["id"])
+def numbered(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct nodes with a number each, which the loop uses instead of the id.
+
+    The numbers are stored, so every use of the table sees the same ones.
+    """
+    return materialize(nodes.select("id", *by).dropDuplicates(["id"]).withColumn("n", F.monotonically_increasing_id()))
+
+
+def inner_edges(known: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """Walk edges between known nodes, as numbers; with ``by``, only inside one group."""
     walk = walk_edges(edges).select("source", "target")
-    left = ids.select(F.col("id").alias("source"), *[F.col(c).alias(f"s_{c}") for c in by])
-    right = ids.select(F.col("id").alias("target"), *[F.col(c).alias(f"t_{c}") for c in by])
+    left = known.select(F.col("id").alias("source"), F.col("n").alias("a"), *[F.col(c).alias(f"s_{c}") for c in by])
+    right = known.select(F.col("id").alias("target"), F.col("n").alias("b"), *[F.col(c).alias(f"t_{c}") for c in by])
     joined = walk.join(left, "source").join(right, "target")
     for c in by:
         joined = joined.where(F.col(f"s_{c}") == F.col(f"t_{c}"))
-    return joined.select("source", "target")
+    return joined.select("a", "b")
 
 
 def _teleport(q: Column, step: int, alpha: float) -> Column:
@@ -58,9 +64,12 @@ def personalized_pagerank(
     each group at 1; nodes the walk never reaches are absent.
     """
     by = by or []
-    inside = inner_edges(nodes, edges, by)
-    both = inside.select(F.col("source").alias("src"), F.col("target").alias("dst")).unionAll(
-        inside.select(F.col("target").alias("src"), F.col("source").alias("dst")))
+    known = numbered(nodes, by)
+    inside = inner_edges(known, edges, by)
+    # one pass over the edges gives both directions
+    both = inside.select(F.explode(F.array(
+        F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
+        F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("l")).select("l.src", "l.dst")
     links = materialize(both.groupBy("src", "dst").agg(F.count("*").alias("mult")))
     degree = links.groupBy("src").agg(F.sum("mult").alias("deg"))
     adj = adjacency(
@@ -68,12 +77,10 @@ def personalized_pagerank(
         links_per_salt,
     )
 
-    known = nodes.select("id", *by).dropDuplicates(["id"])
     start = seeds.where(F.col("weight") > 0).groupBy("id").agg(F.sum("weight").alias("weight")).join(known, "id")
-    start = start.join(
+    start = materialize(start.select(F.col("n").alias("id"), *by, "weight").join(
         degree.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left"
-    ).select("id", *by, "weight", F.coalesce("dangling", F.lit(True)).alias("dangling"))
-    start = materialize(start)
+    ).select("id", *by, "weight", F.coalesce("dangling", F.lit(True)).alias("dangling")))
     sums = start.groupBy(*by).agg(
         F.sum("weight").alias("total"),
         F.coalesce(F.sum(F.when(F.col("dangling"), F.col("weight"))), F.lit(0.0)).alias("loose"),
@@ -83,14 +90,13 @@ def personalized_pagerank(
     else:
         one = sums.first()  # two numbers
         if not one["total"]:
-            return known.where(F.lit(False)).withColumn("pr", F.lit(0.0))
+            return known.where(F.lit(False)).select("id", F.lit(0.0).alias("pr"))
         start = start.withColumns({"total": F.lit(one["total"]), "loose": F.lit(one["loose"])})
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     start = materialize(start.select(
         "id",
         (F.col("weight") / F.col("total")).alias("w"),
         ((1 - alpha) * F.col("loose") / F.col("total")).alias("q"),
-    ).repartition(parts, "id"))
+    ))
 
     rank = start.select("id", F.col("w").alias("r"))
     for step in range(iterations):
@@ -100,9 +106,10 @@ def personalized_pagerank(
         if (step + 1) % CHECKPOINT_EVERY == 0 or step == iterations - 1:
             rank = materialize(rank)
 
+    named = rank.withColumnRenamed("id", "n").join(known, "n").select("id", *by, "r")
     if by:
-        placed = materialize(rank.join(known, "id"))
+        placed = materialize(named)
         top = broadcast_if_small(placed.groupBy(*by).agg(F.max("r").alias("top")))
         return placed.join(top, by).select("id", *by, (F.col("r") / F.col("top")).alias("pr"))
     top = rank.agg(F.max("r")).first()[0]
-    return rank.select("id", (F.col("r") / F.lit(top)).alias("pr"))
+    return named.select("id", (F.col("r") / F.lit(top)).alias("pr"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Inputs up to this size are spread before heavy work per row.
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input as many partitions as there are cores.
+
+    A table in a few small files may sit in one row group and so in one task.
+    Inputs of many files, or of more than a gigabyte, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if len(files) >= cores:
+        return df
+    sizes = [fs.get_file_info(path).size or 0 for fs, path in (pafs.FileSystem.from_uri(f) for f in files)]
+    return df.repartition(cores) if sum(sizes) <= SPREAD_BYTES else df
+
+
 def _key(prefix: str, col: str) -> Column:
     return F.concat(F.lit(prefix + ":"), F.col(col).cast("string"))
 
@@ -94,7 +113,7 @@ BLOCK, SECTION = 20, 5
 
 def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One node per document; several lines make it a file, one line a function."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     text = F.col("text")
     return d.select(
         _key("doc", "doc_id").alias("id"),
@@ -110,7 +129,7 @@ def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("path"),
                     F.col("text").alias("content"))
 
