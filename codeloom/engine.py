@@ -15,6 +15,7 @@ from .operators import drift as D
 from .operators import enrich as E
 from .operators import extract as EX
 from .operators import grep as G
+from .operators import lexical as L
 from .operators import repomap as M
 from .operators import resolve as R
 from .operators import savings as SV
@@ -73,7 +74,35 @@ class Engine:
         listing = materialize(FS.list_tree(self.spark, self.root))
         files = FS.list_files(self.spark, self.root, self._skip())
         contents = materialize(FS.read_contents(FS.source_files(files), self.root))
-        good = contents.where(F.col("content").isNotNull())
+        modules = FS.go_modules(FS.read_contents(files.where(X.basename(F.col("path")) == "go.mod"), self.root))
+        scopes = [s["prefix"] for s in SC.discover(FS.project_tree(self.spark, self.root, listing))]
+        return self._store_build(contents, materialize(modules), scopes, summarizer, body_cap)
+
+    def apply(self, changes: DataFrame) -> BuildStats:
+        """Take over named changes (path) without listing or reading the rest.
+
+        Files that are gone drop out; scopes and Go modules stay as built.
+        """
+        prints = self._need("prints")
+        touched = materialize(changes.select("path").distinct().where(X.language_of(F.col("path")).isNotNull()))
+        unknown = F.lit(None)
+        named = touched.select("path", unknown.cast("bigint").alias("size"), unknown.cast("timestamp").alias("mtime"))
+        read = materialize(FS.read_contents(named, self.root).where(F.col("content").isNotNull()))
+        kept = prints.join(touched, "path", "left_anti").withColumns(
+            {"content": unknown.cast("string"), "error": unknown.cast("string")})
+        contents = materialize(kept.select(*read.columns).unionByName(read.withColumn("size", F.octet_length("content").cast("bigint"))))
+        return self._store_build(contents, self._need("modules"), self.scopes())
+
+    def _store_build(
+        self, contents: DataFrame, modules: DataFrame, scopes: list[str],
+        summarizer: E.Summarizer | None = None, body_cap: int | None = None,
+    ) -> BuildStats:
+        """Extract what changed, replay the rest, resolve, enrich and store a new version.
+
+        ``contents`` names every file with its hash; rows whose hash the last
+        build knows need no content.
+        """
+        good = contents.where(F.col("hash") != "")
         stamp = extractor_stamp()
         meta = self.store.meta() or {}
         seen = self.store.table("prints") if meta.get("stamp") == stamp else None
@@ -81,7 +110,7 @@ class Engine:
             same = materialize(good.select("path", "hash").join(seen.select("path", "hash"), ["path", "hash"], "left_semi"))
         else:
             same = good.select("path", "hash").limit(0)
-        changed = materialize(good.join(same.select("path"), "path", "left_anti"))
+        changed = materialize(good.where(F.col("content").isNotNull()).join(same.select("path"), "path", "left_anti"))
         fresh = EX.extract(changed.select("path", "content"), body_cap)
         nodes, raw = conform(fresh.nodes, NODES), conform(fresh.raw_edges, RAW_EDGES)
         if seen is not None:
@@ -89,25 +118,20 @@ class Engine:
             raw = raw.unionByName(self.store.table("memo_raw").join(
                 same.select(F.col("path").alias("file")), "file", "left_semi").select(*raw.columns))
         nodes, raw = materialize(nodes), materialize(raw)
-        go = materialize(FS.read_contents(files.where(X.basename(F.col("path")) == "go.mod"), self.root))
-        edges = materialize(R.resolve_edges(nodes, raw, FS.go_modules(go)))
+        edges = materialize(R.resolve_edges(nodes, raw, modules))
 
         prior = self.store.table("nodes")
-        enriched, problems = nodes, None
-        if prior is not None:
-            enriched, problems = E.enrich(nodes, conform(prior, NODES), good, summarizer)
-        elif summarizer is not None:
-            enriched, problems = E.enrich(nodes, nodes.limit(0), good, summarizer)
+        layer = conform(prior, NODES) if prior is not None else nodes.limit(0)
+        enriched, problems = E.enrich(nodes, layer, good.where(F.col("content").isNotNull()), summarizer)
         enriched = materialize(enriched)
-
-        found = SC.discover(FS.project_tree(self.spark, self.root, listing))
-        scopes = SC.substantial(enriched, [s["prefix"] for s in found])
+        scopes = SC.substantial(enriched, scopes)
 
         version = self.store.new_version()
         self.store.write_graph(version, enriched, conform(edges, EDGES))
         self.store.write_index(version, enriched)
         self.store.write(version, "memo_nodes", nodes)
         self.store.write(version, "memo_raw", raw)
+        self.store.write(version, "modules", modules)
         self.store.write(version, "prints", contents.select("path", "size", "mtime", "hash"))
         bad = contents.where(F.col("error").isNotNull()).select("path", "error")
         if problems is not None:
@@ -159,6 +183,16 @@ class Engine:
     def scopes(self) -> list[str]:
         return (self.store.meta() or {}).get("scopes") or [""]
 
+    def token_index(self) -> L.TokenIndex | None:
+        """The stored token index, unless it does not fit the graph."""
+        if not self.store.index_is_valid():
+            return None
+        return L.TokenIndex(self.store.table("postings"), self.store.table("body_lengths"))
+
+    def _with_bodies(self, nodes: DataFrame) -> DataFrame:
+        bodies = self._need("memo_nodes").select("id", "ord", "path", "body_text")
+        return nodes.join(bodies, ["id", "ord", "path"], "left")
+
     def contents(self, paths: DataFrame | None = None) -> DataFrame:
         """Present contents of the indexed files, or of some of them."""
         prints = self._need("prints")
@@ -182,9 +216,9 @@ class Engine:
             answer = Answer("structural", found.hits, found.note, found.subject)
         else:
             concepts = N.concept_docs(N.read_notes(self.spark, self.out))
-            bodies = self._need("memo_nodes").select("id", "ord", "path", "body_text")
-            docs = nodes.join(bodies, ["id", "ord", "path"], "left")
-            hits, ranking = A.ask(docs, edges if graph_rank else None, query, limit, self.scopes(), prefix, concepts)
+            index = self.token_index()
+            docs = nodes if index is not None else self._with_bodies(nodes)
+            hits, ranking = A.ask(docs, edges if graph_rank else None, query, limit, self.scopes(), prefix, concepts, index=index)
             hits = materialize(hits)
             note = found.note if found is not None else None
             answer = Answer("empty" if hits.isEmpty() else "lexical", hits, note, ranking=ranking)

@@ -106,6 +106,7 @@ def rank_nodes(
     prefix: str | None = None,
     concepts: lexical.ConceptStats | None = None,
     duplicate_ids: bool = False,
+    index: lexical.TokenIndex | None = None,
 ) -> Ranking:
     """Rank all nodes as one corpus.
 
@@ -116,7 +117,7 @@ def rank_nodes(
     if prefix:
         docs = docs.where(X.under_prefix(F.col("path"), prefix))
     keep = [*LABELS, *(["ord"] if duplicate_ids else [])]
-    scored = lexical.score_corpus(docs, query, keep, concepts=concepts)
+    scored = lexical.score_corpus(docs, query, keep, concepts=concepts, index=index)
     if duplicate_ids:
         scored = unique_hits(scored)
     scored.hits = materialize(scored.hits)
@@ -138,6 +139,7 @@ def rank_scopes(
     concepts: lexical.ConceptStats | None = None,
     limit: int | None = None,
     duplicate_ids: bool = False,
+    index: lexical.TokenIndex | None = None,
 ) -> Ranking:
     """Rank every scope on its own statistics, then fuse the orderings.
 
@@ -149,7 +151,7 @@ def rank_scopes(
         docs = docs.where(X.under_prefix(F.col("path"), prefix))
     by = ["scope"]
     keep = [*LABELS, *(["ord"] if duplicate_ids else [])]
-    scored = lexical.score_corpus(docs, query, keep, by, concepts)
+    scored = lexical.score_corpus(docs, query, keep, by, concepts, index)
     if duplicate_ids:
         scored = unique_hits(scored)
     scored.hits = materialize(scored.hits)
@@ -197,6 +199,7 @@ def ask(
     prefix: str | None = None,
     concepts: DataFrame | None = None,
     duplicate_ids: bool = True,
+    index: lexical.TokenIndex | None = None,
 ) -> tuple[DataFrame, Ranking]:
     """Top hits over nodes and concept notes, in the order a user sees.
 
@@ -213,9 +216,9 @@ def ask(
             concepts = concepts.where(F.exists("sources", lambda p: X.under_prefix(p, prefix)))
         stats, matched = lexical.concept_matches(concepts, query)
     if scopes and len(scopes) > 1:
-        ranking = rank_scopes(with_scope(nodes, scopes), edges, query, prefix, stats, limit, duplicate_ids)
+        ranking = rank_scopes(with_scope(nodes, scopes), edges, query, prefix, stats, limit, duplicate_ids, index)
     else:
-        ranking = rank_nodes(nodes, edges, query, prefix, stats, duplicate_ids)
+        ranking = rank_nodes(nodes, edges, query, prefix, stats, duplicate_ids, index)
     symbols = ranking.hits.select(
         F.lit("symbol").alias("kind"), "title", "pointer", "snippet",
         F.lit(None).cast("array<string>").alias("related"), "scope", "score",

@@ -152,16 +152,26 @@ class Scored:
     stats: DataFrame     # statistics, one row per scope (or one row)
 
 
+@dataclass
+class TokenIndex:
+    """A stored token index: postings, and the body length of every document."""
+
+    postings: DataFrame      # id, field, token, tf
+    body_lengths: DataFrame  # id, body_len
+
+
 def score_corpus(
     docs: DataFrame,
     query: str,
     keep: list[str],
     by: list[str] | None = None,
     concepts: ConceptStats | None = None,
+    index: TokenIndex | None = None,
 ) -> Scored:
     """Score ``docs`` against ``query``, with statistics per ``by`` group.
 
-    The statistics have one row per group.
+    The statistics have one row per group.  With a stored index only the
+    postings of the query's terms are read, not the texts.
     """
     by = by or []
     terms = X.query_terms(query)
@@ -172,7 +182,12 @@ def score_corpus(
         zero = F.lit(0.0)
         hits = empty.select("*", zero.alias("lex"), zero.alias("coverage"), zero.alias("coverage_strong"))
         return Scored(hits, empty, empty)
-    return score_matches(materialize(term_matches(docs, terms, keep)), terms, query, by, concepts)
+    if index is None:
+        matches = term_matches(docs, terms, keep)
+    else:
+        info = docs.select("id", *keep).join(index.body_lengths, "id")
+        matches = matches_from_index(index.postings, info, terms, keep)
+    return score_matches(materialize(matches), terms, query, by, concepts)
 
 
 def score_matches(

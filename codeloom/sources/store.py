@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lexical as L
+from ..schemas import last_by_id
 from .files import open_root
 
 POINTER = "CURRENT"
@@ -107,10 +108,10 @@ class Store:
 
     def write_index(self, version: str, nodes: DataFrame) -> None:
         """Postings sorted by token, so a query reads the row groups of its terms only."""
-        post = L.postings(nodes)
-        self.write(version, "postings", _sorted(post, "token", "id"))
-        stored = self.table("postings", version) or self.spark.read.parquet(self.uri("versions", version, "postings"))
-        self.write(version, "body_lengths", L.body_lengths(nodes, stored))
+        docs = last_by_id(nodes.select("id", "name", "path", "signature", "summary", "body_text", "ord"))
+        self.write(version, "postings", _sorted(L.postings(docs), "token", "id"))
+        stored = self.spark.read.parquet(self.uri("versions", version, "postings"))
+        self.write(version, "body_lengths", L.body_lengths(docs, stored))
 
     def index_is_valid(self) -> bool:
         """The token index covers exactly the nodes of the graph."""
