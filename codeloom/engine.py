@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,10 +74,11 @@ class Engine:
         """
         listing = materialize(FS.list_tree(self.spark, self.root))
         files = FS.list_files(self.spark, self.root, self._skip())
-        contents = materialize(FS.read_contents(FS.source_files(files), self.root))
+        # contents are hashed here and read again for changed files only
+        prints = materialize(FS.read_contents(FS.source_files(files), self.root).drop("content"))
         modules = FS.go_modules(FS.read_contents(files.where(X.basename(F.col("path")) == "go.mod"), self.root))
         scopes = [s["prefix"] for s in SC.discover(FS.project_tree(self.spark, self.root, listing))]
-        return self._store_build(contents, materialize(modules), scopes, summarizer, body_cap)
+        return self._store_build(prints, materialize(modules), scopes, summarizer, body_cap)
 
     def apply(self, changes: DataFrame) -> BuildStats:
         """Take over named changes (path) without listing or reading the rest.
@@ -87,22 +89,21 @@ class Engine:
         touched = materialize(changes.select("path").distinct().where(X.language_of(F.col("path")).isNotNull()))
         unknown = F.lit(None)
         named = touched.select("path", unknown.cast("bigint").alias("size"), unknown.cast("timestamp").alias("mtime"))
-        read = materialize(FS.read_contents(named, self.root).where(F.col("content").isNotNull()))
-        kept = prints.join(touched, "path", "left_anti").withColumns(
-            {"content": unknown.cast("string"), "error": unknown.cast("string")})
-        contents = materialize(kept.select(*read.columns).unionByName(read.withColumn("size", F.octet_length("content").cast("bigint"))))
-        return self._store_build(contents, self._need("modules"), self.scopes())
+        read = FS.read_contents(named, self.root).where(F.col("content").isNotNull()).withColumn(
+            "size", F.octet_length("content").cast("bigint")).drop("content")
+        kept = prints.join(touched, "path", "left_anti").withColumn("error", unknown.cast("string"))
+        return self._store_build(materialize(kept.unionByName(read)), self._need("modules"), self.scopes())
 
     def _store_build(
-        self, contents: DataFrame, modules: DataFrame, scopes: list[str],
+        self, prints: DataFrame, modules: DataFrame, scopes: list[str],
         summarizer: E.Summarizer | None = None, body_cap: int | None = None,
     ) -> BuildStats:
         """Extract what changed, replay the rest, resolve, enrich and store a new version.
 
-        ``contents`` names every file with its hash; rows whose hash the last
-        build knows need no content.
+        ``prints`` names every file with its hash.  Contents are read for files
+        whose hash the last build does not know.
         """
-        good = contents.where(F.col("hash") != "")
+        good = prints.where(F.col("hash") != "")
         stamp = extractor_stamp()
         meta = self.store.meta() or {}
         seen = self.store.table("prints") if meta.get("stamp") == stamp else None
@@ -110,7 +111,8 @@ class Engine:
             same = materialize(good.select("path", "hash").join(seen.select("path", "hash"), ["path", "hash"], "left_semi"))
         else:
             same = good.select("path", "hash").limit(0)
-        changed = materialize(good.where(F.col("content").isNotNull()).join(same.select("path"), "path", "left_anti"))
+        todo = materialize(good.join(same.select("path"), "path", "left_anti").select("path", "size", "mtime"))
+        changed = FS.read_contents(todo, self.root).where(F.col("content").isNotNull()).persist(StorageLevel.DISK_ONLY)
         fresh = EX.extract(changed.select("path", "content"), body_cap)
         nodes, raw = conform(fresh.nodes, NODES), conform(fresh.raw_edges, RAW_EDGES)
         if seen is not None:
@@ -118,11 +120,14 @@ class Engine:
             raw = raw.unionByName(self.store.table("memo_raw").join(
                 same.select(F.col("path").alias("file")), "file", "left_semi").select(*raw.columns))
         nodes, raw = materialize(nodes), materialize(raw)
+        fresh.release()
+        changed.unpersist()
         edges = materialize(R.resolve_edges(nodes, raw, modules))
 
         prior = self.store.table("nodes")
         layer = conform(prior, NODES) if prior is not None else nodes.limit(0)
-        enriched, problems = E.enrich(nodes, layer, good.where(F.col("content").isNotNull()), summarizer)
+        # only files with open nodes are read for a summarizer, and none without one
+        enriched, problems = E.enrich(nodes, layer, lambda paths: self._read(good, paths), summarizer)
         enriched = materialize(enriched)
         scopes = SC.substantial(enriched, scopes)
 
@@ -132,12 +137,12 @@ class Engine:
         self.store.write(version, "memo_nodes", nodes)
         self.store.write(version, "memo_raw", raw)
         self.store.write(version, "modules", modules)
-        self.store.write(version, "prints", contents.select("path", "size", "mtime", "hash"))
-        bad = contents.where(F.col("error").isNotNull()).select("path", "error")
+        self.store.write(version, "prints", prints.select("path", "size", "mtime", "hash"))
+        bad = prints.where(F.col("error").isNotNull()).select("path", "error")
         if problems is not None:
             bad = bad.unionByName(problems)
         self.store.write(version, "errors", bad)
-        stats = BuildStats(contents.count(), changed.count(), same.count(), enriched.count(), edges.count(), bad.count())
+        stats = BuildStats(prints.count(), todo.count(), same.count(), enriched.count(), edges.count(), bad.count())
         self.store.commit(version, {"stamp": stamp, "scopes": scopes, "files": stats.files})
         return stats
 
@@ -195,7 +200,9 @@ class Engine:
 
     def contents(self, paths: DataFrame | None = None) -> DataFrame:
         """Present contents of the indexed files, or of some of them."""
-        prints = self._need("prints")
+        return self._read(self._need("prints"), paths)
+
+    def _read(self, prints: DataFrame, paths: DataFrame | None = None) -> DataFrame:
         if paths is not None:
             prints = prints.join(paths.select("path").distinct(), "path", "left_semi")
         return FS.read_contents(prints, self.root).where(F.col("content").isNotNull())
@@ -293,8 +300,9 @@ class Engine:
         stored = self.store.table("nodes")
         graph = None
         if stored is not None:
-            current = EX.extract(contents.where(F.col("content").isNotNull()).select("path", "content")).nodes
-            graph = D.check_graph(stored, current)
+            current = EX.extract(contents.where(F.col("content").isNotNull()).select("path", "content"))
+            graph = materialize(D.check_graph(stored, current.nodes))
+            current.release()
         manifest = N.read_manifest(self.spark, self.out)
         files = roster = None
         if manifest is not None:
@@ -318,7 +326,8 @@ class Engine:
         summary, sources and links.
         """
         code = FS.code_files(FS.list_files(self.spark, self.root, self._skip()))
-        contents = materialize(FS.read_contents(code, self.root).where(F.col("content").isNotNull()))
+        contents = FS.read_contents(code, self.root).where(F.col("content").isNotNull())
+        prints = materialize(contents.select("path", "hash"))
         cache = self.spark.createDataFrame([], "path string, hash string, summary string")
         cached = posixpath.join(self.out, ".summaries")
         if self.store._exists(".summaries"):
@@ -329,11 +338,11 @@ class Engine:
         entries = done.withColumn("size", (F.length("path") + F.length("summary") + C.ENTRY_OVERHEAD).cast("long"))
         batches = C.batch_by_size(entries)
         drafts = materialize(C.synthesize(batches, synthesizer))
-        concepts = materialize(C.build_concepts(drafts, contents.select("path", "hash")))
+        concepts = materialize(C.build_concepts(drafts, prints))
         if self.store.table("nodes") is not None:
             concepts = materialize(concepts.join(N.covers(concepts, self.nodes()), "slug", "left"))
         N.write_notes(self.spark, self.out, concepts)
-        digest = C.tree_digest(contents.select("path", "hash")).first()["digest"]
-        N.write_manifest(self.out, contents, concepts, digest, model)
+        digest = C.tree_digest(prints).first()["digest"]
+        N.write_manifest(self.out, prints, concepts, digest, model)
         return concepts
 

@@ -12,8 +12,7 @@ from ..functions import text as X
 from ..functions.ranking import ordered_prefix
 from ..session import materialize
 
-# Clipped file text and characters per batch.
-MAX_FILE_CHARS = 24_000
+# Characters per batch and per entry besides its texts.
 BATCH_CHARS = 48_000
 ENTRY_OVERHEAD = 8
 
@@ -25,6 +24,8 @@ ENTRY_OVERHEAD = 8
 def summarize_files(files: DataFrame, cache: DataFrame, summarizer: Callable[[str, str], str]) -> DataFrame:
     """One summary per file (path, content, hash); unchanged files reuse the cache.
 
+    The summarizer sees the whole text and clips it itself where it must.
+
     Returns (path, hash, summary, error, cached).
     """
     known = cache.select("path", "hash", F.col("summary").alias("old"))
@@ -37,7 +38,7 @@ def summarize_files(files: DataFrame, cache: DataFrame, summarizer: Callable[[st
             rows = []
             for path, content, hash_ in zip(b["path"], b["content"], b["hash"]):
                 try:
-                    rows.append((path, hash_, summarizer(path, content[:MAX_FILE_CHARS]), None, False))
+                    rows.append((path, hash_, summarizer(path, content), None, False))
                 except Exception as e:  # kept: the file still counts, unsummarized
                     rows.append((path, hash_, None, str(e), False))
             yield pd.DataFrame(rows, columns=["path", "hash", "summary", "error", "cached"])

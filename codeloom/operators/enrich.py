@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from ..schemas import last_by_id
 
-# Shown crux lines, clipped input and attempts per file.
+# Shown crux lines and attempts per file.
 MAX_CRUX_LINES = 12
-MAX_SOURCE_CHARS = 60_000
 ATTEMPTS = 2
 
 # A summarizer takes (path, source, nodes) and returns dicts with id, summary,
@@ -67,7 +66,7 @@ def _describe(batches: Iterator[pd.DataFrame], summarizer: Summarizer) -> Iterat
                 if not missing:
                     break
                 try:
-                    answers = list(summarizer(path, source[:MAX_SOURCE_CHARS], list(missing.values())))
+                    answers = list(summarizer(path, source, list(missing.values())))
                 except Exception as e:  # a failing file is reported, never fatal
                     error = str(e)
                     break
@@ -82,16 +81,20 @@ def _describe(batches: Iterator[pd.DataFrame], summarizer: Summarizer) -> Iterat
 
 
 def enrich(
-    nodes: DataFrame, prior: DataFrame, files: DataFrame, summarizer: Summarizer | None = None
+    nodes: DataFrame, prior: DataFrame, files: DataFrame | Callable[[DataFrame], DataFrame],
+    summarizer: Summarizer | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Carry summaries over and, given a summarizer, compute the missing ones.
 
     One call covers the open nodes of one file; files are small and are spread
-    over all tasks.  Returns the nodes and the errors (path, error).
+    over all tasks.  ``files`` is (path, content), or a function that reads it
+    for given paths.  Returns the nodes and the errors (path, error).
     """
     carried = carry_over(nodes, prior)
     if summarizer is None:
         return carried, None
+    if callable(files):
+        files = files(carried.where(F.col("summary_state") != "ready").select("path"))
     ref = F.struct("id", "kind", "signature", "start_line", "end_line")
     work = (
         carried.where(F.col("summary_state") != "ready").groupBy("path")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +36,14 @@ LEXERS = {
 IDENT = r"^[A-Za-z_$][\w$]*$"
 OPEN, CLOSE = ["(", "[", "{"], [")", "]", "}"]
 
-FILE_WINDOW = Window.partitionBy("path").orderBy("seq")
-BEFORE = FILE_WINDOW.rowsBetween(Window.unboundedPreceding, -1)
+
+def in_file():
+    """The tokens of a file in order."""
+    return Window.partitionBy("path").orderBy("seq")
+
+
+def before():
+    return in_file().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def family(lang: Column) -> Column:
@@ -60,9 +67,9 @@ def tokens(files: DataFrame) -> DataFrame:
     tok = F.when(F.trim("raw").startswith("\n"), F.lit("\n")).otherwise(F.regexp_replace("raw", r"^[ \t\r]+", ""))
     rows = raw.select(
         "path", "lang", "seq", tok.alias("tok"),
-        F.sum(breaks).over(FILE_WINDOW).cast("int").alias("end_line"),
+        F.sum(breaks).over(in_file()).cast("int").alias("end_line"),
         breaks.alias("breaks"),
-        (F.sum(F.length("raw")).over(FILE_WINDOW) - 1).alias("end_off"),
+        (F.sum(F.length("raw")).over(in_file()) - 1).alias("end_off"),
         F.when(F.trim("raw").startswith("\n"), F.length("raw") - F.instr("raw", "\n")).alias("pad"),
     )
     is_break = F.col("tok") == "\n"
@@ -72,14 +79,14 @@ def tokens(files: DataFrame) -> DataFrame:
         (F.col("end_off") - F.length("tok") + 1).alias("start_off"), "pad",
     ).where(~F.col("tok").rlike(r"^(/\*|//)") & ~((F.col("lang") == "python") & F.col("tok").rlike(r"^(#|\\\n)")))
     rows = rows.withColumns({
-        "bol": F.coalesce(F.lag(is_break).over(FILE_WINDOW), F.lit(False)),
-        "indent": F.when(F.coalesce(F.lag(is_break).over(FILE_WINDOW), F.lit(False)), F.lag("pad").over(FILE_WINDOW)),
+        "bol": F.coalesce(F.lag(is_break).over(in_file()), F.lit(False)),
+        "indent": F.when(F.coalesce(F.lag(is_break).over(in_file()), F.lit(False)), F.lag("pad").over(in_file())),
     }).where(~is_break & (F.trim("tok") != "")).drop("pad")
     delta = F.when(F.col("tok").isin(*OPEN), 1).when(F.col("tok").isin(*CLOSE), -1).otherwise(0)
     rows = rows.withColumn("level", (
-        F.coalesce(F.sum(delta).over(BEFORE), F.lit(0)) + F.when(F.col("tok").isin(*CLOSE), -1).otherwise(0)).cast("int"))
-    near = {f"p{i}": F.lag("tok", i).over(FILE_WINDOW) for i in (1, 2)}
-    near |= {f"n{i}": F.lead("tok", i).over(FILE_WINDOW) for i in range(1, 8)}
+        F.coalesce(F.sum(delta).over(before()), F.lit(0)) + F.when(F.col("tok").isin(*CLOSE), -1).otherwise(0)).cast("int"))
+    near = {f"p{i}": F.lag("tok", i).over(in_file()) for i in (1, 2)}
+    near |= {f"n{i}": F.lead("tok", i).over(in_file()) for i in range(1, 8)}
     rows = rows.withColumns(near)
     brackets = Window.partitionBy("path", "level").orderBy("seq")
     ahead = brackets.rowsBetween(1, Window.unboundedFollowing)
@@ -251,7 +258,7 @@ def _go_definitions(toks: DataFrame, ends: DataFrame) -> DataFrame:
     single = single.select("path", F.col("after_seq").alias("seq"), "line", (F.col("start_off") + 5).alias("start_off"),
                            shaped(n[2]).alias("kind"), n[1].alias("name"), "brace", "new_line", F.col("after_off2").alias("shape_off"))
     # a name on the first level stands in the last bracket opened on level zero
-    outer = F.last(F.when((F.col("level") == 0) & t.isin(*OPEN), F.col("p1")), ignorenulls=True).over(BEFORE)
+    outer = F.last(F.when((F.col("level") == 0) & t.isin(*OPEN), F.col("p1")), ignorenulls=True).over(before())
     inside = toks.withColumn("outer", outer).where(
         F.col("bol") & _is("tok") & (F.col("level") == 1) & (F.col("outer") == "type")
     ).select("path", "seq", "line", "start_off", shaped(n[1]).alias("kind"), t.alias("name"), "brace", "new_line", F.col("after_off").alias("shape_off"))
@@ -276,10 +283,10 @@ def _linked(toks: DataFrame) -> DataFrame:
     """Add the positions of following tokens and of the bracket that closes around each."""
     ahead = Window.partitionBy("path", "level").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
     near = toks.withColumns({
-        "after": F.lead("tok").over(FILE_WINDOW), "after_seq": F.lead("seq").over(FILE_WINDOW),
-        "after_seq2": F.lead("seq", 2).over(FILE_WINDOW), "after_off": F.lead("start_off").over(FILE_WINDOW),
-        "after_off2": F.lead("start_off", 2).over(FILE_WINDOW),
-        "before_off": F.lag("start_off").over(FILE_WINDOW), "before_off2": F.lag("start_off", 2).over(FILE_WINDOW),
+        "after": F.lead("tok").over(in_file()), "after_seq": F.lead("seq").over(in_file()),
+        "after_seq2": F.lead("seq", 2).over(in_file()), "after_off": F.lead("start_off").over(in_file()),
+        "after_off2": F.lead("start_off", 2).over(in_file()),
+        "before_off": F.lag("start_off").over(in_file()), "before_off2": F.lag("start_off", 2).over(in_file()),
     }).withColumn("colon", F.first(F.when(F.col("tok") == ":", F.struct("seq", "after_off")), ignorenulls=True).over(ahead))
     # the bracket around a token closes one level up: it joins that token's level as a mark
     marks = near.where(F.col("tok").isin(*CLOSE)).select("path", "seq", (F.col("level") + 1).alias("level"), F.col("seq").alias("mark"))
@@ -318,6 +325,11 @@ def make_id(path: Column, names: Column) -> Column:
 class Extracted:
     nodes: DataFrame
     raw_edges: DataFrame
+    tokens: DataFrame
+
+    def release(self) -> None:
+        """Drop the cached tokens once nodes and edges are stored."""
+        self.tokens.unpersist()
 
 
 def extract(files: DataFrame, body_cap: int | None = None) -> Extracted:
@@ -327,7 +339,10 @@ def extract(files: DataFrame, body_cap: int | None = None) -> Extracted:
     """
     from . import wiring
 
-    toks = materialize(_linked(tokens(files)))
+    # Token rows outweigh their files many times over.  They are cached in compressed
+    # columns next to the tasks, never written to shared storage; a lost executor's
+    # share is computed again from its files.
+    toks = _linked(tokens(files)).persist(StorageLevel.DISK_ONLY)
     by_lang = {lang: toks.where(F.col("lang") == lang) for lang in LEXERS}
     finders = {"typescript": _ts_definitions, "python": _py_definitions, "go": _go_definitions}
     found = None
@@ -347,10 +362,10 @@ def extract(files: DataFrame, body_cap: int | None = None) -> Extracted:
         make_id(F.col("path"), outer).alias("parent"),
     ))
     exported = wiring.exports(toks, placed)
-    return Extracted(_nodes(files, placed, exported, toks, body_cap), wiring.raw_edges(toks, placed))
+    return Extracted(_nodes(files, placed, exported, body_cap), wiring.raw_edges(toks, placed), toks)
 
 
-def _nodes(files: DataFrame, placed: DataFrame, exported: DataFrame, toks: DataFrame, body_cap: int | None) -> DataFrame:
+def _nodes(files: DataFrame, placed: DataFrame, exported: DataFrame, body_cap: int | None) -> DataFrame:
     defs = placed.join(exported, ["path", "seq"], "left")
     packed = defs.groupBy("path").agg(F.collect_list(F.struct(
         "seq", "id", "name", "kind", F.col("line").alias("start_line"), "end_line", "start_off", "end_off", "header_off",

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .extract import _BEFORE_METHOD, FILE_WINDOW, IDENT, enclosing, make_id, scope_names
+from .extract import _BEFORE_METHOD, IDENT, enclosing, in_file, make_id, scope_names
 
 # Words that stand before a parenthesis without calling anything.
 _NOT_CALLED = {
@@ -19,7 +19,9 @@ _NOT_CALLED = {
            "interface", "var", "type", "const", "else", "import"],
 }
 
-LONG_AGO = Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+
+def up_to_here():
+    return in_file().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def exports(toks: DataFrame, defs: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def exports(toks: DataFrame, defs: DataFrame) -> DataFrame:
     marks = told.select("path", "seq", F.lit(True).alias("mark"))
     starts = defs.where(F.col("lang") == "typescript").select("path", "seq", F.lit(False).alias("mark"))
     both = marks.unionByName(starts)
-    both = both.withColumn("last", F.lag("mark").over(FILE_WINDOW)).withColumn("last_seq", F.lag("seq").over(FILE_WINDOW))
+    both = both.withColumn("last", F.lag("mark").over(in_file())).withColumn("last_seq", F.lag("seq").over(in_file()))
     own = both.where(~F.col("mark")).select(
         "path", "seq", (F.coalesce("last", F.lit(False)) & (F.col("seq") - F.col("last_seq") <= 5)).alias("own"))
     ts = defs.where(F.col("lang") == "typescript").select("path", "seq", "id", "parent").join(own, ["path", "seq"])
@@ -120,7 +122,7 @@ def _typed_scopes(toks: DataFrame, defs: DataFrame) -> DataFrame:
 def _calls(toks: DataFrame) -> DataFrame:
     """Call sites: (path, lang, seq, name, via_member, receiver)."""
     t, p1, p2 = F.col("tok"), F.col("p1"), F.col("p2")
-    before = {i: F.lag("tok", i).over(FILE_WINDOW) for i in (3, 4, 5)}
+    before = {i: F.lag("tok", i).over(in_file()) for i in (3, 4, 5)}
     rows = toks.withColumns({f"p{i}": c for i, c in before.items()})
     member = F.coalesce(p1 == ".", F.lit(False))
     loose = ~F.coalesce(F.col("p3") == ".", F.lit(False))
@@ -181,7 +183,7 @@ def _heritage(toks: DataFrame, defs: DataFrame) -> DataFrame:
     """Bases that are plain names, for classes only."""
     classes = defs.where(F.col("kind") == "class").select("path", "seq", F.struct("id", "header_off", F.col("seq").alias("start")).alias("cls"))
     # the header of a class is what follows its first token, up to where its body opens
-    head = toks.join(classes, ["path", "seq"], "left").withColumn("of", F.last("cls", ignorenulls=True).over(LONG_AGO))
+    head = toks.join(classes, ["path", "seq"], "left").withColumn("of", F.last("cls", ignorenulls=True).over(up_to_here()))
     inside = head.where((F.col("seq") > F.col("of.start")) & (F.col("start_off") < F.col("of.header_off"))).select(
         "path", "lang", F.col("of.id").alias("id"), F.col("of.start").alias("start"), F.col("seq").alias("s"), "tok", "p1", "n1")
     w = Window.partitionBy("path", "start").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
@@ -200,7 +202,7 @@ def _imports(toks: DataFrame) -> DataFrame:
     t = F.col("tok")
     # the module is spelled by the names and dots after the first word of the statement
     started = toks.where(F.col("lang") == "python").withColumn(
-        "opened", F.last(F.when(F.col("bol") & (F.col("level") == 0), F.struct("tok", "seq")), ignorenulls=True).over(LONG_AGO))
+        "opened", F.last(F.when(F.col("bol") & (F.col("level") == 0), F.struct("tok", "seq")), ignorenulls=True).over(up_to_here()))
     words = started.where(F.col("opened.tok").isin("import", "from") & (F.col("seq") > F.col("opened.seq"))).groupBy(
         "path", F.col("opened.seq").alias("seq"), F.col("opened.tok").alias("tok")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "tok"))), lambda x: x["tok"]).alias("tail"))
@@ -213,12 +215,12 @@ def _imports(toks: DataFrame) -> DataFrame:
     text = F.regexp_replace(t, "^[\"'`]|[\"'`]$", "")
     is_string = t.rlike("^[\"'`]")
     statement = toks.where(F.col("lang") == "typescript").withColumn(
-        "opened", F.last(F.when(F.col("bol") & (F.col("level") == 0), F.struct("tok", "seq")), ignorenulls=True).over(LONG_AGO))
+        "opened", F.last(F.when(F.col("bol") & (F.col("level") == 0), F.struct("tok", "seq")), ignorenulls=True).over(up_to_here()))
     script = statement.where(
         is_string & (F.col("level") == 0) & (F.col("opened.tok") == "import") & F.col("p1").isin("from", "import")
     ).select("path", "seq", text.alias("specifier"))
     go = toks.where(F.col("lang") == "go").withColumn(
-        "opened", F.last(F.when(F.col("bol") & (F.col("level") == 0), F.col("tok")), ignorenulls=True).over(LONG_AGO))
+        "opened", F.last(F.when(F.col("bol") & (F.col("level") == 0), F.col("tok")), ignorenulls=True).over(up_to_here()))
     package = go.where(is_string & (F.col("opened") == "import") & (F.col("level") <= 1)).select("path", "seq", text.alias("specifier"))
     none = F.lit(None).cast("string")
     every = python.unionByName(script).unionByName(package)
