@@ -43,17 +43,24 @@ class Adjacency:
 
 
 def adjacency(
-    links: DataFrame, links_per_salt: int = LINKS_PER_SALT, links_per_row: int = LINKS_PER_ROW
+    links: DataFrame,
+    links_per_salt: int = LINKS_PER_SALT,
+    links_per_row: int = LINKS_PER_ROW,
+    fan: DataFrame | None = None,
 ) -> Adjacency:
-    """Prepare ``links`` (src, dst, …) with unique (src, dst)."""
+    """Prepare ``links`` (src, dst, …) with unique (src, dst).
+
+    ``fan`` (src, fan) gives the number of links per source where it is known.
+    """
     fields = [c for c in links.columns if c != "src"]
     entry = F.collect_list(F.struct(*fields)).alias("links")
-    fan = links.groupBy("src").agg(F.count("*").alias("fan")).where(F.col("fan") > links_per_row)
-    wide = materialize(fan.select(
+    if fan is None:
+        fan = links.groupBy("src").agg(F.count("*").alias("fan"))
+    wide = materialize(fan.where(F.col("fan") > links_per_row).select(
         "src", F.ceil(F.col("fan") / links_per_row).cast("int").alias("n_row"),
         F.ceil(F.col("fan") / links_per_salt).cast("int").alias("n_salt")))
     if wide.isEmpty():
-        return Adjacency(materialize_by(links.groupBy("src").agg(entry), "src"), fields, None)
+        return Adjacency(materialize_by(links.groupBy("src").agg(entry), "src", grouped=True), fields, None)
     cut = links.join(broadcast_if_small(wide), "src", "left").withColumn(
         "row", F.pmod(F.hash("dst"), F.coalesce("n_row", F.lit(1))))
     cut = cut.withColumn("salt", F.pmod("row", F.coalesce("n_salt", F.lit(1))))

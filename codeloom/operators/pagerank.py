@@ -71,10 +71,10 @@ def personalized_pagerank(
         F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
         F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("l")).select("l.src", "l.dst")
     links = materialize(both.groupBy("src", "dst").agg(F.count("*").alias("mult")))
-    degree = links.groupBy("src").agg(F.sum("mult").alias("deg"))
+    degree = materialize(links.groupBy("src").agg(F.sum("mult").alias("deg"), F.count("*").alias("fan")))
     adj = adjacency(
         links.join(degree, "src").select("src", "dst", ((1 - alpha) * F.col("mult") / F.col("deg")).alias("p")),
-        links_per_salt,
+        links_per_salt, fan=degree.select("src", "fan"),
     )
 
     start = seeds.where(F.col("weight") > 0).groupBy("id").agg(F.sum("weight").alias("weight")).join(known, "id")

@@ -64,21 +64,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialize_by(df: DataFrame, *keys: str) -> DataFrame:
+def materialize_by(df: DataFrame, *keys: str, grouped: bool = False) -> DataFrame:
     """Store ``df`` partitioned and sorted by ``keys``, and let later joins know.
 
     A plan that adapts at run time does not promise its partitioning, so the
-    promise would be lost with the checkpoint.  This one plan is fixed instead;
-    joins on ``keys`` then neither shuffle nor sort the table again.
+    promise would be lost with the checkpoint.  The last step is therefore
+    planned ahead; joins on ``keys`` then neither shuffle nor sort the table
+    again.  ``grouped`` says that ``df`` ends in a grouping by ``keys`` over
+    evenly spread keys, which needs no adapting and no second shuffle.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    inner = materialize(df)
+    last = df if grouped else materialize(df).repartition(parts, *keys)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return inner.repartition(parts, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+        return last.sortWithinPartitions(*keys).checkpoint(eager=True)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 

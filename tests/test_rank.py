@@ -36,7 +36,7 @@ def test_splitting_hot_nodes_changes_nothing(spark, per_salt, monkeypatch):
     n = simple(spark, ["hub", *spokes, "lone"])
     e = edges(spark, [("hub", s) for s in spokes] + [("s1", "s2", "imports"), ("s1", "s2")])
     want = pr(spark, n, e, {"s1": 1.0, "lone": 0.5})
-    monkeypatch.setattr(P, "adjacency", lambda links, _per: AD.adjacency(links, per_salt, 3))
+    monkeypatch.setattr(P, "adjacency", lambda links, _per, fan=None: AD.adjacency(links, per_salt, 3, fan))
     got = pr(spark, n, e, {"s1": 1.0, "lone": 0.5})
     assert got.keys() == want.keys()
     for k in want:
