@@ -11,12 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import materialize
+from ..session import materialize, store_table
 from .grep import BUCKET
 
 # --------------------------------------------------------------------------
@@ -325,11 +324,14 @@ def make_id(path: Column, names: Column) -> Column:
 class Extracted:
     nodes: DataFrame
     raw_edges: DataFrame
-    tokens: DataFrame
+    scratch: str
 
     def release(self) -> None:
-        """Drop the cached tokens once nodes and edges are stored."""
-        self.tokens.unpersist()
+        """Remove the token table once nodes and edges are stored."""
+        from ..sources.files import open_root
+
+        system, base = open_root(self.scratch)
+        system.delete_dir(base)
 
 
 def extract(files: DataFrame, body_cap: int | None = None) -> Extracted:
@@ -339,10 +341,9 @@ def extract(files: DataFrame, body_cap: int | None = None) -> Extracted:
     """
     from . import wiring
 
-    # Token rows outweigh their files many times over.  They are cached in compressed
-    # columns next to the tasks, never written to shared storage; a lost executor's
-    # share is computed again from its files.
-    toks = _linked(tokens(files)).persist(StorageLevel.DISK_ONLY)
+    # Token rows outweigh their files, so they are kept in compressed columns of
+    # which each rule reads a few, and split by language.
+    toks, scratch = store_table(_linked(tokens(files)), "lang")
     by_lang = {lang: toks.where(F.col("lang") == lang) for lang in LEXERS}
     finders = {"typescript": _ts_definitions, "python": _py_definitions, "go": _go_definitions}
     found = None
@@ -362,7 +363,7 @@ def extract(files: DataFrame, body_cap: int | None = None) -> Extracted:
         make_id(F.col("path"), outer).alias("parent"),
     ))
     exported = wiring.exports(toks, placed)
-    return Extracted(_nodes(files, placed, exported, body_cap), wiring.raw_edges(toks, placed), toks)
+    return Extracted(_nodes(files, placed, exported, body_cap), wiring.raw_edges(toks, placed), scratch)
 
 
 def _nodes(files: DataFrame, placed: DataFrame, exported: DataFrame, body_cap: int | None) -> DataFrame:

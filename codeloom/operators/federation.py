@@ -15,7 +15,7 @@ from . import ask as A
 from .fuse import Fusion, fuse_scopes, strong_enough
 from .grep import MAX_HITS, group_hits, innermost_span, matching_lines
 from .repomap import HUBS_PER_DIR, MAX_DIRS, dir_entries, dir_hubs, grouped
-from .walk import impact, one_hop, resolve_symbol
+from .walk import impact, one_hop, symbol_tier
 
 
 def qualify(df: DataFrame, *columns: str) -> DataFrame:
@@ -118,8 +118,6 @@ def federate_callers(
     The symbol tier is chosen per repository: a weak match in one does not
     depend on what another holds.
     """
-    from .walk import symbol_tier
-
     tiered = nodes.withColumn("tier", symbol_tier(symbol)).where(F.col("tier").isNotNull())
     best = tiered.groupBy("repo").agg(F.min("tier").alias("best"))
     found = tiered.join(best, "repo").where(F.col("tier") == F.col("best"))
@@ -132,8 +130,3 @@ def federate_callers(
     hits = impact(edges, found, depth, direction)
     return hits.join(nodes.select("id", "repo", "name", "kind", "path"), "id", "left")
 
-
-__all__ = [
-    "federate_ask", "federate_callers", "federate_check", "federate_grep", "federate_map",
-    "over_fetch", "qualify", "resolve_symbol",
-]

@@ -18,6 +18,9 @@ HUBS_PER_DIR = 3
 HOTSPOTS = 12
 SPLIT_THRESHOLD = 0.6
 
+# Split directories up to this number are compared in an expression; more are joined.
+LITERAL_SPLITS = 32
+
 
 def totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     is_file = F.col("kind") == "file"
@@ -56,9 +59,15 @@ def grouped(nodes: DataFrame) -> DataFrame:
     deeper.
     """
     placed = nodes.withColumn("rel", _relative(F.col("path"), F.col("scope")))
-    splits = broadcast_if_small(split_segments(placed))
+    splits = materialize(split_segments(placed))  # at most one row per scope
     first = F.substring_index("rel", "/", 1)
-    return placed.join(splits, "scope", "left").withColumn(
+    few = splits.limit(LITERAL_SPLITS + 1).collect()
+    if len(few) <= LITERAL_SPLITS:
+        hit = F.lit(False)
+        for r in few:
+            hit = hit | ((F.col("scope") == r["scope"]) & (first == r["split"]))
+        return placed.withColumn("dir", F.when(hit, F.substring_index("rel", "/", 2)).otherwise(first))
+    return placed.join(broadcast_if_small(splits), "scope", "left").withColumn(
         "dir", F.when(first == F.col("split"), F.substring_index("rel", "/", 2)).otherwise(first)
     ).drop("split")
 

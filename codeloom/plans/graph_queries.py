@@ -226,11 +226,12 @@ def q_blast(spark, sf):
     return rows.groupBy("path", "relation").agg(F.count("*").alias("n"))
 
 
-def _neighbour_sql(where: str, anchor: str, other: str, kind: str, limit: int) -> str:
+def _neighbour_sql(where: str, anchor: str, other: str, kind: str, limit: int | None) -> str:
+    cut = f"ORDER BY pointer, title, relation LIMIT {limit}" if limit else ""
     return f"""WITH {Q.CONV}, hit AS (
   SELECT DISTINCT e.{other} AS id, e.relation FROM replies e JOIN turns s ON s.id = e.{anchor} WHERE {where})
 SELECT '{kind}' AS kind, n.name AS title, n.path || ':L' || (n.turn + 1) || '-L' || (n.turn + 1) AS pointer, h.relation
-FROM hit h JOIN turns n ON n.id = h.id ORDER BY pointer, title, relation LIMIT {limit}"""
+FROM hit h JOIN turns n ON n.id = h.id {cut}"""
 
 
 @query("structural_neighbours", _neighbour_sql("s.name = 'user0'", "target", "source", "caller", 8))
@@ -240,26 +241,27 @@ def q_structural(spark, sf):
     return found.hits.select("kind", "title", "pointer", "relation")
 
 
-@query("structural_outgoing", _neighbour_sql("s.name = 'assistant1'", "source", "target", "callee", 1000000))
+@query("structural_outgoing", _neighbour_sql("s.name = 'assistant1'", "source", "target", "callee", None))
 def q_structural_out(spark, sf):
     g = S.conversation_graph(spark, sf)
-    found = W.structural(g.nodes, g.edges, "what does assistant1 call", 1000000)
+    found = W.structural(g.nodes, g.edges, "what does assistant1 call", None)
     return found.hits.select("kind", "title", "pointer", "relation")
 
 
-@query("skeleton", """SELECT 'conv/1' AS path, role || turn AS name, CASE WHEN role = 'user' THEN 'function' ELSE 'method' END AS kind,
-(turn + 1)::INTEGER AS start_line FROM conversations WHERE conv_id = 1""")
+@query("skeleton", f"""WITH {Q.CONV}
+SELECT path, row_number() OVER (PARTITION BY path ORDER BY turn) AS position, name, kind, (turn + 1)::INTEGER AS start_line FROM turns""")
 def q_skeleton(spark, sf):
+    """Every file's definitions in order."""
     nodes = S.conversation_graph(spark, sf).nodes
-    return W.skeleton(nodes, "conv/1").select("path", "name", "kind", "start_line")
+    return W.skeletons(nodes).select("path", F.col("position").cast("long").alias("position"), "name", "kind", "start_line")
 
 
-@query("node_detail", f"""WITH {Q.CATALOG}
-SELECT 'out' AS direction, e.target AS id, e.relation, n.name FROM edges e LEFT JOIN nodes n ON n.id = e.target WHERE e.source = 'part:7'
-UNION ALL SELECT 'in', e.source, e.relation, n.name FROM edges e LEFT JOIN nodes n ON n.id = e.source WHERE e.target = 'part:7'""")
+@query("node_detail", f"""WITH {Q.CATALOG}, shown AS (SELECT id FROM nodes WHERE kind = 'class')
+SELECT e.source AS node, 'out' AS direction, e.target AS id, e.relation, n.name FROM edges e JOIN shown s ON s.id = e.source LEFT JOIN nodes n ON n.id = e.target
+UNION ALL SELECT e.target, 'in', e.source, e.relation, n.name FROM edges e JOIN shown s ON s.id = e.target LEFT JOIN nodes n ON n.id = e.source""")
 def q_detail(spark, sf):
     g = S.catalog(spark, sf)
-    return W.node_detail(g.nodes, g.edges, "part:7").select("direction", "id", "relation", "name")
+    return W.node_detail(g.nodes, g.edges, g.nodes.where("kind = 'class'")).select("node", "direction", "id", "relation", "name")
 
 
 # --------------------------------------------------------------------------

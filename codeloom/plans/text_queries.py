@@ -142,13 +142,13 @@ def coverage_share(spark, sf):
 def _test_paths(pages):
     return pages.select(
         F.col("url").alias("id"), F.col("page_id"),
-        F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("tests"), F.regexp_extract("url", r"^https?://[^/]+(/[^?#]*)", 1)))
+        F.when(F.col("url").startswith("https"), F.concat(F.lit("tests"), F.regexp_extract("url", r"^https?://[^/]+(/[^?#]*)", 1)))
         .otherwise(F.concat(F.lit("src"), F.regexp_extract("url", r"^https?://[^/]+(/[^?#]*)", 1))).alias("path"))
 
 
 @query("test_path_penalty", f"""
 WITH p AS (
-  SELECT url AS id, CASE WHEN page_id % 3 = 0 THEN 'tests' ELSE 'src' END
+  SELECT url AS id, CASE WHEN starts_with(url, 'https') THEN 'tests' ELSE 'src' END
          || regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path FROM pages)
 SELECT id, path, regexp_matches(path, '{X.TEST_PATH}') AS is_test,
        CASE WHEN regexp_matches(path, '{X.TEST_PATH}') THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END AS factor,

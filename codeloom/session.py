@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store_table(df: DataFrame, *partition_by: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as a compressed table in the checkpoint folder: (table, location).
+
+    For wide intermediate rows of which each reader needs a few columns.
+    """
+    spark = df.sparkSession
+    at = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(at)
+    return spark.read.schema(df.schema).parquet(at), at
+
+
 def materialize_by(df: DataFrame, *keys: str, grouped: bool = False) -> DataFrame:
     """Store ``df`` partitioned and sorted by ``keys``, and let later joins know.
 

@@ -43,6 +43,7 @@ ENTRY = "path string, is_dir boolean, size bigint, mtime timestamp"
 def open_root(root: str) -> tuple[pafs.FileSystem, str]:
     """File system and base path of a folder or URI."""
     uri = root if re.match(r"^[a-z0-9]+:", root) else "file://" + posixpath.abspath(root)
+    uri = re.sub(r"^file:/+", "file:///", uri)
     return pafs.FileSystem.from_uri(uri)
 
 
