@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import walk_edges
-from ..session import broadcast_if_small, materialize
+from ..session import broadcast_if_small, materialize, partitions_for
 from .adjacency import LINKS_PER_SALT, adjacency
 
 # Fixed values of the ranking.
@@ -71,40 +71,41 @@ def personalized_pagerank(
         F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
         F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("l")).select("l.src", "l.dst")
     links = materialize(both.groupBy("src", "dst").agg(F.count("*").alias("mult")))
-    degree = materialize(links.groupBy("src").agg(F.sum("mult").alias("deg"), F.count("*").alias("fan")))
-    adj = adjacency(
-        links.join(degree, "src").select("src", "dst", ((1 - alpha) * F.col("mult") / F.col("deg")).alias("p")),
-        links_per_salt, fan=degree.select("src", "fan"),
-    )
-
-    start = seeds.where(F.col("weight") > 0).groupBy("id").agg(F.sum("weight").alias("weight")).join(known, "id")
-    start = materialize(start.select(F.col("n").alias("id"), *by, "weight").join(
-        degree.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left"
-    ).select("id", *by, "weight", F.coalesce("dangling", F.lit(True)).alias("dangling")))
-    sums = start.groupBy(*by).agg(
-        F.sum("weight").alias("total"),
-        F.coalesce(F.sum(F.when(F.col("dangling"), F.col("weight"))), F.lit(0.0)).alias("loose"),
-    )
-    if by:
-        start = start.join(broadcast_if_small(sums), by)
-    else:
-        one = sums.first()  # two numbers
-        if not one["total"]:
-            return known.where(F.lit(False)).select("id", F.lit(0.0).alias("pr"))
-        start = start.withColumns({"total": F.lit(one["total"]), "loose": F.lit(one["loose"])})
-    start = materialize(start.select(
-        "id",
-        (F.col("weight") / F.col("total")).alias("w"),
-        ((1 - alpha) * F.col("loose") / F.col("total")).alias("q"),
-    ))
-
-    rank = start.select("id", F.col("w").alias("r"))
-    for step in range(iterations):
-        moved = adj.expand(rank).select(F.col("dst").alias("id"), (F.col("r") * F.col("p")).alias("v"))
-        home = start.select("id", (F.col("w") * _teleport(F.col("q"), step, alpha)).alias("v"))
-        rank = moved.unionAll(home).groupBy("id").agg(F.sum("v").alias("r"))
-        if (step + 1) % CHECKPOINT_EVERY == 0 or step == iterations - 1:
-            rank = materialize(rank)
+    with partitions_for(nodes.sparkSession, links.count()):
+        degree = materialize(links.groupBy("src").agg(F.sum("mult").alias("deg"), F.count("*").alias("fan")))
+        adj = adjacency(
+            links.join(degree, "src").select("src", "dst", ((1 - alpha) * F.col("mult") / F.col("deg")).alias("p")),
+            links_per_salt, fan=degree.select("src", "fan"),
+        )
+
+        start = seeds.where(F.col("weight") > 0).groupBy("id").agg(F.sum("weight").alias("weight")).join(known, "id")
+        start = materialize(start.select(F.col("n").alias("id"), *by, "weight").join(
+            degree.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left"
+        ).select("id", *by, "weight", F.coalesce("dangling", F.lit(True)).alias("dangling")))
+        sums = start.groupBy(*by).agg(
+            F.sum("weight").alias("total"),
+            F.coalesce(F.sum(F.when(F.col("dangling"), F.col("weight"))), F.lit(0.0)).alias("loose"),
+        )
+        if by:
+            start = start.join(broadcast_if_small(sums), by)
+        else:
+            one = sums.first()  # two numbers
+            if not one["total"]:
+                return known.where(F.lit(False)).select("id", F.lit(0.0).alias("pr"))
+            start = start.withColumns({"total": F.lit(one["total"]), "loose": F.lit(one["loose"])})
+        start = materialize(start.select(
+            "id",
+            (F.col("weight") / F.col("total")).alias("w"),
+            ((1 - alpha) * F.col("loose") / F.col("total")).alias("q"),
+        ))
+
+        rank = start.select("id", F.col("w").alias("r"))
+        for step in range(iterations):
+            moved = adj.expand(rank).select(F.col("dst").alias("id"), (F.col("r") * F.col("p")).alias("v"))
+            home = start.select("id", (F.col("w") * _teleport(F.col("q"), step, alpha)).alias("v"))
+            rank = moved.unionAll(home).groupBy("id").agg(F.sum("v").alias("r"))
+            if (step + 1) % CHECKPOINT_EVERY == 0 or step == iterations - 1:
+                rank = materialize(rank)
 
     named = rank.withColumnRenamed("id", "n").join(known, "n").select("id", *by, "r")
     if by:

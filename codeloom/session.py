@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +99,27 @@ def materialize_by(df: DataFrame, *keys: str, grouped: bool = False) -> DataFram
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+# Rows per partition of a loop over stored links.
+LOOP_ROWS = 250_000
+
+
+@contextmanager
+def partitions_for(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Use no more shuffle partitions than ``rows`` fill, while a loop is planned.
+
+    Inside a loop the stored side fixes the number of partitions, so it cannot
+    shrink at run time.  The session's own setting is the upper bound.
+    """
+    key = "spark.sql.shuffle.partitions"
+    now = spark.conf.get(key)
+    wanted = max(spark.sparkContext.defaultParallelism, rows // LOOP_ROWS + 1)
+    spark.conf.set(key, str(min(int(now), wanted)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, now)
+
+
 # Rows up to which a table may be sent whole to every executor.
 BROADCAST_ROWS = 100_000
 
