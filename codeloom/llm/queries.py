@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.registry import Query
 from ..sources.tables import table
-from . import chat, decontaminate, jaccard, mixing, rules, secrets
+from . import chat, decontaminate, jaccard, language, mixing, quality, rules, secrets
 
 QUERIES: dict[str, Query] = {}
 
@@ -48,6 +49,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def fold(parts: int, held: int):
+    """Marks the ids whose checksum leaves ``held`` when divided by ``parts``."""
+    def held_out(doc_id: Column) -> Column:
+        return F.pmod(F.crc32(doc_id.cast("string")), F.lit(parts)) == held
+
+    return held_out
+
+
+@query("op2_neighbour_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5, 0))
+
+
+@query("op3_hierarchical_language")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), fold(4, 2))
+
+
 @query("op4_temperature_mix")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
