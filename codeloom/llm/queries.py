@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Query
 from ..sources.tables import table
-from . import chat, decontaminate, jaccard, language, mixing, quality, rules, secrets
+from . import chat, decontaminate, jaccard, language, mixing, pii, quality, rules, secrets
 
 QUERIES: dict[str, Query] = {}
 
@@ -117,6 +117,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.report(table(spark, sf_dir, "documents"))
 
 
+@query("op7_lstm_crf_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 @query("op9_risk_controlled_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
