@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Query
 from ..sources.tables import table
-from . import chat, decontaminate, jaccard, language, mixing, pii, quality, rules, secrets
+from . import chat, decontaminate, jaccard, language, mixing, pii, quality, rules, secrets, suffix_levels
 
 QUERIES: dict[str, Query] = {}
 
@@ -122,6 +122,29 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+OP8_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, p, substr(x, CAST(2 * p + 1 AS BIGINT), 200) AS s FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99)) AS p FROM b)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+c AS (SELECT doc_id, q, substr(x, CAST(2 * q + 1 AS BIGINT), 2) AS y FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2)) AS q FROM b)),
+g AS (
+  SELECT c.doc_id, q, y, max(CASE WHEN r.p IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY c.doc_id ORDER BY q ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone
+  FROM c LEFT JOIN r ON r.doc_id = c.doc_id AND r.p = c.q),
+e AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY q), 0) = 0 THEN 1 ELSE 0 END AS begins FROM g),
+n AS (
+  SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, CAST(sum(begins) AS BIGINT) AS n_spans,
+    coalesce(string_agg(y, '' ORDER BY q) FILTER (gone = 0), '') AS kept FROM e GROUP BY doc_id)
+SELECT b.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM b LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op8_suffix_levels", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_levels.report(table(spark, sf_dir, "documents"))
+
+
 @query("op9_risk_controlled_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
