@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ranking import top_per_group
+
 # Bits of a broadcast bitmap: one megabyte.
 BITMAP_BITS = 1 << 23
 _BUCKET = 32768
@@ -168,6 +170,22 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out + U(k))
 
 
+def thinned(df: DataFrame, key: Column, total: int, wanted: int) -> DataFrame:
+    """Rows whose hash is among the lowest part, about twice ``wanted`` of ``total`` rows.
+
+    A sample of the smallest hashes is taken from these, so that what reaches
+    its last task does not grow with the number of tasks before.
+    """
+    part = min(1.0, (2 * wanted + 100) / max(1, total))
+    return df if part == 1.0 else df.where(F.pmod(key, F.lit(1 << 31)) < int(part * (1 << 31)))
+
+
+def smallest(df: DataFrame, group: list[str], order: list[Column], n: int, salts: int = 64) -> DataFrame:
+    """The first ``n`` rows of every group, in two steps so that no task sees all tasks' candidates."""
+    once = top_per_group(df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts))), [*group, "_salt"], order, n).drop("rank")
+    return top_per_group(once, group, order, n).drop("rank", "_salt")
+
+
 def broadcast(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
 

@@ -24,7 +24,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import top_per_group
 from ..session import materialize
 from . import common as C
 
@@ -162,7 +161,7 @@ def learn(documents: DataFrame, may_learn: Callable[[Column], Column], per_langu
     """A model from a bounded sample; the driver sees ``per_language`` vectors and their pieces per language."""
     docs = C.only(documents, "doc_id", "text", "lang").where(may_learn(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     docs = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "text", F.col("lang").alias("lang"))
-    ids = materialize(top_per_group(docs.select("rid", "lang").distinct(), ["lang"], [F.col("rid")], per_language).drop("rank"))
+    ids = materialize(C.smallest(docs.select("rid", "lang"), ["lang"], [F.col("rid")], per_language).distinct())
     bitmap = C.broadcast(documents.sparkSession, C.bitmap_of(ids, "rid"))
     rows = docs.select("rid", "text").mapInArrow(_examples(bitmap), "rid long, nth int, x binary")
     found = rows.join(ids, "rid").dropDuplicates(["rid", "nth", "lang"]).orderBy("lang", "rid", "nth").toArrow()

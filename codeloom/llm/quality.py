@@ -122,7 +122,10 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(documents: DataFrame, labels: DataFrame, may_learn: Callable[[Column], Column], sample: int = SAMPLE) -> Space | None:
     best = C.only(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").where(may_learn(F.col("doc_id")))
     best = best.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = materialize(best.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # at most ``sample`` short rows
+    key = F.xxhash64("doc_id")
+    best = materialize(best)
+    chosen = C.thinned(best, key, best.count(), sample).orderBy(key, "doc_id").limit(sample)
+    chosen = materialize(chosen)  # at most ``sample`` short rows
     docs = C.only(documents, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.col("quality").cast("int").alias("quality"), "text")
     kind = dict(docs.dtypes)["doc_id"]
     # rows that repeat an id teach once
