@@ -34,6 +34,21 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.toDF(*[f"_c{i}" for i in range(len(names))]).select(*[F.col(f"_c{i}").alias(c) for c, i in at.items()])
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The same rows with columns ``_c0, _c1, ...``, so that no name can clash; ``named`` undoes it."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
+def named(df: DataFrame, like: DataFrame) -> DataFrame:
+    return df.select(*[f"_c{i}" for i in range(len(like.columns))]).toDF(*like.columns)
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """``numbered`` rows with the two hashes of ``row_key``, named ``k1`` and ``k2``."""
+    at = [f"_c{df.columns.index(c)}" for c in ("doc_id", "text")]
+    return numbered(df).withColumns({"k1": F.xxhash64(*at), "k2": F.hash(*at)})
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows evenly when the scan gives fewer tasks than the cluster has slots."""
     slots = df.sparkSession.sparkContext.defaultParallelism

@@ -171,5 +171,4 @@ def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents that share no window with the benchmark."""
     bad = find_overlaps(documents, benchmark).where("contaminated").select("k1", "k2").distinct()
-    keyed = documents.withColumns({"k1": C.row_key()[0], "k2": C.row_key()[1]})
-    return keyed.join(bad, ["k1", "k2"], "left_anti").select(*documents.columns)
+    return C.named(C.keyed(documents).join(bad, ["k1", "k2"], "left_anti"), documents)

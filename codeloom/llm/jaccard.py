@@ -326,8 +326,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
 
     Rows without id stay unless they link with a row that has one.
     """
-    gone = similar_documents(documents).where("doc_id is distinct from component_id").select(F.col("rid").alias("__rid")).distinct()
-    numbered = documents.withColumn("__rid", F.xxhash64("doc_id", "text"))
-    line = Window.partitionBy("__rid").orderBy(F.lit(0))
-    kept = numbered.join(gone, "__rid", "left_anti").withColumn("__nth", F.row_number().over(line))
-    return kept.where("__nth = 1").drop("__rid", "__nth")
+    gone = similar_documents(documents).where("doc_id is distinct from component_id").select(F.col("rid").alias("k1")).distinct()
+    kept = C.keyed(documents).join(gone, "k1", "left_anti")
+    first = Window.partitionBy("k1").orderBy("k2")
+    return C.named(kept.withColumn("nth", F.row_number().over(first)).where("nth = 1"), documents)

@@ -131,7 +131,13 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def mixed_documents(documents: DataFrame, **how) -> DataFrame:
-    """The scheduled rows with all columns of their documents, plus epoch, block and place."""
-    plan = schedule(documents, **how).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "epoch", "block", "place").distinct()
-    keyed = documents.withColumns(dict(zip(("__k1", "__k2"), C.row_key())))
-    return keyed.join(plan, ["__k1", "__k2"]).drop("__k1", "__k2")
+    """The scheduled rows with all columns of their documents, plus mix_epoch, mix_block and mix_place.
+
+    Columns of these names in the input give way.
+    """
+    plan = schedule(documents, **how).select(
+        "k1", "k2", F.col("epoch").alias("mix_epoch"), F.col("block").alias("mix_block"), F.col("place").alias("mix_place")).distinct()
+    mix = [c for c in plan.columns if c.startswith("mix_")]
+    rows = C.keyed(documents).join(plan, ["k1", "k2"])
+    keep = [i for i, c in enumerate(documents.columns) if c not in mix]
+    return rows.select(*[f"_c{i}" for i in keep], *mix).toDF(*[documents.columns[i] for i in keep], *mix)

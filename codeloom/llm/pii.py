@@ -390,4 +390,5 @@ def mask(documents: DataFrame, windows: int = WINDOWS) -> DataFrame:
                 cols[n_at] = pa.array(sizes, batch.schema.field(n_at).type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    return documents.mapInArrow(run, documents.schema)
+    plain = C.numbered(documents)
+    return C.named(plain.mapInArrow(run, plain.schema), documents)

@@ -172,4 +172,5 @@ def keep_good(documents: DataFrame, labels: DataFrame, held_out: Callable[[Colum
             text = pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])
             yield batch.filter(pa.array(_scores(s, text) >= CUT))
 
-    return documents.mapInArrow(run, documents.schema)
+    plain = C.numbered(documents)
+    return C.named(plain.mapInArrow(run, plain.schema), documents)
