@@ -66,7 +66,7 @@ class Engine:
         inside = self.out.startswith(self.root + "/")
         return self.out[len(self.root) + 1:] if inside else None
 
-    def build(self, summarizer: E.Summarizer | None = None, body_cap: int | None = None) -> BuildStats:
+    def build(self, summarizer: E.Summarizer | None = None) -> BuildStats:
         """Bring the stored graph up to date.
 
         Every file is read and hashed; rows of unchanged files are taken from
@@ -77,8 +77,9 @@ class Engine:
         # contents are hashed here and read again for changed files only
         prints = materialize(FS.read_contents(FS.source_files(files), self.root).drop("content"))
         modules = FS.go_modules(FS.read_contents(files.where(X.basename(F.col("path")) == "go.mod"), self.root))
-        scopes = [s["prefix"] for s in SC.discover(FS.project_tree(self.spark, self.root, listing))]
-        return self._store_build(prints, materialize(modules), scopes, summarizer, body_cap)
+        found = SC.discover(*FS.project_tree(self.spark, self.root, listing))
+        scopes = [r["prefix"] for r in found.orderBy(F.length("prefix").desc(), "prefix").collect()]  # one per project
+        return self._store_build(prints, materialize(modules), scopes, summarizer)
 
     def apply(self, changes: DataFrame) -> BuildStats:
         """Take over named changes (path) without listing or reading the rest.
@@ -96,7 +97,7 @@ class Engine:
 
     def _store_build(
         self, prints: DataFrame, modules: DataFrame, scopes: list[str],
-        summarizer: E.Summarizer | None = None, body_cap: int | None = None,
+        summarizer: E.Summarizer | None = None,
     ) -> BuildStats:
         """Extract what changed, replay the rest, resolve, enrich and store a new version.
 
@@ -113,7 +114,7 @@ class Engine:
             same = good.select("path", "hash").limit(0)
         todo = materialize(good.join(same.select("path"), "path", "left_anti").select("path", "size", "mtime"))
         changed = FS.read_contents(todo, self.root).where(F.col("content").isNotNull()).persist(StorageLevel.DISK_ONLY)
-        fresh = EX.extract(changed.select("path", "content"), body_cap)
+        fresh = EX.extract(changed.select("path", "content"))
         nodes, raw = conform(fresh.nodes, NODES), conform(fresh.raw_edges, RAW_EDGES)
         if seen is not None:
             nodes = nodes.unionByName(self.store.table("memo_nodes").join(same.select("path"), "path", "left_semi").select(*nodes.columns))
@@ -217,7 +218,7 @@ class Engine:
         nodes, edges = self.nodes(), self.edges()
         prefix = within.rstrip("/") if within else None
         if prefix and nodes.where(X.under_prefix(F.col("path"), prefix)).isEmpty():
-            raise ValueError(f'nothing indexed under "{prefix}/"')
+            raise ValueError(f"no indexed path begins with {prefix}/")
         found = W.structural(nodes, edges, query, limit, prefix)
         if found is not None and found.answered:
             answer = Answer("structural", found.hits, found.note, found.subject)

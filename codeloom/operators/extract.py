@@ -334,10 +334,10 @@ class Extracted:
         system.delete_dir(base)
 
 
-def extract(files: DataFrame, body_cap: int | None = None) -> Extracted:
+def extract(files: DataFrame) -> Extracted:
     """Nodes and raw edges of ``files`` (path, content).
 
-    ``body_cap`` cuts the searchable body of a definition; by default it is whole.
+    The searchable body of a definition is whole.
     """
     from . import wiring
 
@@ -363,10 +363,10 @@ def extract(files: DataFrame, body_cap: int | None = None) -> Extracted:
         make_id(F.col("path"), outer).alias("parent"),
     ))
     exported = wiring.exports(toks, placed)
-    return Extracted(_nodes(files, placed, exported, body_cap), wiring.raw_edges(toks, placed), scratch)
+    return Extracted(_nodes(files, placed, exported), wiring.raw_edges(toks, placed), scratch)
 
 
-def _nodes(files: DataFrame, placed: DataFrame, exported: DataFrame, body_cap: int | None) -> DataFrame:
+def _nodes(files: DataFrame, placed: DataFrame, exported: DataFrame) -> DataFrame:
     defs = placed.join(exported, ["path", "seq"], "left")
     packed = defs.groupBy("path").agg(F.collect_list(F.struct(
         "seq", "id", "name", "kind", F.col("line").alias("start_line"), "end_line", "start_off", "end_off", "header_off",
@@ -384,7 +384,7 @@ def _nodes(files: DataFrame, placed: DataFrame, exported: DataFrame, body_cap: i
     symbols = one.select(
         "id", "name", "kind", "path", "start_line", "end_line", "signature", "exported", F.lit("ast").alias("origin"),
         X.content_hash(F.col("body")).alias("body_hash"), F.lit(None).cast("bigint").alias("chars"),
-        (X.search_body(F.col("body"), body_cap) if body_cap else X.collapse(F.col("body"))).alias("body_text"), "ord")
+        X.collapse(F.col("body")).alias("body_text"), "ord")
     rest = file_residual(supported, symbols).select("path", "residual")
     file_rows = supported.join(rest, "path", "left").select(
         F.col("path").alias("id"), X.basename(F.col("path")).alias("name"), F.lit("file").alias("kind"), "path",

@@ -13,7 +13,7 @@ from ..functions.ranking import top_per_group
 from ..session import materialize
 from . import ask as A
 from .fuse import Fusion, fuse_scopes, strong_enough
-from .grep import MAX_HITS, group_hits, innermost_span, matching_lines
+from .grep import group_hits, innermost_span, matching_lines
 from .repomap import HUBS_PER_DIR, MAX_DIRS, dir_entries, dir_hubs, grouped
 from .walk import impact, one_hop, symbol_tier
 
@@ -63,14 +63,16 @@ def _per_repo(docs: DataFrame, edges: DataFrame | None, query: str) -> DataFrame
 
 
 def federate_grep(
-    nodes: DataFrame, edges: DataFrame, files: DataFrame, pattern: str, max_hits: int = MAX_HITS, **flags
+    nodes: DataFrame, edges: DataFrame, files: DataFrame, pattern: str, max_hits: int | None = None, **flags
 ) -> tuple[DataFrame, DataFrame]:
-    """Grouped hits over all repositories and the counts; the cap holds per repository.
+    """Grouped hits over all repositories and the counts; a page, if asked for, is per repository.
 
     Paths are qualified; ``files`` carries ``repo``.
     """
     found = materialize(
         matching_lines(files, pattern, **flags).join(files.select("path", "repo"), "path"))
+    if max_hits is None:
+        max_hits = (1 << 31) - 1
     counts = found.groupBy("repo").agg(F.count("*").alias("n")).select(
         "repo", F.least("n", F.lit(max_hits)).alias("total_hits"),
         F.greatest(F.col("n") - max_hits, F.lit(0)).alias("dropped"))

@@ -11,10 +11,6 @@ from ..functions import text as X
 from ..schemas import walk_edges
 from ..session import materialize
 
-# Collected hits and shown characters.
-MAX_HITS = 300
-MAX_HIT_TEXT = 160
-
 # Lines per bucket of the range join.
 BUCKET = 64
 
@@ -70,12 +66,12 @@ def grep(
     fixed: bool = False,
     ignore_case: bool = False,
     within: str | None = None,
-    max_hits: int | None = MAX_HITS,
+    max_hits: int | None = None,
 ) -> GrepResult:
     """Search whole files and group the hits by definition.
 
-    Hits beyond ``max_hits`` (in path and line order) are counted, not listed;
-    the cap is part of the report.
+    All hits are listed, unless a page of the first ``max_hits`` in path and
+    line order is asked for; the others are then counted.
     """
     found = materialize(matching_lines(files, pattern, fixed, ignore_case, within))
     total = found.count()
@@ -91,7 +87,7 @@ def group_hits(hits: DataFrame, edges: DataFrame) -> DataFrame:
     """Hits per definition (or per file outside any), most-used first."""
     keyed = hits.select(
         F.coalesce("span_id", F.concat(F.lit("file:"), F.col("path"))).alias("key"),
-        "span_id", "path", "line", F.substring(F.trim("text"), 1, MAX_HIT_TEXT).alias("text"),
+        "span_id", "path", "line", F.trim("text").alias("text"),
     )
     groups = keyed.groupBy("key", "span_id", "path").agg(
         F.count("*").alias("n_hits"),

@@ -40,15 +40,13 @@ def saved_percent(baseline_chars: Column, output_chars: Column) -> Column:
     return F.floor(100.0 * saved / base + 0.5).cast("long")
 
 
-def footer(body: str, saved: dict | None, label: str) -> str:
-    """The line under a text answer, or nothing when there is no gain."""
-    if not saved or not saved.get("baseline_chars"):
+def footer(hits: DataFrame, nodes: DataFrame, body: str, label: str) -> str:
+    """A line below an answer on what it spared, from the columns above; empty when it spared nothing."""
+    size = F.lit(len(body))
+    whole = savings_for(nodes, pointer_paths(hits))
+    row = whole.select(
+        "files", saved_tokens(F.col("baseline_chars"), size).alias("spared"),
+        saved_percent(F.col("baseline_chars"), size).alias("percent")).first()
+    if row["spared"] is None:
         return ""
-    out, base = int(len(body) / 4 + 0.5), int(saved["baseline_chars"] / 4 + 0.5)
-    if base <= out:
-        return ""
-    gain = base - out
-    return (
-        f"\n\n[{label}] tokens saved ≈ {gain:,} ({int(100 * gain / base + 0.5)}%); this output ≈ {out:,} tok"
-        f" vs reading {saved['files']} file(s) whole ≈ {base:,} tok (estimate)"
-    )
+    return f"\n\n{label}: about {row['spared']:,} tokens less than {row['files']} whole files ({row['percent']}% spared)"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,73 +56,54 @@ def substantial(nodes: DataFrame, scopes: list[str]) -> list[str]:
     return kept or [""]
 
 
-@dataclass
-class Tree:
-    """The directories of a source tree and the project files found in them."""
-
-    dirs: set[str]
-    markers: dict[str, list[str]] = field(default_factory=dict)
-    globs: list[str] | None = None
-
-
-def glob_matches(tree: Tree, pattern: str) -> set[str]:
-    """Directories a workspace entry stands for: ``a/*``, ``a/**`` or a literal."""
-    norm = pattern.replace("\\", "/").rstrip("/")
-    base, star, rest = norm.rpartition("/") if "*" in norm else (norm, "", "")
-    if not star and "*" in norm:
-        base, rest = "", norm
-    if "*" not in norm:
-        return {norm} & tree.dirs
-    if rest not in ("*", "**") or "*" in base:
-        return set()
-    head = base + "/" if base else ""
-    below = {d for d in tree.dirs if d and d.startswith(head)}
-    return below if rest == "**" else {d for d in below if "/" not in d[len(head):]}
+def _matches(path: Column, pattern: str) -> Column:
+    """Whether a directory is one that a workspace entry stands for: ``a/*``, ``a/**`` or a plain path."""
+    pattern = pattern.replace("\\", "/").rstrip("/")
+    if "*" not in pattern:
+        return path == pattern
+    head, _, last = pattern.rpartition("/")
+    if "*" in head or last not in ("*", "**"):
+        return F.lit(False)
+    below = (path != "") & F.startswith(path, F.lit(f"{head}/" if head else ""))
+    return below if last == "**" else below & (F.size(F.split(path, "/")) == len(head.split("/")) * bool(head) + 1)
 
 
-def _nearest_ancestor(prefix: str, among) -> str | None:
-    parts = prefix.split("/")
-    for i in range(len(parts) - 1, 0, -1):
-        up = "/".join(parts[:i])
-        if up in among:
-            return up
-    return None
+def _with_parent(scopes: DataFrame) -> DataFrame:
+    """Each scope with the closest other one above it: adds ``up`` and ``up_listed``, null where there is none."""
+    above = scopes.select("prefix", F.explode(prefixes(F.col("prefix"))).alias("up")).where(F.col("up") != F.col("prefix"))
+    known = scopes.select(F.col("prefix").alias("up"), F.col("listed").alias("up_listed"))
+    parent = above.join(known, "up").groupBy("prefix").agg(F.max_by(F.struct("up", "up_listed"), F.length("up")).alias("p"))
+    return scopes.join(parent, "prefix", "left").select("prefix", "markers", "listed", "p.up", "p.up_listed")
 
 
-def discover(tree: Tree) -> list[dict]:
-    """Project scopes of a tree, longest prefix first.
+def discover(dirs: DataFrame, marks: DataFrame, globs: list[str] | None) -> DataFrame:
+    """Project scopes (prefix, label, markers) of a tree, as joins of directories with the ones above them.
 
-    Works on the short list of directories with project files, not on the
-    files themselves.  A workspace match beats a plain parent; of two nested
-    scopes of the same standing the shallower one stays.
+    ``dirs``: dir.  ``marks``: dir, marker, the project files.  A directory is a
+    scope when the workspace entries ``globs`` list it, or when it holds a
+    project file at most two levels down.  Where there are entries,
+    ``package.json`` counts only in listed directories.  A listed scope
+    replaces an unlisted one right above it; after that, a scope below another
+    stays only if it is listed and the other is not.  Without any, the root is.
     """
-    matched = set().union(*[glob_matches(tree, g) for g in tree.globs]) if tree.globs else set()
-    found: dict[str, tuple[list[str], bool]] = {}
-    for d, marks in tree.markers.items():
-        is_workspace = d in matched
-        if tree.globs is not None and not is_workspace:
-            marks = [m for m in marks if m != "package.json"]
-        depth = 0 if d == "" else d.count("/") + 1
-        if marks and (is_workspace or depth <= 2):
-            found[d] = (marks, is_workspace)
-    for d in matched:
-        found[d] = (found.get(d, (tree.markers.get(d, []), True))[0], True)
-
-    beaten = set()
-    for d, (_, is_workspace) in found.items():
-        up = _nearest_ancestor(d, found) if is_workspace else None
-        if up is not None and not found[up][1]:
-            beaten.add(up)
-    found = {d: v for d, v in found.items() if d not in beaten}
-
-    nested = set()
-    for d, (_, is_workspace) in found.items():
-        up = _nearest_ancestor(d, found) if d else None
-        if up is not None and (not is_workspace or found[up][1]):
-            nested.add(d)
-    left = {d: v[0] for d, v in found.items() if d not in nested}
-
-    if not left:
-        return [{"prefix": "", "label": "", "markers": []}]
-    ordered = sorted(left, key=lambda p: (-len(p), p))
-    return [{"prefix": p, "label": p, "markers": left[p]} for p in ordered]
+    hit = F.lit(False)
+    for g in globs or []:
+        hit = hit | _matches(F.col("dir"), g)
+    listed = dirs.where(hit).select("dir").distinct().withColumn("listed", F.lit(True))
+    rank = F.array_position(F.array(*[F.lit(m) for m in MARKERS]), F.col("marker"))
+    flagged = marks.join(listed, "dir", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    if globs is not None:
+        flagged = flagged.where(F.col("listed") | (F.col("marker") != "package.json"))
+    held = flagged.groupBy("dir").agg(F.array_sort(F.collect_set(F.struct(rank.alias("r"), "marker"))).alias("m"))
+    level = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
+    found = held.join(listed, "dir", "full_outer").where(F.col("listed") | (level <= 2)).select(
+        F.col("dir").alias("prefix"), F.coalesce(F.transform("m", lambda x: x["marker"]), F.array().cast("array<string>")).alias("markers"),
+        F.coalesce("listed", F.lit(False)).alias("listed"))
+    replaced = _with_parent(found).where("listed and not up_listed").select(F.col("up").alias("prefix")).distinct()
+    found = found.join(replaced, "prefix", "left_anti")
+    kept = _with_parent(found).where("up is null or (listed and not up_listed)").select(
+        "prefix", F.col("prefix").alias("label"), "markers")
+    spark = dirs.sparkSession
+    root = spark.createDataFrame([("", "", [])], "prefix string, label string, markers array<string>")
+    none = kept.groupBy().count().where("count = 0")
+    return kept.union(root.join(none).select("prefix", "label", "markers"))

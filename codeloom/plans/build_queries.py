@@ -31,11 +31,11 @@ INNER = """inner_span AS (
   FROM {hits} h LEFT JOIN spans s ON s.path = h.path AND h.line BETWEEN s.s AND s.e GROUP BY h.path, h.line, h.text)"""
 
 
-@query("grep_hits", f"""WITH {Q.LINES}, {HITS} SELECT path, line, substring(trim(text), 1, 160) AS text FROM hits""")
+@query("grep_hits", f"""WITH {Q.LINES}, {HITS} SELECT path, line, trim(text) AS text FROM hits""")
 def grep_hits(spark, sf):
     found = G.matching_lines(S.document_files(spark, sf), PATTERN)
     return found.select("path", F.col("line").cast("long").alias("line"),
-                        F.substring(F.trim("text"), 1, G.MAX_HIT_TEXT).alias("text"))
+                        F.trim("text").alias("text"))
 
 
 @query("grep_literal", f"""WITH {Q.LINES}
@@ -67,12 +67,12 @@ def grep_grouped(spark, sf):
     return groups.select("path", "key", "in_degree", "n_hits", F.col("first_line").cast("long").alias("first_line"))
 
 
-@query("grep_hit_cap", f"""WITH {Q.LINES}, {HITS}, kept AS (SELECT * FROM hits ORDER BY path, line LIMIT 300), {Q.SPANS},
+@query("grep_hit_cap", f"""WITH {Q.LINES}, {HITS}, kept AS (SELECT * FROM hits ORDER BY path, line LIMIT 20), {Q.SPANS},
 {INNER.format(hits='kept')}
-SELECT span_id AS key, count(*) AS n_hits, (SELECT greatest(count(*) - 300, 0) FROM hits) AS dropped FROM inner_span GROUP BY span_id""")
+SELECT span_id AS key, count(*) AS n_hits, (SELECT greatest(count(*) - 20, 0) FROM hits) AS dropped FROM inner_span GROUP BY span_id""")
 def grep_cap(spark, sf):
-    """The report lists 300 hits and counts the rest."""
-    res = _grep(spark, sf, G.MAX_HITS)
+    """A page of 20 hits, with the others counted."""
+    res = _grep(spark, sf, 20)
     return res.groups.select("key", "n_hits", F.lit(res.dropped).cast("long").alias("dropped"))
 
 
@@ -377,7 +377,7 @@ def check_graph(spark, sf):
 DRAFTS = """
 drafts AS (
   SELECT doc_id AS ord, regexp_extract(text, '^[A-Za-z]+') AS name, CASE WHEN lang = 'en' THEN 'concept' ELSE lang END AS type,
-         split_part(text, chr(10), 1) AS summary, lang || '/' || source || '/' || doc_id AS path,
+         text AS summary, lang || '/' || source || '/' || doc_id AS path,
          regexp_extract(text, '^\\S+\\s+([A-Za-z]+)', 1) AS to_name, source AS relation FROM documents),
 slugged AS (SELECT *, CASE WHEN name = '' THEN 'node' ELSE lower(name) END AS slug, lower(name) AS key FROM drafts),
 merged AS (
@@ -398,7 +398,7 @@ def drafts(spark, sf):
     return d.select(
         F.col("doc_id").alias("ord"), F.regexp_extract("text", "^[A-Za-z]+", 0).alias("name"),
         F.when(F.col("lang") == "en", "concept").otherwise(F.col("lang")).alias("type"),
-        F.substring_index("text", "\n", 1).alias("summary"),
+        F.col("text").alias("summary"),
         F.when(F.col("lang") == "en", F.array(path)).otherwise(F.array()).alias("sources"),
         F.array(link).alias("links"))
 
@@ -533,8 +533,7 @@ def novelty(spark, sf):
 @query("novelty_stream", f"WITH RECURSIVE {SEEN} SELECT session, step, pointer FROM walked WHERE fresh")
 def novelty_stream(spark, sf):
     """The same gate as a stream over the events file."""
-    events = S.table(spark, sf, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = event_stream(spark, sf)
     rows = stream.select(
         F.col("user_id").alias("session"), F.col("event_id").alias("step"),
         F.concat("event_type", F.regexp_extract("props", r"(\d+)", 1)).alias("pointer"))
@@ -543,16 +542,34 @@ def novelty_stream(spark, sf):
 
 @query("event_counts_stream", """WITH d AS (
   SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2)
-SELECT start, event_type, n, total FROM d
-WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+SELECT start, event_type, n, total FROM d""")
 def event_counts(spark, sf):
-    """Daily counts with a watermark; days it has not passed stay open."""
-    events = S.table(spark, sf, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    out = drain(spark, SS.event_counts_stream(stream), "counts")
+    """Daily counts as they stand when the stream has read what is there; the last day counts as well."""
+    out = drain_latest(spark, SS.event_counts_stream(event_stream(spark, sf)), "counts", ["start", "event_type"])
     return out.select("start", "event_type", "n", F.round("total", 2).alias("total"))
 
 
+def event_stream(spark, sf):
+    """The events table as a stream, whether it is one file or a folder of files."""
+    schema = S.table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")  # the glob admits both
+
+
+def drain_latest(spark, stream, name, keys):
+    """Run a stream of updates over what is there; the last state of every key."""
+    base = f"{checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+
+    def keep(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/at={number}")
+
+    q = (stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/state")
+         .outputMode("update").trigger(availableNow=True).start())
+    q.awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(stream.schema.add("batch", "long")).option("recursiveFileLookup", "true").parquet(f"{base}/out")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+
+
 def drain(spark, stream, name):
     """Run a stream over what is there and read its output back."""
     base = f"{checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"

@@ -87,7 +87,8 @@ SELECT scope, path, files, symbols, row_number() OVER (PARTITION BY scope ORDER
 def q_map_scopes(spark, sf):
     nodes = S.document_nodes(spark, sf)
     edges = S.span_edges(spark, sf)
-    rm = M.repo_map(nodes, edges, ["de", "en", "es", "fr"], icu=False)
+    langs = [r["lang"] for r in nodes.select("lang").distinct().orderBy("lang").collect()]  # one per scope
+    rm = M.repo_map(nodes, edges, langs, icu=False)
     return rm.dirs.join(rm.dropped, "scope").select(
         "scope", "path", "files", "symbols", F.col("rank").cast("long").alias("rank"), "dropped")
 

@@ -17,7 +17,7 @@ def tokens(expr: str) -> str:
 
 DOCS = """
 docs AS (
-  SELECT 'doc:' || doc_id AS id, substring(split_part(text, chr(10), 1), 1, 40) AS name,
+  SELECT 'doc:' || doc_id AS id, split_part(text, chr(10), 1) AS name,
          CASE WHEN contains(text, chr(10)) THEN 'file' ELSE 'function' END AS kind,
          lang || '/' || source || '/' || doc_id AS path, text AS body, lang, source, doc_id,
          length(text) AS chars, 1 AS start_line, len(string_split(text, chr(10))) AS end_line

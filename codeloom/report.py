@@ -4,6 +4,8 @@ from __future__ import annotations
 
 
 
+from pyspark.sql import functions as F
+
 from .engine import Answer, Engine
 from .operators import repomap as M
 from .operators import savings as SV
@@ -12,11 +14,6 @@ LABEL = "codeloom"
 SHOWN = 200
 
 
-def _saved(engine: Engine, hits) -> dict | None:
-    row = engine.savings(hits).first()
-    return row.asDict() if row and row["files"] else None
-
-
 def ask_text(engine: Engine, query: str, answer: Answer) -> str:
     rows = answer.hits.collect()  # at most the asked number of hits
     lines = [f'{LABEL} ask: "{query}"  ({answer.mode})', ""]
@@ -43,7 +40,7 @@ def ask_text(engine: Engine, query: str, answer: Answer) -> str:
         if also:
             lines += ["", "also matched: " + ", ".join(a or "(root)" for a in also)]
     body = "\n".join(lines)
-    return body + (SV.footer(body, _saved(engine, answer.hits), LABEL) if "code" in answer.hits.columns else "") + "\n"
+    return body + (SV.footer(answer.hits, engine.nodes(), body, LABEL) if "code" in answer.hits.columns else "") + "\n"
 
 
 def skeleton_text(engine: Engine, file: str) -> str:
@@ -76,15 +73,17 @@ def callers_text(engine: Engine, symbol: str, direction: str = "in", depth: int
 
 def grep_text(engine: Engine, pattern: str, within: str | None = None, ignore_case: bool = False, fixed: bool = False) -> str:
     res = engine.grep(pattern, within, ignore_case, fixed)
-    groups = res.groups.collect()  # holds at most the capped number of hits
-    paths = {g["path"] for g in groups}
-    lines = [f'{LABEL} grep: "{pattern}": {res.total} hits in {len(groups)} groups, {len(paths)} files']
+    size = res.groups.agg(F.count("*").alias("groups"), F.countDistinct("path").alias("files")).first()
+    groups = res.groups.limit(SHOWN).collect()
+    lines = [f'{LABEL} grep: "{pattern}": {res.total} hits in {size["groups"]} groups, {size["files"]} files']
     for g in groups:
         name = g["span_id"].split("#", 1)[-1] if g["span_id"] else "(module level)"
         lines += ["", f"{name}  {g['path']}  ({g['in_degree']}←)"]
-        lines += [f"  {h['line']}: {h['text']}" for h in g["hits"]]
-    if res.dropped:
-        lines += ["", f"… {res.dropped} more hits not shown"]
+        lines += [f"  {h['line']}: {h['text']}" for h in g["hits"][:SHOWN]]
+        if g["n_hits"] > SHOWN:
+            lines.append(f"  and {g['n_hits'] - SHOWN} further lines")
+    if size["groups"] > SHOWN:
+        lines += ["", f"and {size['groups'] - SHOWN} further groups"]
     return "\n".join(lines) + "\n"
 
 

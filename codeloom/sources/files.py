@@ -19,14 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators.scopes import MARKERS, Tree
+from ..operators.scopes import MARKERS
 from ..session import materialize
 
-# Directories never entered and the size limit of a source file.
+# Directories never entered.
 SKIP_DIRS = [
-    "node_modules", "dist", "build", "out", "target", "vendor", "__pycache__", "venv", "coverage",
+    "node_modules", "dist", "build", "out", "target", "vendor", "coverage", "__pycache__", "venv",
 ]
-MAX_FILE_BYTES = 1_000_000
 
 # Extensions that concept notes are built from.
 CODE_EXTENSIONS = [
@@ -80,8 +79,8 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, root: str, skip: str | None = None) -> DataFrame:
-    """Files up to a megabyte: (path, size, mtime).  ``skip`` is the output folder."""
-    files = list_tree(spark, root).where(~F.col("is_dir") & (F.col("size") <= MAX_FILE_BYTES))
+    """All files: (path, size, mtime).  ``skip`` is the output folder."""
+    files = list_tree(spark, root).where(~F.col("is_dir"))
     if skip:
         files = files.where(~X.under_prefix(F.col("path"), skip))
     return files.select("path", "size", "mtime")
@@ -188,20 +187,12 @@ def workspace_globs(pnpm: str | None, package: str | None) -> list[str] | None:
     return None
 
 
-def project_tree(spark: SparkSession, root: str, listing: DataFrame) -> Tree:
-    """Directories with project files, and the workspace entries of the root.
-
-    Directory names are collected only when the root names a workspace; else
-    just the few directories that hold a project file come back.
-    """
+def project_tree(spark: SparkSession, root: str, listing: DataFrame) -> tuple[DataFrame, DataFrame, list[str] | None]:
+    """What scopes are found from: directories (dir), project files (dir, marker), workspace entries of the root."""
     name = X.basename(F.col("path"))
-    marked = listing.where(~F.col("is_dir") & name.isin(*MARKERS)).select(
+    marks = listing.where(~F.col("is_dir") & name.isin(*MARKERS)).select(
         F.when(F.instr("path", "/") > 0, X.dirname(F.col("path"))).otherwise("").alias("dir"), name.alias("marker"))
-    markers: dict[str, list[str]] = {}
-    for r in marked.collect():
-        markers.setdefault(r["dir"], []).append(r["marker"])
-    for d in markers:
-        markers[d].sort(key=MARKERS.index)
+    dirs = listing.where(F.col("is_dir") & (name != ".git")).select(F.col("path").alias("dir"))
     system, base = open_root(root)
 
     def text_of(file: str) -> str | None:
@@ -211,13 +202,7 @@ def project_tree(spark: SparkSession, root: str, listing: DataFrame) -> Tree:
         with system.open_input_file(at) as f:
             return f.read().decode("utf-8", errors="replace")
 
-    globs = workspace_globs(text_of("pnpm-workspace.yaml"), text_of("package.json"))
-    dirs = set(markers)
-    if globs:
-        heads = [g.replace("\\", "/").split("*")[0].rstrip("/") for g in globs]
-        near = reduce(lambda a, b: a | b, [X.under_prefix(F.col("path"), h) for h in heads])
-        dirs |= {r[0] for r in listing.where(F.col("is_dir") & near & (name != ".git")).select("path").collect()}
-    return Tree(dirs, markers, globs)
+    return dirs, marks, workspace_globs(text_of("pnpm-workspace.yaml"), text_of("package.json"))
 
 
 def child_repositories(listing: DataFrame) -> list[str]:

@@ -82,7 +82,7 @@ def concept_docs(notes: DataFrame) -> DataFrame:
 DEFAULT_TAIL = "\n## Notes\n\n_Text below the generated block is kept when the note is written again._\n"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())  # a parsed type name would need a session at import
 def _yaml(front: pd.DataFrame) -> pd.Series:
     import yaml
 

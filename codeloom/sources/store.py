@@ -156,7 +156,9 @@ def _sorted(df: DataFrame, *keys: str) -> DataFrame:
 
 def extractor_stamp() -> str:
     """Identity of the extraction rules; stored rows of other rules are not reused."""
-    from ..operators import extract, wiring
+    from .. import schemas
+    from ..functions import text
+    from ..operators import extract, grep, wiring
 
-    sources = "".join(inspect.getsource(m) for m in (extract, wiring))
+    sources = "".join(inspect.getsource(m) for m in (schemas, text, extract, grep, wiring))
     return hashlib.sha256(sources.encode()).hexdigest()[:16]

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,22 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Inputs up to this size are spread before heavy work per row.
-SPREAD_BYTES = 1 << 30
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small input as many partitions as there are cores.
-
-    A table in a few small files may sit in one row group and so in one task.
-    Inputs of many files, or of more than a gigabyte, are left as they are.
-    """
+    """Deal rows evenly when a scan gives fewer tasks than there are cores, before heavy work per row."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if len(files) >= cores:
-        return df
-    sizes = [fs.get_file_info(path).size or 0 for fs, path in (pafs.FileSystem.from_uri(f) for f in files)]
-    return df.repartition(cores) if sum(sizes) <= SPREAD_BYTES else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _key(prefix: str, col: str) -> Column:
@@ -117,7 +104,7 @@ def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     return d.select(
         _key("doc", "doc_id").alias("id"),
-        F.substring(F.substring_index(text, "\n", 1), 1, 40).alias("name"),
+        F.substring_index(text, "\n", 1).alias("name"),
         F.when(F.contains(text, F.lit("\n")), "file").otherwise("function").alias("kind"),
         F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("path"),
         F.lit(1).alias("start_line"), F.size(F.split(text, "\n")).alias("end_line"),
