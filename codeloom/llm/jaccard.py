@@ -8,16 +8,17 @@ order.  Two sets link when their Jaccard similarity is at least 0.8.
    shingles under any fixed order; here frequent shingles come last, so that
    passages which many documents share seldom become keys.  A bitmap of fixed
    size says what is frequent; it moves keys, and never decides about links.
-3. Every class is compared with the one that shares most keys with it, and
-   components are formed.  What is left are keys that join components.
-4. Tiles.  The classes of such a key, in order of size, are cut where sizes
-   differ too much to link, then into blocks of bounded total size; pairs of
-   blocks whose sizes may link are tiles.  Equal tiles of several keys are one.
-5. In a tile, bitmap signatures (two to four bits a shingle) come first: a bit
-   that only one side has is a shingle that the other lacks, so bit counts bound
-   the overlap from above.  Classes with a partner that the bound allows fetch
-   their sorted arrays, and pairs of different components are intersected
-   exactly.  A tile reports links that join components, at most one per class.
+3. Tiles of signatures.  The classes of a key, in order of size, are cut where
+   sizes differ too much to link, then into blocks of bounded total size; pairs
+   of blocks whose sizes may link are tiles.  Equal tiles of several keys are one.
+   A class comes with a bitmap of two to four bits a shingle.  A bit that only
+   one side has is a shingle that the other lacks, so bit counts bound the
+   overlap from above.  Pairs within the bound are joined into clusters; a tile
+   reports no more pairs than it has classes.
+4. Tiles of arrays.  Each cluster is cut into tiles in the same way, so a class
+   fetches its sorted array about once.  Pairs within the bound are intersected
+   exactly, and a tile again reports at most one link per class.
+5. Components of the links name the documents.
 
 Texts are read whole, once per step that needs them, and are never shuffled.
 Null and empty texts have no shingles and link with nothing.  Rows of one id
@@ -26,22 +27,22 @@ are one document.  A row without id takes the smallest id among its links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, store_table
+from ..session import store_table
 from . import common as C
-from .components import components
+from .components import components, stored
 
 K = 5
 # A shingle is frequent from so many sightings on; sightings are counted per block of shingles.
 FREQUENT, BLOCK_SEEN, BLOCK_SHINGLES = 64, 4, 1 << 20
-# Shingles in a block of a tile.
-TILE_SHINGLES = 200_000
+# Shingles in a block of a tile, when tiles hold signatures and when they hold arrays.
+SIGNED_BLOCK, ARRAY_BLOCK = 2_000_000, 3_000_000
 SEEN_SETS = 200_000
 
 
@@ -166,115 +167,127 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         yield held
 
 
-def _allowed(g: dict[str, list]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of a tile the later rows that sizes and bit counts allow as partners."""
-    width = min(len(x) for x in g["bits"])
-    sheet = np.empty((len(g["bits"]), width), dtype=np.uint8)
-    for i, x in enumerate(g["bits"]):  # larger signatures are folded onto the smallest
-        sheet[i] = np.bitwise_or.reduce(np.frombuffer(x, dtype=np.uint8).reshape(-1, width), axis=0)
-    sheet = sheet.view(np.uint64)
-    ones = np.bitwise_count(sheet).sum(axis=1, dtype=np.int64)
-    n, comp, side = np.array(g["n"], dtype=np.int64), np.array(g["comp"]), np.array(g["side"])
+class _Sheets:
+    """The signatures of a tile by width.  A pair meets at the smaller width, half the other's at most."""
+
+    def __init__(self, bits: list[bytes]):
+        self.width = np.array([len(x) for x in bits])  # rises with the size of the set
+        self.first = {int(w): int(np.searchsorted(self.width, w)) for w in np.unique(self.width)}
+        self.at: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for w, lo in self.first.items():
+            own = np.frombuffer(b"".join(x for x in bits if len(x) == w), dtype=np.uint64).reshape(-1, w // 8)
+            self._keep(w, w, own)
+            if w // 2 in self.first:
+                self._keep(w, w // 2, own[:, : w // 16] | own[:, w // 16:])
+
+    def _keep(self, width: int, shown: int, sheet: np.ndarray) -> None:
+        self.at[width, shown] = sheet, np.bitwise_count(sheet).sum(axis=1, dtype=np.int64)
+
+    def alone(self, i: int, js: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits that only row ``i`` has, and bits that only each of the later rows ``js`` has."""
+        w = int(self.width[i])
+        x, nx = (v[i - self.first[w]] for v in self.at[w, w])
+        mine, theirs = [], []
+        for other in (w, 2 * w):
+            part = js[self.width[js] == other]
+            if len(part):
+                sheet, ones = self.at[other, w]
+                rows = part - self.first[other]
+                both = np.bitwise_count(sheet[rows] & x).sum(axis=1, dtype=np.int64)
+                mine.append(nx - both)
+                theirs.append(ones[rows] - both)
+        return np.concatenate(mine), np.concatenate(theirs)
+
+
+def _connect(g: dict[str, list], accept: Callable[[int, int], bool]) -> pa.RecordBatch:
+    """Accepted pairs that connect the classes of a tile, of those that sizes and bit counts allow.
+
+    Pairs that are connected already are not looked at, so a tile of copies is
+    about one comparison per class.
+    """
+    n, side, rep = np.array(g["n"], dtype=np.int64), np.array(g["side"]), g["rep"]
+    sheets = _Sheets(g["bits"])
     two = side.max() > 0
+    group = np.arange(len(n))
+    out: list[tuple[int, int]] = []
+    ends = np.searchsorted(n, n * 5 // 4, side="right")  # rows come in order of size
     for i in range(len(n) - 1):
-        both = np.bitwise_count(sheet[i + 1:] & sheet[i]).sum(axis=1, dtype=np.int64)
-        most = np.minimum(n[i] - (ones[i] - both), n[i + 1:] - (ones[i + 1:] - both))
-        ok = (9 * most >= 4 * (n[i] + n[i + 1:])) & (comp[i + 1:] != comp[i])
+        open_ = group[i + 1: ends[i]] != group[i]
         if two:
-            ok &= side[i + 1:] != side[i]
-        if ok.any():
-            yield i, np.flatnonzero(ok) + i + 1
-
-
-def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of tiles that have a partner within the bound."""
+            open_ &= side[i + 1: ends[i]] != side[i]
+        js = np.flatnonzero(open_) + i + 1
+        if not len(js):
+            continue
+        only_i, only_j = sheets.alone(i, js)
+        most = np.minimum(n[i] - only_i, n[js] - only_j)
+        for j in js[9 * most >= 4 * (n[i] + n[js])].tolist():
+            if group[j] != group[i] and accept(i, j):
+                group[group == group[j]] = group[i]
+                out.append((rep[i], rep[j]))
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within the bound that connect the classes of a tile."""
     for g in _tiles(batches):
-        keep: set[int] = set()
-        for i, js in _allowed(g):
-            keep.add(i)
-            keep.update(js.tolist())
-        if keep:
-            at = sorted(keep)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([g[c][i] for i in at], k) for c, k in (("tile", pa.int64()), ("rep", pa.int64()), ("n", pa.int32()), ("comp", pa.int64()), ("side", pa.int32()), ("bits", pa.binary()))],
-                names=["tile", "rep", "n", "comp", "side", "bits"])
+        yield _connect(g, lambda i, j: True)
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between components, found by intersecting sorted arrays."""
+    """Links that connect the classes of a tile, found by intersecting sorted arrays."""
     for g in _tiles(batches):
-        root = {c: c for c in g["comp"]}
-
-        def top(c):
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
         sets = [np.asarray(x.values).view(np.uint64) for x in g["arr"]]  # sorted as unsigned
-        out: list[tuple[int, int]] = []
-        for i, js in _allowed(g):
-            for j in js.tolist():
-                a, b = top(g["comp"][i]), top(g["comp"][j])
-                if a == b:
-                    continue
-                x, y = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
-                p = np.searchsorted(y, x)
-                p[p == len(y)] = 0
-                o = int((y[p] == x).sum())
-                if 9 * o >= 4 * (len(x) + len(y)):
-                    root[a] = b
-                    out.append((g["rep"][i], g["rep"][j]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
-
-
-def _links(texts: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links of tiles: ``rows(tile, rep, comp, side)``; ``classes(rep, n, bits)``."""
-    bounded = rows.join(classes, "rep").select("tile", "rep", "n", "comp", "side", "bits")
-    bounded = bounded.repartition("tile").sortWithinPartitions("tile", "n", "rep")
-    kept = materialize(bounded.mapInArrow(_bound, "tile long, rep long, n int, comp long, side int, bits binary"))
-    ids = kept.select("rep").distinct()
-    wanted = C.broadcast(texts.sparkSession, C.bitmap_of(ids, "rep"))
-    arrays = texts.mapInArrow(_scan_arrays(wanted), "rep long, arr array<bigint>").join(ids, "rep").dropDuplicates(["rep"])
-    full = kept.join(arrays, "rep").select("tile", "rep", "n", "comp", "side", "bits", "arr")
-    full = full.repartition("tile").sortWithinPartitions("tile", "n", "rep")
-    return materialize(full.mapInArrow(_exact, "a long, b long"))
 
+        def linked(i: int, j: int, sets=sets) -> bool:
+            x, y = sets[i], sets[j]
+            p = np.searchsorted(y, x)
+            p[p == len(y)] = 0
+            return 9 * int((y[p] == x).sum()) >= 4 * (len(x) + len(y))
 
-def _partner_rows(pairs: DataFrame) -> DataFrame:
-    """Each class with the one that shares most keys with it, as tiles of two."""
-    best = (
-        pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "c").union(pairs.select("b", "a", "c"))
-        .groupBy("x").agg(F.max_by("y", F.struct("c", "y")).alias("y")))
-    chosen = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().withColumn("tile", F.xxhash64("a", "b"))
-    return chosen.select("tile", F.explode(F.array("a", "b")).alias("rep")).select("tile", "rep", F.col("rep").alias("comp"), F.lit(0).alias("side"))
+        yield _connect(g, linked)
 
 
-def _tile_rows(keyed: DataFrame, label: DataFrame, tried: DataFrame) -> DataFrame:
-    """Tiles of the keys ``keyed(k, rep, n)`` that still join components."""
-    known = keyed.join(label, F.col("rep") == F.col("node"), "left").select("k", "rep", "n", F.coalesce("label", "rep").alias("comp"))
-    line = Window.partitionBy("k").orderBy("n", "rep")
-    # sizes that differ by more than a quarter cannot link, so a key falls apart there
-    runs = known.withColumn("cut", F.coalesce((4 * F.col("n") > 5 * F.lag("n").over(line)).cast("int"), F.lit(0)))
-    runs = materialize(runs.withColumn("run", F.sum("cut").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("cut"))
-    open_runs = runs.groupBy("k", "run").agg(
-        F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("rep").alias("a"), F.max("rep").alias("b"),
-        F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("f1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("f2")).where("c0 <> c1")
-    done = tried.groupBy("tile").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).select("a", "b").withColumn("m", F.lit(2).cast("long"))
-    open_runs = open_runs.join(done, ["a", "b", "m"], "left_anti")
-    # several keys with the same classes are one
-    once = open_runs.groupBy("m", "f1", "f2").agg(F.min(F.struct("k", "run")).alias("x")).select("x.k", "x.run")
-    rows = runs.join(once, ["k", "run"])
+def _blocks(rows: DataFrame, limit: int) -> DataFrame:
+    """Tiles (tile, rep, side) of ``rows(k, run, rep, n)``: pairs of blocks whose sizes may link."""
     inside = Window.partitionBy("k", "run").orderBy("n", "rep").rowsBetween(Window.unboundedPreceding, 0)
-    rows = materialize(rows.withColumn("block", F.floor((F.sum("n").over(inside) - F.col("n")) / F.lit(TILE_SHINGLES))))
+    rows = stored(rows.withColumn("block", F.floor((F.sum("n").over(inside) - F.col("n")) / F.lit(limit))))
     blocks = rows.groupBy("k", "run", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     later = blocks.select("k", "run", F.col("block").alias("block2"), F.col("lo").alias("lo2"))
     pairs = blocks.join(later, ["k", "run"]).where("block2 >= block and 4 * lo2 <= 5 * hi").select(
         "k", "run", F.xxhash64("k", "run", "block", "block2").alias("tile"), F.col("block").alias("b1"), F.col("block2").alias("b2"))
     one = pairs.select("k", "run", "tile", F.col("b1").alias("block"), F.lit(0).alias("side"))
     two = pairs.where("b1 <> b2").select("k", "run", "tile", F.col("b2").alias("block"), F.lit(1).alias("side"))
-    return rows.join(one.union(two), ["k", "run", "block"]).select("tile", "rep", "comp", "side")
+    return rows.join(one.union(two), ["k", "run", "block"]).select("tile", "rep", "side")
+
+
+def _sorted_tiles(df: DataFrame) -> DataFrame:
+    return df.repartition("tile").sortWithinPartitions("tile", "n", "rep")
+
+
+def _key_tiles(keyed: DataFrame) -> DataFrame:
+    """Tiles of the keys ``keyed(k, rep, n)``, each set of classes once."""
+    line = Window.partitionBy("k").orderBy("n", "rep")
+    # sizes that differ by more than a quarter cannot link, so a key falls apart there
+    runs = keyed.withColumn("cut", F.coalesce((4 * F.col("n") > 5 * F.lag("n").over(line)).cast("int"), F.lit(0)))
+    runs = stored(runs.withColumn("run", F.sum("cut").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("cut"))
+    groups = runs.groupBy("k", "run").agg(
+        F.count("*").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("f1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("f2")).where("m > 1")
+    once = groups.groupBy("m", "f1", "f2").agg(F.min(F.struct("k", "run")).alias("x")).select("x.k", "x.run")
+    return _blocks(runs.join(once, ["k", "run"]), SIGNED_BLOCK)
+
+
+def _links(texts: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the classes as all links do; ``classes(rep, n, bits)``."""
+    signed = _sorted_tiles(_key_tiles(keyed).join(classes, "rep").select("tile", "rep", "n", "side", "bits"))
+    likely = stored(signed.mapInArrow(_candidates, "a long, b long").distinct())
+    clusters = components(likely)
+    members = clusters.select(F.col("label").alias("k"), F.lit(0).alias("run"), F.col("node").alias("rep")).join(classes.select("rep", "n"), "rep")
+    tiles = _blocks(members.select("k", "run", "rep", "n"), ARRAY_BLOCK)
+    ids = clusters.select(F.col("node").alias("rep"))
+    wanted = C.broadcast(texts.sparkSession, C.bitmap_of(ids, "rep"))
+    arrays = texts.mapInArrow(_scan_arrays(wanted), "rep long, arr array<bigint>").join(ids, "rep").dropDuplicates(["rep"])
+    full = _sorted_tiles(tiles.join(classes, "rep").join(arrays, "rep").select("tile", "rep", "n", "side", "bits", "arr"))
+    return stored(full.mapInArrow(_exact, "a long, b long"))
 
 
 def similar_documents(documents: DataFrame) -> DataFrame:
@@ -286,30 +299,21 @@ def similar_documents(documents: DataFrame) -> DataFrame:
     frequent = C.broadcast(docs.sparkSession, C.bitmap_of(often, "s1"))
     sets = scanned.where("n > 0").dropDuplicates(["rid"])
     first = sets.groupBy("n", "s1", "s2").agg(F.min("rid").alias("rep"), F.min_by("bits", "rid").alias("bits"))
-    classes = materialize(first)
-    member = materialize(sets.select("rid", "n", "s1", "s2").join(classes.drop("bits"), ["n", "s1", "s2"]).select("rid", "rep"))
+    classes = stored(first)
+    member = stored(sets.select("rid", "n", "s1", "s2").join(classes.drop("bits"), ["n", "s1", "s2"]).select("rid", "rep"))
     keys = texts.mapInArrow(_scan_keys(frequent), "k long, d long, n int")
     line = Window.partitionBy("k").orderBy("n", "d")
-    shared, _ = store_table(
-        keys.withColumns({"pd": F.lag("d").over(line), "pn": F.lag("n").over(line), "nd": F.lead("d").over(line)})
-        .where("pd is not null or nd is not null").drop("nd"))
-    chained = shared.where("4 * n <= 5 * pn").groupBy("pd", "d").count()
-    left, right = member.toDF("pd", "x"), member.toDF("d", "y")
-    pairs = chained.join(left, "pd").join(right, "d").where("x <> y").groupBy(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("count").alias("c"))
-    info = classes.select("rep", "n", "bits")
-    tried = materialize(_partner_rows(pairs))
-    links = _links(texts, info, tried)
-    label = components(links)
-    keyed = shared.select("k", "d", "n").join(member.withColumnRenamed("rid", "d"), "d").select("k", "rep", "n").distinct()
-    more = _links(texts, info, _tile_rows(keyed, label, tried))
+    near = ((4 * F.col("n") <= 5 * F.lag("n").over(line)) | (4 * F.lead("n").over(line) <= 5 * F.col("n")))
+    shared, _ = store_table(keys.withColumn("near", near).where("near").drop("near"))
+    keyed = shared.join(member.withColumnRenamed("rid", "d"), "d").select("k", "rep", "n").distinct()
+    links = _links(texts, classes.select("rep", "n", "bits"), keyed)
     # rows of one id are one document
     ids = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"))
-    node = materialize(ids.join(scanned.where("n >= 0").select("rid", "n").distinct(), "rid").join(member, "rid", "left").select(
+    node = stored(ids.join(scanned.where("n >= 0").select("rid", "n").distinct(), "rid").join(member, "rid", "left").select(
         "doc_id", "rid", "n", F.coalesce("rep", "rid").alias("rep")))
     twice = node.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
     same = node.join(twice, "doc_id").select("a", F.col("rep").alias("b")).distinct()
-    label = components(links.union(more).union(same))
+    label = components(links.union(same))
     by_class = node.groupBy("rep").agg(F.min("doc_id").alias("least"))
     placed = by_class.join(label, F.col("rep") == F.col("node"), "left").select("rep", "least", F.coalesce("label", "rep").alias("comp"))
     of_comp = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
