@@ -66,10 +66,13 @@ def _steps(tokens: DataFrame) -> DataFrame:
 
 def learn(documents: DataFrame, sample: int = SAMPLE) -> list[float]:
     """Log-likelihood ratios of every step, random against ordinary, row by row."""
-    base = _with_base(documents).select("doc_id", "t", F.concat("assign", "access", "hex").alias("spans"))
-    order = [F.xxhash64("doc_id"), "doc_id", "t"]
-    secret = base.where(F.size("spans") > 0).orderBy(*order).limit(sample).select(F.explode("spans.v").alias("v"))
-    plain = base.where(F.size("spans") == 0).orderBy(*order).limit(sample).select(
+    spans = F.concat("assign", "access", "hex").alias("spans")
+    key = F.xxhash64("doc_id", "t")
+    base = _with_base(documents).where(F.col("t").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")).select(key.alias("key"), spans)
+    secret = C.smallest(base.where(F.size("spans") > 0).select(F.lit(0).alias("all"), "key", "spans.v"), ["all"], [F.col("key"), F.col("v")], sample)
+    secret = secret.select(F.explode("v").alias("v"))
+    thin = C.thinned(_with_base(documents), key, documents.count(), sample).select("t", key.alias("key"), spans)
+    plain = thin.where(F.size("spans") == 0).orderBy("key", "t").limit(sample).select(
         F.explode(F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("v"))
     size = len(ALPHABET)
     at = {c: i for i, c in enumerate(ALPHABET)}
