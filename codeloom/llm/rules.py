@@ -29,6 +29,7 @@ SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 RISK = 0.05
+SALTS = 16
 LEVEL = 0.05
 LADDER = (0.0, 0.001, 0.002, 0.005, 0.01, 0.02)
 RULES = ("symbol_share", "dup_line_share", "repeat_share", "capital_share", "bang_share")
@@ -93,7 +94,7 @@ def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, level:
     """One row per stratum with a safe rung: stratum, q, one cutoff per rule."""
     best = C.only(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     good = measured.where(~F.col("base_failed")).join(best.where("quality = 1"), "doc_id").select(
-        F.coalesce("lang", F.lit("und")).alias("stratum"), *RULES,
+        F.coalesce("lang", F.lit("und")).alias("stratum"), "doc_id", *RULES,
         F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)).alias("half"))
     # shares have four places, so a percentile keeps at most 10,001 counts
     at = F.array(*[F.lit(1 - q) for q in LADDER])
@@ -103,7 +104,10 @@ def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, level:
     rejected = F.lit(False)
     for r in RULES:
         rejected = rejected | (F.col(r) > F.col(f"cut_{r}"))
-    judged = good.where("half = 1").join(rungs, "stratum").groupBy("stratum", "rung").agg(
+    # a language may hold most rows, so its rungs are dealt to several tasks
+    dealt = good.where("half = 1").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    rungs = rungs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    judged = dealt.join(rungs, ["stratum", "salt"]).groupBy("stratum", "rung").agg(
         F.count("*").alias("n"), F.sum(rejected.cast("long")).alias("k"),
         *[F.first(f"cut_{r}").alias(f"cut_{r}") for r in RULES])
     tests = judged.agg(F.count("*").alias("tests")).first()["tests"]
