@@ -25,8 +25,8 @@ hashes and not by the bytes themselves.
 
 A text's own repeats of a run are settled before anything is shuffled, so a text
 that repeats itself all the way is a few rows.  Null texts are empty.  Rows with
-equal id and text are one document; texts of one id are ordered by a hash;
-rows without id come before all others.
+equal id and text are one document; texts of one id are told apart and ordered
+by a 64-bit hash; rows without id come before all others.
 """
 
 from __future__ import annotations
@@ -47,26 +47,27 @@ from .anchors import MATCH, runs
 
 BATCHES = 4
 CROWD = 20_000
-_SUB, _START, _LEN = 45, 14, 7  # where the parts of a place begin: sub | start | length | anchor
+_START, _LEN = 14, 7  # where the parts of a place begin: start | length | anchor
 _NO_ID = -(1 << 63)
 
 
 def place_parts(w: str = "w") -> dict:
     """Columns of a packed place."""
-    return {"sub": F.expr(f"shiftright({w}, {_SUB})"), "s": F.expr(f"shiftright({w}, {_START}) & {(1 << 31) - 1}"),
+    return {"s": F.expr(f"shiftright({w}, {_START}) & {(1 << 31) - 1}"),
             "len": F.expr(f"shiftright({w}, {_LEN}) & 127")}
 
 
 def _texts(documents: DataFrame) -> DataFrame:
     """doc_id, d, sub, text: ``sub`` tells texts of one id apart, and is 0 where ids are unique."""
     docs = C.only(documents, "doc_id", "text")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    sub = F.expr(f"xxhash64(text) & {(1 << 17) - 1}") if repeated else F.lit(0).cast("long")
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("d"), sub.alias("sub"), "text")
+    docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("d"), "text")
+    repeated = docs.groupBy("d").count().where("count > 1").limit(1).count() > 0
+    sub = F.xxhash64("text") if repeated else F.lit(0).cast("long")
+    return docs.select("doc_id", "d", sub.alias("sub"), "text")
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries (h, g, d, w); w < 0 marks a range that the text itself repeats: g is its length."""
+    """Entries (h, g, d, sub, w); w < 0 marks a range that the text itself repeats: g is its length."""
     for batch in batches:
         raw, offs = C.binary_column(batch, "text")
         d, sub = np.asarray(batch.column("d")), np.asarray(batch.column("sub"))
@@ -74,13 +75,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, s, e, a, h, g = runs(data, o)
             if not len(text):
                 continue
-            w = (sub[i + text] << _SUB) | (s << _START) | ((e - s) << _LEN) | (a - s)
+            w = (s << _START) | ((e - s) << _LEN) | (a - s)
             order = np.lexsort((s, g, text))
             again = np.zeros(len(text), dtype=bool)
             again[order[1:]] = (text[order][1:] == text[order][:-1]) & (g[order][1:] == g[order][:-1])
             keep = ~again
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[keep].view(np.int64)), pa.array(g[keep].view(np.int64)), pa.array(d[i + text][keep]), pa.array(w[keep])], names=["h", "g", "d", "w"])
+                [pa.array(h[keep].view(np.int64)), pa.array(g[keep].view(np.int64)), pa.array(d[i + text][keep]), pa.array(sub[i + text][keep]), pa.array(w[keep])],
+                names=["h", "g", "d", "sub", "w"])
             r = np.flatnonzero(again)
             if len(r):  # runs that follow each other are one range
                 new = np.ones(len(r), dtype=bool)
@@ -88,10 +90,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.flatnonzero(new)
                 stop = np.append(at[1:], len(r)) - 1
                 size = e[r][stop] + MATCH - s[r][at]
-                mark = (sub[i + text[r]][at] << _SUB) | (s[r][at] << _START) | np.int64(_NO_ID)
-                spread = C.mix(mark.view(C.U) ^ C.mix(d[i + text[r]][at].astype(C.U)))
+                mark = (s[r][at] << _START) | np.int64(_NO_ID)
+                of, tag = d[i + text[r]][at], sub[i + text[r]][at]
+                spread = C.mix(mark.view(C.U) ^ C.mix(of.astype(C.U) ^ C.mix(tag.astype(C.U))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(spread.view(np.int64)), pa.array(size.astype(np.int64)), pa.array(d[i + text[r]][at]), pa.array(mark)], names=["h", "g", "d", "w"])
+                    [pa.array(spread.view(np.int64)), pa.array(size.astype(np.int64)), pa.array(of), pa.array(tag), pa.array(mark)], names=["h", "g", "d", "sub", "w"])
 
 
 # --------------------------------------------------------------------------
@@ -105,7 +108,7 @@ class Level:
 
 
 class Index:
-    """Levels of (h, g, d, w, mixed), each anchor once per level, bucketed by anchor."""
+    """Levels of (h, g, d, sub, w, mixed), each anchor once per level, bucketed by anchor."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -128,46 +131,46 @@ class Index:
             self.drop(name)
 
     def level(self, at: Level) -> DataFrame:
-        return self.spark.table(at.table).where("mixed or not known").select("h", "g", "d", "w", "mixed")
+        return self.spark.table(at.table).where("mixed or not known").select("h", "g", "d", "sub", "w", "mixed")
 
     def merge_equal(self) -> None:
         """Two last levels of one rank become one of the next rank."""
         while len(self.levels) > 1 and self.levels[-1].rank == self.levels[-2].rank:
             new, old = self.levels.pop(), self.levels.pop()
-            b = self.level(new).toDF("h", *(f"{c}2" for c in ("g", "d", "w", "mixed")))
+            b = self.level(new).toDF("h", *(f"{c}2" for c in ("g", "d", "sub", "w", "mixed")))
             both = self.level(old).join(b, "h", "full_outer").select(
-                "h", *[F.coalesce(c, f"{c}2").alias(c) for c in ("g", "d", "w")],
+                "h", *[F.coalesce(c, f"{c}2").alias(c) for c in ("g", "d", "sub", "w")],
                 (F.coalesce("mixed", F.lit(False)) | F.coalesce("mixed2", F.lit(False))).alias("mixed"), F.lit(False).alias("known"))
             self.levels.append(Level(old.rank + 1, self.write(both)))
             self.drop(new.table)
             self.drop(old.table)
 
     def add(self, entries: DataFrame) -> DataFrame:
-        """Scan a batch against the levels and make it one: marks (kind, h, g, d, w).
+        """Scan a batch against the levels and make it one: marks (kind, h, g, d, sub, w).
 
         Kinds: 0 a removed run, 1 an entry of a mixed anchor, 2 a range that a text repeats.
         """
         self.merge_equal()
         batch = self.write(entries.repartition(self.parts, "h"))
         rows = self.spark.table(batch)
-        own = rows.where("w >= 0").groupBy("h").agg(F.min("g").alias("g"), F.max("g").alias("g1"), F.min(F.struct("d", "w")).alias("f"))
+        own = rows.where("w >= 0").groupBy("h").agg(F.min("g").alias("g"), F.max("g").alias("g1"), F.min(F.struct("d", "sub", "w")).alias("f"))
         seen, mixed = F.lit(False), F.col("g") != F.col("g1")
-        turned = [F.lit(None).cast("struct<g:long,d:long,w:long>")]
+        turned = [F.lit(None).cast("struct<g:long,d:long,sub:long,w:long>")]
         for i, at in enumerate(self.levels):
-            own = own.join(self.level(at).select("h", F.struct("g", "d", "w", "mixed").alias(f"l{i}")), "h", "left")
+            own = own.join(self.level(at).select("h", F.struct("g", "d", "sub", "w", "mixed").alias(f"l{i}")), "h", "left")
             here = F.col(f"l{i}")
             seen = seen | here.isNotNull()
             mixed = mixed | F.coalesce(here["mixed"] | (here["g"] != F.col("g")), F.lit(False))
-            turned.append(F.when(~here["mixed"], F.struct(here["g"].alias("g"), here["d"].alias("d"), here["w"].alias("w"))))
+            turned.append(F.when(~here["mixed"], F.struct(*[here[c].alias(c) for c in ("g", "d", "sub", "w")])))
         own = own.withColumns({"mixed": mixed, "known": seen})
         # a settled entry that has just become mixed is put aside with the others
         own = own.withColumn("old", F.when(F.col("mixed"), F.coalesce(*turned)))
-        state = self.write(own.select("h", "g", "f.d", "f.w", "mixed", "known", "old"))
-        st = self.spark.table(state).select("h", F.col("d").alias("d0"), F.col("w").alias("w0"), "mixed", "known")
-        judged = rows.where("w >= 0").join(st, "h").where("mixed or known or d <> d0 or w <> w0").select(
-            F.when(F.col("mixed"), 1).otherwise(0).alias("kind"), "h", "g", "d", "w")
-        old = self.spark.table(state).where("old is not null").select(F.lit(1).alias("kind"), "h", "old.g", "old.d", "old.w")
-        own_repeats = rows.where("w < 0").select(F.lit(2).alias("kind"), "h", "g", "d", "w")
+        state = self.write(own.select("h", "g", "f.d", "f.sub", "f.w", "mixed", "known", "old"))
+        st = self.spark.table(state).select("h", *[F.col(c).alias(f"{c}0") for c in ("d", "sub", "w")], "mixed", "known")
+        judged = rows.where("w >= 0").join(st, "h").where("mixed or known or d <> d0 or sub <> sub0 or w <> w0").select(
+            F.when(F.col("mixed"), 1).otherwise(0).alias("kind"), "h", "g", "d", "sub", "w")
+        old = self.spark.table(state).where("old is not null").select(F.lit(1).alias("kind"), "h", "old.g", "old.d", "old.sub", "old.w")
+        own_repeats = rows.where("w < 0").select(F.lit(2).alias("kind"), "h", "g", "d", "sub", "w")
         marks, _ = store_table(judged.union(old).union(own_repeats))
         self.drop(batch)
         self.levels.append(Level(0, state))
@@ -181,19 +184,20 @@ class Index:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per entry put aside, with the bytes of its run."""
     for batch in batches:
-        h, d, w, ctx, crowd = [], [], [], [], []
-        for doc, text, entries in zip(batch.column("d").to_pylist(), batch.column("text").to_pylist(), batch.column("entries").to_pylist()):
+        h, d, sub, w, ctx, crowd = [], [], [], [], [], []
+        for doc, tag, text, entries in zip(*(batch.column(c).to_pylist() for c in ("d", "sub", "text", "entries"))):
             data = (text or "").encode("utf-8", "surrogatepass")
             for x in entries:
                 s, n = (x["w"] >> _START) & ((1 << 31) - 1), (x["w"] >> _LEN) & 127
                 h.append(x["h"])
                 d.append(doc)
+                sub.append(tag)
                 w.append(x["w"])
                 ctx.append(data[s: s + n + MATCH])
                 crowd.append(x["crowd"])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h, pa.int64()), pa.array(d, pa.int64()), pa.array(w, pa.int64()), pa.array(ctx, pa.binary()), pa.array(crowd, pa.bool_())],
-            names=["h", "d", "w", "ctx", "crowd"])
+            [*(pa.array(c, pa.int64()) for c in (h, d, sub, w)), pa.array(ctx, pa.binary()), pa.array(crowd, pa.bool_())],
+            names=["h", "d", "sub", "w", "ctx", "crowd"])
 
 
 def _windows(cols: dict[str, pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,7 +215,7 @@ def _windows(cols: dict[str, pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return row, at, C.mix(key ^ C.mix(h[row] + (at - a[row] + 128).astype(C.U)))
 
 
-def _ranges(d: np.ndarray, w: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+def _ranges(d: np.ndarray, sub: np.ndarray, w: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     """Removed windows of entries, neighbours joined: (d, sub, lo, hi)."""
     if not len(row):
         z = pa.array([], pa.int64())
@@ -222,7 +226,7 @@ def _ranges(d: np.ndarray, w: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa
     last = np.append(first[1:], len(row)) - 1
     s = (w >> _START) & ((1 << 31) - 1)
     return pa.RecordBatch.from_arrays(
-        [pa.array(d[row[first]]), pa.array(w[row[first]] >> _SUB), pa.array(s[row[first]] + at[first]), pa.array(s[row[last]] + at[last] + MATCH)],
+        [pa.array(d[row[first]]), pa.array(sub[row[first]]), pa.array(s[row[first]] + at[first]), pa.array(s[row[last]] + at[last] + MATCH)],
         names=["d", "sub", "lo", "hi"])
 
 
@@ -237,7 +241,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(key, kind="stable")
         again = np.zeros(len(key), dtype=bool)
         again[order[1:]] = key[order][1:] == key[order][:-1]
-        return _ranges(np.asarray(cols["d"]), np.asarray(cols["w"]), row[again], at[again])
+        return _ranges(*(np.asarray(cols[c]) for c in ("d", "sub", "w")), row[again], at[again])
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -264,19 +268,19 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, at, key = _windows({c: part.column(c) for c in part.schema.names})
             w = np.asarray(part.column("w"))[row]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(np.asarray(part.column("d"))[row]), pa.array(w >> _SUB), pa.array(((w >> _START) & ((1 << 31) - 1)) + at)],
+                [pa.array(key.view(np.int64)), *(pa.array(np.asarray(part.column(c))[row]) for c in ("d", "sub")), pa.array(((w >> _START) & ((1 << 31) - 1)) + at)],
                 names=["key", "d", "sub", "lo"])
 
 
 def _ends(texts: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Removed ranges (d, sub, lo, hi) in the runs of ``firsts(h, d, w)``: entries of mixed anchors, each run once."""
+    """Removed ranges (d, sub, lo, hi) in the runs of ``firsts(h, d, sub, w)``: entries of mixed anchors, each run once."""
     crowded = firsts.groupBy("h").count().where(F.col("count") > CROWD).select("h", F.lit(True).alias("crowd"))
-    flagged = firsts.join(crowded, "h", "left").select("h", "d", "w", F.coalesce("crowd", F.lit(False)).alias("crowd"))
-    per_text = flagged.withColumn("sub", place_parts()["sub"]).groupBy("d", "sub").agg(F.collect_list(F.struct("h", "w", "crowd")).alias("entries"))
-    kind = "h long, d long, w long, ctx binary, crowd boolean"
-    found = texts.select("d", "sub", "text").join(per_text, ["d", "sub"]).mapInArrow(_contexts, kind).dropDuplicates(["h", "d", "w"])
+    flagged = firsts.join(crowded, "h", "left").select("h", "d", "sub", "w", F.coalesce("crowd", F.lit(False)).alias("crowd"))
+    per_text = flagged.groupBy("d", "sub").agg(F.collect_list(F.struct("h", "w", "crowd")).alias("entries"))
+    kind = "h long, d long, sub long, w long, ctx binary, crowd boolean"
+    found = texts.select("d", "sub", "text").join(per_text, ["d", "sub"]).mapInArrow(_contexts, kind).dropDuplicates(["h", "d", "sub", "w"])
     ctx, _ = store_table(found, "crowd")
-    few = ctx.where("not crowd").drop("crowd").repartition("h").sortWithinPartitions("h", "d", "w")
+    few = ctx.where("not crowd").drop("crowd").repartition("h").sortWithinPartitions("h", "d", "sub", "w")
     ranges = few.mapInArrow(_compare, "d long, sub long, lo long, hi long")
     rows = ctx.where("crowd").drop("crowd").mapInArrow(_window_rows, "key long, d long, sub long, lo long")
     line = Window.partitionBy("key").orderBy("d", "sub", "lo")
@@ -303,20 +307,20 @@ def removed_ranges(documents: DataFrame, batches: int = BATCHES) -> tuple[DataFr
             if high is not None:
                 part = part.where(F.col("d") <= high)
             low = high
-            marks.append(index.add(C.spread(part.select("d", "sub", "text")).mapInArrow(_scan, "h long, g long, d long, w long")))
+            marks.append(index.add(C.spread(part.select("d", "sub", "text")).mapInArrow(_scan, "h long, g long, d long, sub long, w long")))
     finally:
         index.close()
     all_marks = marks[0]
     for m in marks[1:]:
         all_marks = all_marks.union(m)
-    line = Window.partitionBy("h", "g").orderBy("d", "w")
-    aside = all_marks.where("kind = 1").select("h", "g", "d", "w").distinct().withColumn("nth", F.row_number().over(line))
+    line = Window.partitionBy("h", "g").orderBy("d", "sub", "w")
+    aside = all_marks.where("kind = 1").select("h", "g", "d", "sub", "w").distinct().withColumn("nth", F.row_number().over(line))
     aside, _ = store_table(aside.drop("g"))
-    whole = all_marks.where("kind = 0").select("d", "w").union(aside.where("nth > 1").select("d", "w")).withColumns(place_parts())
+    whole = all_marks.where("kind = 0").select("d", "sub", "w").union(aside.where("nth > 1").select("d", "sub", "w")).withColumns(place_parts())
     whole = whole.select("d", "sub", F.col("s").alias("lo"), (F.col("s") + F.col("len") + MATCH).alias("hi"))
     own = all_marks.where("kind = 2").select(
-        "d", F.expr(f"shiftright(w & {(1 << 63) - 1}, {_SUB})").alias("sub"), place_parts()["s"].alias("lo"), (place_parts()["s"] + F.col("g")).alias("hi"))
-    ends = _ends(texts, aside.where("nth = 1").select("h", "d", "w"))
+        "d", "sub", place_parts()["s"].alias("lo"), (place_parts()["s"] + F.col("g")).alias("hi"))
+    ends = _ends(texts, aside.where("nth = 1").select("h", "d", "sub", "w"))
     return texts, whole.union(own).union(ends)
 
 

@@ -1,10 +1,12 @@
 """Operators with exact results: SQL twins on the tables, plain versions on odd documents."""
 
 import hashlib
+import random
 
 import odd
 import pytest
 from compare import compare, duck
+from pyspark.sql import functions as F
 
 from codeloom.llm import chat, decontaminate, jaccard, pii, rules, secrets, suffix_levels
 from codeloom.llm.queries import QUERIES
@@ -96,6 +98,28 @@ def test_repeats(spark, monkeypatch, crowd):
     assert not set(map(str, want)) - set(map(str, got))
 
 
+@pytest.mark.parametrize("crowd", [20_000, 1])
+def test_repeats_under_one_id(spark, monkeypatch, crowd):
+    """Texts without id and of one id whose hashes agree in their low 17 bits keep their own ranges."""
+    monkeypatch.setattr(suffix_levels, "CROWD", crowd)
+    passage = odd.words_of(random.Random(4), 40, 9000)
+    made = [" ".join([f"n{i}", odd.words_of(random.Random(i), 8 + i % 5 * 30, 9000), *[passage[i % 9:]] * (i % 3)]) for i in range(1500)]
+    rows = spark.createDataFrame([(t,) for t in made], "text string").select("text", F.xxhash64("text").alias("h")).collect()
+    tags = {}
+    for r in rows:
+        tags.setdefault(r.h & (1 << 17) - 1, []).append(r)
+    clash = [r for same in tags.values() if len(same) > 1 for r in same]
+    assert len(clash) > 8
+    kept = [(i, r.text, r.h) for i in (None, 5, -(1 << 63)) for r in clash] + [(2, odd.texts()[12], 0), (9, passage, 0), (None, None, 42)]
+    docs = spark.createDataFrame([k[:2] for k in kept] + [(5, clash[0].text), (None, clash[1].text)], "doc_id bigint, text string")
+    assert docs.count() == len(kept) + 2
+    # the smallest id ties with rows without one, where equal texts are one document
+    want = odd.repeats([(i, t) for i, t, _ in sorted(kept, key=lambda k: (-(1 << 63) if k[0] is None else k[0], k[2])) if i != -(1 << 63)])
+    got = [tuple(r) for r in suffix_levels.report(docs, batches=3).collect()]
+    assert len(got) == docs.count()
+    assert set(map(str, got)) == set(map(str, want)) | {str((-(1 << 63), *w[1:])) for w in want if w[0] is None and w[1]}
+
+
 def test_repeats_of_nothing(spark):
     assert suffix_levels.report(odd.empty(spark)).count() == 0
 
