@@ -1,10 +1,14 @@
 """Quality by nearest-neighbour voting among labelled documents.
 
-A text is counted in hashed triples of character classes (letters, capitals,
-digits, spaces; every other sign is its own class) and in events of repetition:
-a word like the one before, a three-word window or a line met before.  Counts
-are damped and weighted by how rare they are among the labelled documents;
-the singular vectors of those documents give ``RANK`` latent dimensions.
+A text is counted by its shape and by its wording.  Shape is hashed triples of
+character classes (letters, capitals, digits, spaces; every other sign is its
+own class) and events of repetition: a word like the one before, a three-word
+window or a word met before.  Wording is its hashed words and its hashed
+stretches of ``GRAM`` bytes, A-Z lower-cased, which hold a whole character of
+any script.  Counts are damped and weighted by how rare they are among the
+labelled documents; shape and wording weigh the same in every text.  The
+singular vectors of the labelled documents over both give ``RANK`` latent
+dimensions.
 
 Every document is projected, and its cosines with all labelled vectors are
 computed in blocks, exactly.  The ``NEIGHBOURS`` closest vote with their labels,
@@ -30,6 +34,11 @@ from . import common as C
 
 SLOTS = 1024
 EVENTS = 3
+SHAPE = SLOTS + EVENTS
+# Slots of words, and of stretches of GRAM bytes.
+WORD_BITS, GRAM_BITS = 11, 11
+GRAM = 5
+WIDTH = SHAPE + (1 << WORD_BITS) + (1 << GRAM_BITS)
 RANK = 48
 NEIGHBOURS = 15
 # Votes weigh the cosine to this power, so that a few close neighbours beat many distant ones.
@@ -37,6 +46,8 @@ SHARPNESS = 12
 SAMPLE = 4000
 CUT = 0.3
 BLOCK = 256
+ROUNDS = 16
+ROWS = 512
 
 
 def _classes() -> np.ndarray:
@@ -51,24 +62,50 @@ def _classes() -> np.ndarray:
 CLASS = _classes()
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """At most ``ROWS`` rows at once, as a row of counts is some twenty kilobytes."""
+    for lo in range(0, batch.num_rows, ROWS):
+        yield batch.slice(lo, ROWS)
+
+
 def counts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     """Blocks of rows of term counts, square roots taken."""
+    for part in _slices(batch):
+        yield from _counts(part)
+
+
+def _counts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     raw, offs = C.binary_column(batch, "text")
     for i, j, data, o in C.groups(raw, offs, 1 << 20):
         flat = np.zeros((j - i) * SLOTS, dtype=np.int64)
+        gram = np.zeros((j - i) << GRAM_BITS, dtype=np.int64)
         for lo in range(0, len(data), 1 << 20):
-            part = CLASS[data[lo: lo + (1 << 20) + 2]]
+            near = data[lo: lo + (1 << 20) + GRAM - 1]
+            row = np.searchsorted(o, np.arange(lo, lo + len(near)), side="right") - 1
+            m = min(1 << 20, len(near) - GRAM + 1)
+            if m > 0:
+                low = C.LOWER[near].astype(np.uint32)
+                code = np.zeros(m, dtype=np.uint32)
+                for k in range(GRAM):
+                    code = code * np.uint32(0x01000193) + low[k: m + k]
+                slot = (code ^ (code >> np.uint32(15))) * np.uint32(2654435761) >> np.uint32(32 - GRAM_BITS)
+                same = row[:m] == row[GRAM - 1: m + GRAM - 1]
+                gram += np.bincount(((row[:m] << GRAM_BITS) + slot)[same], minlength=len(gram))
+            part = CLASS[near]
             m = min(1 << 20, len(part) - 2)
             if m <= 0:
                 continue
-            row = np.searchsorted(o, np.arange(lo, lo + len(part)), side="right") - 1
             code = (part[:m] * np.uint32(257) + part[1: m + 1]) * np.uint32(263) + part[2: m + 2]
             slot = (code * np.uint32(2654435761)) >> np.uint32(22)
             same = row[:m] == row[2: m + 2]
             flat += np.bincount((row[:m] * SLOTS + slot)[same], minlength=len(flat))
-        out = np.zeros((j - i, SLOTS + EVENTS), dtype=np.float32)
+        out = np.zeros((j - i, WIDTH), dtype=np.float32)
         out[:, :SLOTS] = flat.reshape(j - i, SLOTS)
+        out[:, -(1 << GRAM_BITS):] = gram.reshape(j - i, -1)
         w = C.words_of(data, o, C.NOT_SPACE)
+        row = np.repeat(np.arange(j - i), np.diff(w.first))
+        slot = (row << WORD_BITS) + (w.hash >> C.U(64 - WORD_BITS)).astype(np.int64)
+        out[:, SHAPE: SHAPE + (1 << WORD_BITS)] = np.bincount(slot, minlength=(j - i) << WORD_BITS).reshape(j - i, -1)
         triples = C.grams(w.hash, 3)
         for d, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
             h = w.hash[a:b]
@@ -88,8 +125,7 @@ class Space:
     def __init__(self, x: np.ndarray, good: np.ndarray, rank: int = RANK):
         self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.1
         t = self._weigh(x)
-        value, vector = np.linalg.eigh((t.T @ t).astype(np.float64))
-        self.basis = np.ascontiguousarray(vector[:, ::-1][:, : min(rank, len(x))], dtype=np.float32)
+        self.basis = self._singular(t, min(rank, len(x)))
         self.points = self._unit(t @ self.basis)
         self.good = good.astype(np.float32)
 
@@ -97,8 +133,19 @@ class Space:
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
 
+    @staticmethod
+    def _singular(t: np.ndarray, rank: int) -> np.ndarray:
+        """The first singular vectors, by subspace iteration from a fixed start."""
+        q = np.random.default_rng(0).standard_normal((t.shape[1], min(2 * rank, *t.shape)), dtype=np.float32)
+        for _ in range(ROUNDS):
+            q, _ = np.linalg.qr(t.T @ (t @ q))
+        y = (t @ q).astype(np.float64)
+        _, vector = np.linalg.eigh(y.T @ y)
+        return np.ascontiguousarray(q @ vector[:, ::-1][:, :rank], dtype=np.float32)
+
     def _weigh(self, x: np.ndarray) -> np.ndarray:
-        return self._unit(x * self.idf)
+        t = x * self.idf
+        return self._unit(np.concatenate([self._unit(t[:, :SHAPE]), self._unit(t[:, SHAPE:])], axis=1))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = self._unit(self._weigh(x) @ self.basis)
@@ -114,7 +161,7 @@ class Space:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in _slices(whole)):
         rows = [v.tobytes() for x in counts(batch) for v in x]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), batch.column("quality"), pa.array(rows, pa.binary())], names=["doc_id", "rid", "quality", "x"])
 

@@ -1,6 +1,7 @@
 """Operators with models: held-out quality, gradients, guarantees, and the pipeline."""
 
 import math
+import random
 
 import numpy as np
 import odd
@@ -24,6 +25,20 @@ def test_quality_held_out(spark):
     assert right > 0.95
 
 
+@pytest.mark.parametrize("letters, gap", [("abcdefghijklmnop", " "), ("абвгдежзиклмноп", " "), ([chr(0x4E00 + i) for i in range(600)], "")])
+def test_quality_sees_wording(spark, letters, gap):
+    """Good and bad documents of one layout differ in some of their words only."""
+    rng = random.Random(5)
+    common, good, bad = ([[*rng.choices(letters, k=rng.randint(2, 7))] for _ in range(n)] for n in (300, 150, 150))
+    rows = []
+    for i in range(800):
+        words = [rng.choice(common if rng.random() < 0.7 else good if i % 2 else bad) for _ in range(rng.randint(30, 150))]
+        rows.append((i, gap.join("".join(w) for w in words), i % 2))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    held = quality.classify(docs, docs.select("doc_id", "quality"), fold(5, 0)).where("held_out").collect()
+    assert len(held) > 100 and sum(r.predicted == r.doc_id % 2 for r in held) > 0.95 * len(held)
+
+
 def test_language_held_out(spark):
     got = QUERIES["op3_hierarchical_language"].plan(spark, SF).join(table(spark, "documents").select("doc_id", "lang"), "doc_id").where("held_out")
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
