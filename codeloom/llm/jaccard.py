@@ -290,8 +290,11 @@ def _links(texts: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFrame:
     return stored(full.mapInArrow(_exact, "a long, b long"))
 
 
-def similar_documents(documents: DataFrame) -> DataFrame:
-    """Per row of documents: doc_id, n_shingles, component_id, rid (a hash of id and text)."""
+def similar_documents(documents: DataFrame, alike: bool = False) -> DataFrame:
+    """Per row of documents: doc_id, n_shingles, component_id, rid (a hash of id and text).
+
+    With ``alike`` also the component by similarity alone, where a shared id links nothing.
+    """
     docs = C.only(documents, "doc_id", "text")
     texts = C.spread(docs.select(F.xxhash64("doc_id", "text").alias("rid"), "text"))
     scanned, _ = store_table(texts.mapInArrow(_scan_sets, "rid long, n int, s1 long, s2 long, bits binary"))
@@ -317,8 +320,12 @@ def similar_documents(documents: DataFrame) -> DataFrame:
     by_class = node.groupBy("rep").agg(F.min("doc_id").alias("least"))
     placed = by_class.join(label, F.col("rep") == F.col("node"), "left").select("rep", "least", F.coalesce("label", "rep").alias("comp"))
     of_comp = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = placed.join(of_comp, "comp").select("rep", "component_id")
-    return node.join(named, "rep").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "rid")
+    named = placed.join(of_comp, "comp").select("rep", "component_id", F.col("comp").alias("alike"))
+    if alike and twice.limit(1).count():
+        apart = components(links).select(F.col("node").alias("rep"), "label")
+        named = named.join(apart, "rep", "left").withColumn("alike", F.coalesce("label", "rep"))
+    return node.join(named, "rep").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "rid", *["alike"] * alike)
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -326,11 +333,16 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each component: the one with its smallest id; of equal rows one.
+    """One document of each component: the one with its smallest id, or of those without id one; of equal rows one.
 
-    Rows without id stay unless they link with a row that has one.
+    Of texts under the smallest id that are alike one stays, the one with the
+    smallest hash; texts under that id that are not alike all stay.
     """
-    gone = similar_documents(documents).where("doc_id is distinct from component_id").select(F.col("rid").alias("k1")).distinct()
+    rows = stored(similar_documents(documents, alike=True))
+    named = rows.where("doc_id is not distinct from component_id")
+    least = named.groupBy("alike", "doc_id").agg(F.min("rid").alias("rid")).select("rid")
+    copies = named.join(least, "rid", "left_anti")
+    gone = rows.where("doc_id is distinct from component_id").union(copies.select(*rows.columns)).select(F.col("rid").alias("k1")).distinct()
     kept = C.keyed(documents).join(gone, "k1", "left_anti")
     first = Window.partitionBy("k1").orderBy("k2")
     return C.named(kept.withColumn("nth", F.row_number().over(first)).where("nth = 1"), documents)

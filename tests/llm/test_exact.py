@@ -79,6 +79,28 @@ def test_jaccard(spark, monkeypatch, block):
     assert {i for i, _ in rows if i is not None} == {c for i, _, c in want if i is not None}
 
 
+def test_one_of_each_group_stays(spark):
+    """Also where a group has no id at all, or several alike texts under the id that names it."""
+    rng = random.Random(21)
+
+    def group():
+        w = odd.words_of(rng, 120, 9000).split(" ")
+        return [" ".join([*w[:20 * i], f"edit{i}", *w[20 * i:]]) for i in range(5)]
+
+    lost, named, mixed, lone = group(), group(), group(), odd.words_of(rng, 60, 9000)
+    rows = [(None, t) for t in [*lost, lost[0]]] + [(3, t) for t in [*named, lone]] + [(4, named[0])]
+    rows += [(None, mixed[0]), (8, mixed[1]), (9, mixed[2]), (9, None), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [tuple(r) for r in jaccard.keep_one(docs).collect()]
+    assert sum(t in lost for _, t in kept) == 1
+    assert [i for i, t in kept if t in named] == [3] and (3, lone) in kept
+    assert [i for i, t in kept if t in mixed] == [8]
+    assert (None, None) in kept and (None, "") in kept and len(kept) == 6
+    assert all(r in rows for r in kept)
+    without = docs.where("doc_id is null")
+    assert sum(r.text in lost for r in jaccard.keep_one(without).collect()) == 1
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.report(odd.empty(spark)).count() == 0
     assert jaccard.keep_one(odd.empty(spark)).count() == 0
