@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Query
 from ..sources.tables import table
-from . import chat, decontaminate, jaccard, language, mixing, pii, quality, rules, secrets, suffix_levels
+from . import chat, decontaminate, jaccard, language, mixing, pii, prefix_trie, quality, rules, secrets, suffix_levels
 
 QUERIES: dict[str, Query] = {}
 
@@ -153,3 +153,43 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_markov_secrets")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH rounds AS (
+  SELECT i, list_reduce(list_concat([i], range(8)), (a, b) -> CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS x
+  FROM (SELECT unnest(range(256)) AS i)),
+tab AS (SELECT list(x ORDER BY i) AS tab FROM rounds),
+t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS said FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT c, list({'k': md5(CAST(length(role) AS VARCHAR) || ':' || role || said), 'n': length(said)} ORDER BY turn NULLS FIRST, role, said) AS w FROM t GROUP BY c),
+h AS (
+  SELECT c, w, c - c % 100 AS base, CAST(xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), x -> CAST(ascii(x) AS BIGINT))),
+    (a, b) -> xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 6 AS BIGINT) AS h
+  FROM own, tab),
+f AS (
+  SELECT h.c, list_concat(CASE WHEN h.h = 0 OR b.w IS NULL THEN [] ELSE list_slice(b.w, 1, h.h) END, list_slice(h.w, h.h + 1, len(h.w))) AS w
+  FROM h LEFT JOIN own b ON b.c = h.base),
+p AS (
+  SELECT c, d, len(w) = d AS ends, CASE WHEN d = 0 THEN 0 ELSE w[d].n END AS size,
+    array_to_string(list_transform(list_slice(w, 1, d), x -> x.k), ',') AS k,
+    CASE WHEN d > 0 THEN array_to_string(list_transform(list_slice(w, 1, d - 1), x -> x.k), ',') END AS up
+  FROM (SELECT c, w, unnest(range(0, len(w) + 1)) AS d FROM f)),
+n AS (
+  SELECT k, d, any_value(up) AS up, min(c) AS c, count(*) AS n, any_value(size) AS size,
+    coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ends
+  FROM p GROUP BY k, d),
+kids AS (SELECT up, d - 1 AS d, count(*) AS m FROM n WHERE up IS NOT NULL GROUP BY ALL),
+x AS (SELECT n.*, coalesce(m, 0) AS m FROM n LEFT JOIN kids ON kids.up = n.k AND kids.d = n.d),
+under AS (
+  SELECT p.k, p.d, CAST(sum((x.n - 1) * x.size) AS BIGINT) AS saved, count(*) FILTER (x.m = 0) AS leaves
+  FROM x JOIN p ON p.c = x.c AND p.d <= x.d GROUP BY p.k, p.d)
+SELECT x.c AS conv_id, x.d AS depth, a.c AS parent_conv_id, x.n AS n_convs, x.m AS n_children, leaves AS n_leaves, saved AS saved_tokens,
+  sha256(x.ends) AS ends_sha256
+FROM x JOIN under USING (k, d) LEFT JOIN x a ON a.k = x.up AND a.d = x.d - 1
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
