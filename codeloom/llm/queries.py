@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Query
 from ..sources.tables import table
-from . import chat, decontaminate, jaccard, language, mixing, pii, prefix_trie, quality, rules, secrets, suffix_levels
+from . import chat, decontaminate, jaccard, language, mixing, pii, prefix_trie, quality, rules, secrets, simhash, suffix_levels
 
 QUERIES: dict[str, Query] = {}
 
@@ -193,3 +193,8 @@ FROM x JOIN under USING (k, d) LEFT JOIN x a ON a.k = x.up AND a.d = x.d - 1
 @query("op11_prefix_trie", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.report(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_simhash_positions")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
