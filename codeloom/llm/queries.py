@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Query
 from ..sources.tables import table
-from . import chat, decontaminate, jaccard, language, mixing, pii, prefix_trie, quality, rules, secrets, simhash, suffix_levels
+from . import chat, collocations, decontaminate, jaccard, language, mixing, pii, prefix_trie, quality, rules, secrets, simhash, suffix_levels
 
 QUERIES: dict[str, Query] = {}
 
@@ -198,3 +198,35 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_simhash_positions")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS x FROM documents),
+p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS (
+  SELECT lang, k, array_to_string(list_slice(w, at, at + k - 1), ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS at FROM p, range(1, 5) AS ks(k) WHERE len(w) >= k)),
+f AS (SELECT lang, phrase, any_value(k) AS k, count(*) AS a FROM g GROUP BY lang, phrase HAVING count(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (
+  SELECT lang, phrase, a, j, array_to_string(list_slice(w, 1, j), ' ') AS x, array_to_string(list_slice(w, j + 1, k), ' ') AS y
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (
+  SELECT cut.lang, cut.phrase, cut.a, j, l.a AS l, r.a AS r, (CAST(2000000 AS HUGEINT) * cut.a) // (l.a + r.a) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inn AS (
+  SELECT lang, array_to_string(list_slice(w, at, at + m - 1), ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS at FROM c, range(2, 4) AS ms(m) WHERE m < k) GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN inn USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r.r, n, CAST(score AS BIGINT) AS score FROM r JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_toivonen_phrases", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
