@@ -157,23 +157,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP11_SQL = """
 WITH rounds AS (
-  SELECT i, list_reduce(list_concat([i], range(8)), (a, b) -> CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS x
+  SELECT i, list_reduce(list_concat([i], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS x
   FROM (SELECT unnest(range(256)) AS i)),
 tab AS (SELECT list(x ORDER BY i) AS tab FROM rounds),
 t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS said FROM conversations WHERE conv_id IS NOT NULL),
 own AS (
   SELECT c, list({'k': md5(CAST(length(role) AS VARCHAR) || ':' || role || said), 'n': length(said)} ORDER BY turn NULLS FIRST, role, said) AS w FROM t GROUP BY c),
 h AS (
-  SELECT c, w, c - c % 100 AS base, CAST(xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), x -> CAST(ascii(x) AS BIGINT))),
-    (a, b) -> xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 6 AS BIGINT) AS h
+  SELECT c, w, c - c % 100 AS base, CAST(xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 6 AS BIGINT) AS h
   FROM own, tab),
 f AS (
   SELECT h.c, list_concat(CASE WHEN h.h = 0 OR b.w IS NULL THEN [] ELSE list_slice(b.w, 1, h.h) END, list_slice(h.w, h.h + 1, len(h.w))) AS w
   FROM h LEFT JOIN own b ON b.c = h.base),
 p AS (
   SELECT c, d, len(w) = d AS ends, CASE WHEN d = 0 THEN 0 ELSE w[d].n END AS size,
-    array_to_string(list_transform(list_slice(w, 1, d), x -> x.k), ',') AS k,
-    CASE WHEN d > 0 THEN array_to_string(list_transform(list_slice(w, 1, d - 1), x -> x.k), ',') END AS up
+    array_to_string(list_transform(list_slice(w, 1, d), lambda x: x.k), ',') AS k,
+    CASE WHEN d > 0 THEN array_to_string(list_transform(list_slice(w, 1, d - 1), lambda x: x.k), ',') END AS up
   FROM (SELECT c, w, unnest(range(0, len(w) + 1)) AS d FROM f)),
 n AS (
   SELECT k, d, any_value(up) AS up, min(c) AS c, count(*) AS n, any_value(size) AS size,
@@ -207,8 +207,8 @@ p AS (
   FROM (SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
 n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
 g AS (
-  SELECT lang, k, array_to_string(list_slice(w, at, at + k - 1), ' ') AS phrase
-  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS at FROM p, range(1, 5) AS ks(k) WHERE len(w) >= k)),
+  SELECT lang, k, array_to_string(list_slice(w, q, q + k - 1), ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS q FROM p, range(1, 5) AS ks(k) WHERE len(w) >= k)),
 f AS (SELECT lang, phrase, any_value(k) AS k, count(*) AS a FROM g GROUP BY lang, phrase HAVING count(*) >= 30),
 c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
 cut AS (
@@ -219,8 +219,8 @@ s AS (
   FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 inn AS (
-  SELECT lang, array_to_string(list_slice(w, at, at + m - 1), ' ') AS phrase, max(a) AS longer
-  FROM (SELECT *, unnest(range(1, k - m + 2)) AS at FROM c, range(2, 4) AS ms(m) WHERE m < k) GROUP BY ALL),
+  SELECT lang, array_to_string(list_slice(w, q, q + m - 1), ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS q FROM c, range(2, 4) AS ms(m) WHERE m < k) GROUP BY ALL),
 kept AS (SELECT b.* FROM b LEFT JOIN inn USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r.r, n, CAST(score AS BIGINT) AS score FROM r JOIN n USING (lang) WHERE rank <= 2000
