@@ -123,10 +123,12 @@ class Space:
     """Latent vectors of labelled rows, and how to project others next to them."""
 
     def __init__(self, x: np.ndarray, good: np.ndarray, rank: int = RANK):
-        self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.1
-        t = self._weigh(x)
-        self.basis = self._singular(t, min(rank, len(x)))
-        self.points = self._unit(t @ self.basis)
+        """``x`` is weighed in place: it is by far the largest thing that the driver holds."""
+        self.idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 0.1
+        for a in range(0, len(x), BLOCK):
+            x[a: a + BLOCK] = self._weigh(x[a: a + BLOCK])
+        self.basis = self._singular(x, min(rank, len(x)))
+        self.points = self._unit(x @ self.basis)
         self.good = good.astype(np.float32)
 
     @staticmethod
@@ -162,10 +164,21 @@ class Space:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in _slices(whole)):
-        rows = [v.tobytes() for x in counts(batch) for v in x]
+        rows = [_pack(v) for x in counts(batch) for v in x]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), batch.column("quality"), pa.array(rows, pa.binary())], names=["doc_id", "rid", "quality", "x"])
 
 
+def _pack(v: np.ndarray) -> bytes:
+    """The terms that occur, then their counts."""
+    at = np.flatnonzero(v)
+    return at.astype(np.uint16).tobytes() + v[at].tobytes()
+
+
+def _unpack(packed: bytes, out: np.ndarray) -> None:
+    n = len(packed) // 6
+    out[np.frombuffer(packed, dtype=np.uint16, count=n)] = np.frombuffer(packed[2 * n:], dtype=np.float32)
+
+
 def learn(documents: DataFrame, labels: DataFrame, may_learn: Callable[[Column], Column], sample: int = SAMPLE) -> Space | None:
     best = C.only(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").where(may_learn(F.col("doc_id")))
     best = best.groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -177,11 +190,15 @@ def learn(documents: DataFrame, labels: DataFrame, may_learn: Callable[[Column],
     kind = dict(docs.dtypes)["doc_id"]
     # rows that repeat an id teach once
     rows = docs.mapInArrow(_vectors, f"doc_id {kind}, rid long, quality int, x binary").groupBy("doc_id").agg(F.min_by(F.struct("quality", "x"), "rid").alias("r"))
-    found = rows.select("doc_id", "r.*").orderBy("doc_id").toArrow()
+    found = rows.select("doc_id", "r.*").orderBy("doc_id").toArrow()  # at most ``sample`` rows of some kilobytes
     if found.num_rows == 0:
         return None
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), dtype=np.float32).reshape(found.num_rows, -1)
-    return Space(x, np.asarray(found.column("quality")) == 1)
+    x = np.zeros((found.num_rows, WIDTH), dtype=np.float32)
+    for i, packed in enumerate(found.column("x")):
+        _unpack(packed.as_py(), x[i])
+    good = np.asarray(found.column("quality")) == 1
+    del found
+    return Space(x, good)
 
 
 def _score(space):
