@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def bitmap_of(hashes: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.nda
         .agg(F.expr(f"bitmap_construct_agg(b % {_BUCKET})").alias("bytes"))
         .collect()  # at most bits / 32768 rows of four kilobytes
     )
-    out = np.zeros(bits // 8, dtype=np.uint8)
+    out = np.zeros(max(bits, _BUCKET) // 8, dtype=np.uint8)
     for bucket, data in rows:
         at = bucket * _BUCKET // 8
         out[at: at + _BUCKET // 8] = np.frombuffer(bytes(data), dtype=np.uint8)
@@ -201,8 +202,19 @@ def smallest(df: DataFrame, group: list[str], order: list[Column], n: int, salts
     return top_per_group(once, group, order, n).drop("rank", "_salt")
 
 
-def broadcast(spark: SparkSession, value):
-    return spark.sparkContext.broadcast(value)
+class Shipped:
+    """A broadcast value whose class travels along, as workers need no copy of this package."""
+
+    def __init__(self, handle):
+        self._handle = handle
+
+    @property
+    def value(self):
+        return cloudpickle.loads(self._handle.value)
+
+
+def broadcast(spark: SparkSession, value) -> Shipped:
+    return Shipped(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
 
 
 def row_key() -> list[Column]:
