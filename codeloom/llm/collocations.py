@@ -13,7 +13,8 @@ occurrences on; then so are all phrases inside it.
    joins the proposed ones, and another pass counts only what the wider border
    adds.  This ends when no frequent phrase is outside; whatever the sample
    missed has been found by then.
-4. A last pass names the frequent phrases; scores are joins of these names.
+4. Last the frequent phrases are named, most of them by one document in sixteen and
+   the rest by all; scores are joins of these names.
 
 The bitmap lets some phrases through that were not proposed; they are counted as
 well, which changes no result.  It has thirty-two bits or more a phrase up to
@@ -45,7 +46,9 @@ FIRST = 2000
 SAMPLE = 4
 LEAST_BITS, BITMAP_BITS = 1 << 20, 1 << 28
 # Phrases that a task counts before it hands counts on.
-HELD = 6 << 20
+HELD = 4 << 20
+# One document in so many is asked for the names of phrases before all are asked for the rest.
+NAMED_FIRST = 16
 SEEN = 4 << 20
 
 _BREAKS = np.zeros(256, dtype=bool)
@@ -177,34 +180,45 @@ def frequent(docs: DataFrame, support: int = SUPPORT, sample: int = SAMPLE) -> D
 
 
 def _name(wanted):
-    """Each wanted phrase once a task, and how many words a language has; ``h`` is null for the latter."""
+    """Each wanted phrase once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         seen = np.zeros(0, dtype=C.U)  # forgetting one costs a row only
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            rows: list[tuple] = []
             for first, p in _phrases(batch):
-                in_row = np.bincount(p.row, minlength=0)
-                total: dict[str, int] = {}
-                for i, n in enumerate(in_row.tolist()):
-                    total[langs[first + i]] = total.get(langs[first + i], 0) + n
-                rows += [(None, lang, None, 0, n) for lang, n in total.items()]
+                rows: list[tuple] = []
                 new = []
                 for k in range(1, LONGEST + 1):
                     at = np.flatnonzero(p.valid[k - 1] & C.in_bitmap(bits, p.hash[k - 1]))
                     h, where = np.unique(p.hash[k - 1][at], return_index=True)
                     fresh = ~np.isin(h, seen, assume_unique=True)
                     new.append(h[fresh])
-                    rows += [(x, langs[first + p.row[i]], p.words(i, k), k, 0) for x, i in zip(h[fresh].view(np.int64).tolist(), at[where[fresh]].tolist())]
+                    rows += [(x, langs[first + p.row[i]], p.words(i, k), k) for x, i in zip(h[fresh].view(np.int64).tolist(), at[where[fresh]].tolist())]
                 seen = np.concatenate([seen, *new]) if len(seen) < SEEN else np.concatenate(new)
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64())
-            names = ["h", "lang", "phrase", "k", "n"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["h", "lang", "phrase", "k"])
 
     return run
 
 
+def _named(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(h, a, lang, phrase, k) of those of ``found`` (h, a) that occur in ``docs``."""
+    wanted = C.broadcast(docs.sparkSession, _bitmap([found], _width(found.count())))
+    rows = docs.mapInArrow(_name(wanted), "h long, lang string, phrase string, k int")
+    once = rows.groupBy("h").agg(F.min(F.struct("lang", "phrase", "k")).alias("p"))
+    return stored(found.join(once, "h").select("h", "a", "p.*"))
+
+
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many words each text has."""
+    for batch in batches:
+        raw, offs = C.binary_column(batch, "text")
+        parts = [np.diff(C.words_of(data, o, _INSIDE).first) for _, _, data, o in C.groups(raw, offs)]
+        n = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(n.astype(np.int64))], names=["lang", "n"])
+
+
 def _part(first: Column, n: Column) -> Column:
     return F.array_join(F.slice("w", first, n), " ")
 
@@ -214,12 +228,12 @@ def phrases(documents: DataFrame, support: int = SUPPORT, sample: int = SAMPLE)
     docs = C.spread(C.only(documents, "doc_id", "lang", "text")).select(
         F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text"
     ).withColumn("lang_hash", F.xxhash64("lang"))
-    found = frequent(docs, support, sample)
-    wanted = C.broadcast(docs.sparkSession, _bitmap([found], _width(found.count())))
-    named = stored(docs.mapInArrow(_name(wanted), "h long, lang string, phrase string, k int, n long"))
-    once = named.where("h is not null").groupBy("h").agg(F.min(F.struct("lang", "phrase", "k")).alias("p"))
-    words = named.where("h is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    return stored(once.join(found, "h").select("p.lang", "p.phrase", "p.k", "a")), words
+    found = stored(frequent(docs, support, sample))
+    # most frequent phrases occur in few documents already, which spares every task from naming them
+    early = _named(docs.where(F.pmod(F.col("key"), F.lit(NAMED_FIRST)) == 0), found)
+    late = _named(docs, stored(found.join(early.select("h"), "h", "left_anti")))
+    words = docs.select("lang", "text").mapInArrow(_lengths, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+    return stored(early.union(late).select("lang", "phrase", "k", "a")), words
 
 
 def collocations(documents: DataFrame, support: int = SUPPORT, first: int = FIRST, sample: int = SAMPLE) -> DataFrame:
