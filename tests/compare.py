@@ -64,8 +64,9 @@ def compare(spark, con, name, plan, sql, sf_dir):
         other = {c: {type(v).__name__ for r in want for c2, v in zip(cols, r) if c2 == c} for c in cols}
         odd = {c: (kinds[c], other[c]) for c in kinds if kinds[c] - {"NoneType"} != other[c] - {"NoneType"}}
         return ("same" if got else "EMPTY"), len(got), took, str(odd or "")
-    extra = [r for r in a if r not in set(b)][:3]
-    lack = [r for r in b if r not in set(a)][:3]
+    left, right = set(a), set(b)
+    extra = [r for r in a if r not in right][:3]
+    lack = [r for r in b if r not in left][:3]
     return "DIFFERENT", len(got), took, f"{len(a)} vs {len(b)} rows; only Spark {extra}; only SQL {lack}"
 
 
