@@ -17,6 +17,7 @@ from .operators import enrich as E
 from .operators import extract as EX
 from .operators import grep as G
 from .operators import lexical as L
+from .operators import links as LN
 from .operators import repomap as M
 from .operators import resolve as R
 from .operators import savings as SV
@@ -134,7 +135,7 @@ class Engine:
 
         version = self.store.new_version()
         self.store.write_graph(version, enriched, conform(edges, EDGES))
-        self.store.write_index(version, enriched)
+        index = self.store.write_index(version, enriched, meta.get("stamp") == stamp)
         self.store.write(version, "memo_nodes", nodes)
         self.store.write(version, "memo_raw", raw)
         self.store.write(version, "modules", modules)
@@ -144,7 +145,7 @@ class Engine:
             bad = bad.unionByName(problems)
         self.store.write(version, "errors", bad)
         stats = BuildStats(prints.count(), todo.count(), same.count(), enriched.count(), edges.count(), bad.count())
-        self.store.commit(version, {"stamp": stamp, "scopes": scopes, "files": stats.files})
+        self.store.commit(version, {"stamp": stamp, "scopes": scopes, "files": stats.files, "index": index})
         return stats
 
     def write_cards(self) -> int:
@@ -189,11 +190,15 @@ class Engine:
     def scopes(self) -> list[str]:
         return (self.store.meta() or {}).get("scopes") or [""]
 
+    def _links(self, way: str) -> LN.Links:
+        """The stored links of the graph, for walks inside its scopes where it has several."""
+        grouped = len(self.scopes()) > 1
+        nodes = SC.with_scope(self.nodes(), self.scopes()) if grouped else self.nodes()
+        return self.store.links(way, nodes, ["scope"] if grouped else [])
+
     def token_index(self) -> L.TokenIndex | None:
-        """The stored token index, unless it does not fit the graph."""
-        if not self.store.index_is_valid():
-            return None
-        return L.TokenIndex(self.store.table("postings"), self.store.table("body_lengths"))
+        """The stored token index of the graph."""
+        return self.store.token_index()
 
     def _with_bodies(self, nodes: DataFrame) -> DataFrame:
         bodies = self._need("memo_nodes").select("id", "ord", "path", "body_text")
@@ -226,7 +231,9 @@ class Engine:
             concepts = N.concept_docs(N.read_notes(self.spark, self.out))
             index = self.token_index()
             docs = nodes if index is not None else self._with_bodies(nodes)
-            hits, ranking = A.ask(docs, edges if graph_rank else None, query, limit, self.scopes(), prefix, concepts, index=index)
+            hits, ranking = A.ask(
+                docs, edges if graph_rank else None, query, limit, self.scopes(), prefix, concepts, index=index,
+                links=self._links("walk") if graph_rank and not prefix else None)
             hits = materialize(hits)
             note = found.note if found is not None else None
             answer = Answer("empty" if hits.isEmpty() else "lexical", hits, note, ranking=ranking)
@@ -258,7 +265,9 @@ class Engine:
 
     def callers(self, symbol: str, direction: str = "in", depth: int | None = 1, within: str | None = None) -> DataFrame:
         matches = materialize(W.resolve_symbol(self.nodes(), symbol, within))
-        return W.edge_walk(self.nodes(), self.edges(), matches, direction, depth)
+        deep = depth is None or depth > 1
+        links = self._links("into" if direction == "in" else "out") if deep else None
+        return W.edge_walk(self.nodes(), self.edges(), matches, direction, depth, links)
 
     def grep(self, pattern: str, within: str | None = None, ignore_case: bool = False, fixed: bool = False) -> G.GrepResult:
         paths = self.nodes().where(F.col("kind") == "file").select("path")

@@ -12,6 +12,7 @@ from ..functions.ranking import top_per_group
 from ..session import broadcast_if_small, materialize
 from . import lexical
 from .fuse import fuse_scopes, strong_enough
+from .links import Links
 from .pagerank import personalized_pagerank
 
 # Fixed values of the blend.
@@ -107,17 +108,19 @@ def rank_nodes(
     concepts: lexical.ConceptStats | None = None,
     duplicate_ids: bool = False,
     index: lexical.TokenIndex | None = None,
+    links: Links | None = None,
 ) -> Ranking:
     """Rank all nodes as one corpus.
 
     A prefix is part of the question: it bounds the corpus the statistics and
-    the walk see, so it is applied before anything is counted.
+    the walk see, so it is applied before anything is counted, and the walk
+    then cannot use the stored ``links`` of the whole graph.
     """
     docs = with_labels(nodes)
     if prefix:
         docs = docs.where(X.under_prefix(F.col("path"), prefix))
     keep = [*LABELS, *(["ord"] if duplicate_ids else [])]
-    scored = lexical.score_corpus(docs, query, keep, concepts=concepts, index=index)
+    scored = lexical.score_corpus(docs, query, keep, concepts=concepts, index=index, whole=not prefix)
     if duplicate_ids:
         scored = unique_hits(scored)
     scored.hits = materialize(scored.hits)
@@ -127,7 +130,7 @@ def rank_nodes(
     pr = None
     if edges is not None:
         seeds = scored.hits.select("id", F.col("lex").alias("weight"))
-        pr = personalized_pagerank(docs, edges, seeds)
+        pr = personalized_pagerank(docs, edges, seeds, links=links if not prefix else None)
     return Ranking(blend(scored, pr, []).withColumn("scope", F.lit("")), matches=scored.matches)
 
 
@@ -140,6 +143,7 @@ def rank_scopes(
     limit: int | None = None,
     duplicate_ids: bool = False,
     index: lexical.TokenIndex | None = None,
+    links: Links | None = None,
 ) -> Ranking:
     """Rank every scope on its own statistics, then fuse the orderings.
 
@@ -166,7 +170,8 @@ def rank_scopes(
     if edges is not None:
         seeds = scored.hits.select("id", F.col("lex").alias("weight"))
         inside = docs.select("id", "scope").join(passing, "scope", "left_semi")
-        pr = personalized_pagerank(inside, edges, seeds, by)
+        # seeds lie in passing scopes, and stored links never leave a scope
+        pr = personalized_pagerank(inside, edges, seeds, by, links=links if not prefix else None)
     blended = materialize(blend(scored, pr, by))
     fused = fuse_scopes(blended, limit, disjoint=True)
     labels = blended.select("id", *LABELS, "coverage", "coverage_strong")
@@ -200,10 +205,12 @@ def ask(
     concepts: DataFrame | None = None,
     duplicate_ids: bool = True,
     index: lexical.TokenIndex | None = None,
+    links: Links | None = None,
 ) -> tuple[DataFrame, Ranking]:
     """Top hits over nodes and concept notes, in the order a user sees.
 
-    ``edges=None`` ranks by words alone.  ``concepts``: slug, name, sources
+    ``edges=None`` ranks by words alone.  ``links`` are the stored link tables of
+    the graph, inside scopes where there are several.  ``concepts``: slug, name, sources
     (array), related (array), snippet, text.
     """
     from .scopes import with_scope
@@ -216,9 +223,9 @@ def ask(
             concepts = concepts.where(F.exists("sources", lambda p: X.under_prefix(p, prefix)))
         stats, matched = lexical.concept_matches(concepts, query)
     if scopes and len(scopes) > 1:
-        ranking = rank_scopes(with_scope(nodes, scopes), edges, query, prefix, stats, limit, duplicate_ids, index)
+        ranking = rank_scopes(with_scope(nodes, scopes), edges, query, prefix, stats, limit, duplicate_ids, index, links)
     else:
-        ranking = rank_nodes(nodes, edges, query, prefix, stats, duplicate_ids, index)
+        ranking = rank_nodes(nodes, edges, query, prefix, stats, duplicate_ids, index, links)
     symbols = ranking.hits.select(
         F.lit("symbol").alias("kind"), "title", "pointer", "snippet",
         F.lit(None).cast("array<string>").alias("related"), "scope", "score",
@@ -226,15 +233,18 @@ def ask(
     )
     hits = symbols
     if stats is not None:
-        hits = symbols.unionByName(_concept_hits(concepts, matched, stats, terms, ranking.matches))
+        hits = symbols.unionByName(_concept_hits(
+            concepts, matched, stats, terms, ranking.matches, index if not prefix else None))
     return top_hits(hits, limit, icu=True).select(*HIT_COLUMNS), ranking
 
 
 def _concept_hits(
-    concepts: DataFrame, matched: DataFrame, stats: lexical.ConceptStats, terms: list[str], matches: DataFrame
+    concepts: DataFrame, matched: DataFrame, stats: lexical.ConceptStats, terms: list[str], matches: DataFrame,
+    index: lexical.TokenIndex | None = None,
 ) -> DataFrame:
     """Concept notes, weighed by the corpus as a whole and scaled to their best."""
-    one = lexical.corpus_stats(matches, terms, [], stats).first()
+    known = index is not None and index.frequencies is not None
+    one = (index.stats(terms, stats) if known else lexical.corpus_stats(matches, terms, [], stats)).first()
     weights = F.array(*[F.lit(float(v)) for v in one["idf"]])
     scored = materialize(lexical.score_concepts(matched, weights))
     top = scored.agg(F.max("raw")).first()[0] or 1.0

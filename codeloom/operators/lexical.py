@@ -154,10 +154,21 @@ class Scored:
 
 @dataclass
 class TokenIndex:
-    """A stored token index: postings, and the body length of every document."""
+    """A stored token index: postings, the body length of every document, and where kept their statistics."""
 
     postings: DataFrame      # id, field, token, tf
     body_lengths: DataFrame  # id, body_len
+    frequencies: DataFrame | None = None  # token, df
+    n_docs: int = 0
+    avgdl: float = 0.0
+
+    def stats(self, terms: list[str], concepts: ConceptStats) -> DataFrame:
+        """The row of ``corpus_stats`` over the whole index, from its counters alone."""
+        found = dict(self.frequencies.where(F.col("token").isin(*terms)).select("token", "df").collect())  # a row per term
+        n = F.lit(self.n_docs + concepts.n)
+        row = self.postings.sparkSession.range(1)
+        weights = [idf(n, F.lit(found.get(t, 0) + concepts.df[i])) for i, t in enumerate(terms)]
+        return row.select(n.alias("n_docs"), F.lit(self.avgdl).alias("avgdl"), F.array(*weights).alias("idf"))
 
 
 def score_corpus(
@@ -167,11 +178,14 @@ def score_corpus(
     by: list[str] | None = None,
     concepts: ConceptStats | None = None,
     index: TokenIndex | None = None,
+    whole: bool = False,
 ) -> Scored:
     """Score ``docs`` against ``query``, with statistics per ``by`` group.
 
     The statistics have one row per group.  With a stored index only the
-    postings of the query's terms are read, not the texts.
+    postings of the query's terms are read, not the texts.  If ``docs`` are
+    all that is indexed (``whole``), its stored statistics are used and only
+    documents that hold a term are looked at.
     """
     by = by or []
     terms = X.query_terms(query)
@@ -182,6 +196,11 @@ def score_corpus(
         zero = F.lit(0.0)
         hits = empty.select("*", zero.alias("lex"), zero.alias("coverage"), zero.alias("coverage_strong"))
         return Scored(hits, empty, empty)
+    if index is not None and whole and not by and index.frequencies is not None:
+        info = docs.select("id", *keep).join(index.body_lengths, "id")
+        stats = index.stats(terms, concepts)
+        matched = materialize(matches_from_index(index.postings, info, terms, keep, "inner"))
+        return score_matches(matched, terms, query, stats=stats, others=matches_from_index(index.postings, info, terms, keep))
     if index is None:
         matches = term_matches(docs, terms, keep)
     else:
@@ -191,11 +210,17 @@ def score_corpus(
 
 
 def score_matches(
-    matches: DataFrame, terms: list[str], query: str, by: list[str] | None = None, concepts: ConceptStats | None = None
+    matches: DataFrame, terms: list[str], query: str, by: list[str] | None = None, concepts: ConceptStats | None = None,
+    stats: DataFrame | None = None, others: DataFrame | None = None,
 ) -> Scored:
-    """Score compact rows, read from the text or from a stored index."""
+    """Score compact rows, read from the text or from a stored index.
+
+    With ``stats`` the rows need only be those that hold a term; ``others`` are
+    then the rows of all documents, which nothing reads unless asked for some.
+    """
     by, concepts = by or [], concepts or no_concepts(terms)
-    stats = corpus_stats(matches, terms, by, concepts)
+    if stats is None:
+        stats = corpus_stats(matches, terms, by, concepts)
     matched = matches.where(_is_matched())
     if by:
         stats = broadcast_if_small(stats)
@@ -204,7 +229,7 @@ def score_matches(
         one = stats.first()  # a single row of query-sized numbers
         weights = F.array(*[F.lit(float(v)) for v in one["idf"]])
         scored = _with_scores(matched, weights, F.lit(float(one["avgdl"] or 0.0)), query)
-    return Scored(scored.where(F.col("lex") > 0), matches, stats)
+    return Scored(scored.where(F.col("lex") > 0), matches if others is None else others, stats)
 
 
 def coverage_of(rows: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
@@ -283,12 +308,12 @@ def body_lengths(docs: DataFrame, post: DataFrame) -> DataFrame:
     return docs.select("id").join(lengths, "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("body_len"))
 
 
-def matches_from_index(index: DataFrame, doc_info: DataFrame, terms: list[str], keep: list[str]) -> DataFrame:
+def matches_from_index(index: DataFrame, doc_info: DataFrame, terms: list[str], keep: list[str], how: str = "left") -> DataFrame:
     """Rebuild the compact rows from a stored token index.
 
     ``index`` is ``postings``; only the query's terms are read, which the
     parquet token statistics prune.  ``doc_info`` carries id, kept columns and
-    body_len, one row per document.
+    body_len, one row per document; an ``inner`` join leaves out those without a term.
     """
     wanted = sorted({v for t in terms for v in X.plural_forms(t)})
     cells = index.where(F.col("token").isin(*wanted))
@@ -307,7 +332,7 @@ def matches_from_index(index: DataFrame, doc_info: DataFrame, terms: list[str],
     )
     zeros = F.array(*[F.lit(0) for _ in terms])
     nothing = F.array(*[F.lit(False) for _ in terms])
-    return doc_info.join(per_doc, "id", "left").select(
+    return doc_info.join(per_doc, "id", how).select(
         "id", *keep, "body_len",
         *[F.coalesce(f"{f}_tf", zeros).alias(f"{f}_tf") for f in FIELDS],
         F.coalesce("name_has", nothing).alias("name_has"),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import walk_edges
-from ..session import broadcast_if_small, materialize, partitions_for
+from ..session import broadcast_if_small, materialize
 from .adjacency import LINKS_PER_SALT, adjacency
+from .links import Links, walk_links
 
 # Fixed values of the ranking.
 ALPHA = 0.25
@@ -16,25 +16,6 @@ ITERATIONS = 25
 CHECKPOINT_EVERY = 5
 
 
-def numbered(nodes: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct nodes with a number each, which the loop uses instead of the id.
-
-    The numbers are stored, so every use of the table sees the same ones.
-    """
-    return materialize(nodes.select("id", *by).dropDuplicates(["id"]).withColumn("n", F.monotonically_increasing_id()))
-
-
-def inner_edges(known: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
-    """Walk edges between known nodes, as numbers; with ``by``, only inside one group."""
-    walk = walk_edges(edges).select("source", "target")
-    left = known.select(F.col("id").alias("source"), F.col("n").alias("a"), *[F.col(c).alias(f"s_{c}") for c in by])
-    right = known.select(F.col("id").alias("target"), F.col("n").alias("b"), *[F.col(c).alias(f"t_{c}") for c in by])
-    joined = walk.join(left, "source").join(right, "target")
-    for c in by:
-        joined = joined.where(F.col(f"s_{c}") == F.col(f"t_{c}"))
-    return joined.select("a", "b")
-
-
 def _teleport(q: Column, step: int, alpha: float) -> Column:
     """Share of the seed weights that returns to the seeds at ``step``.
 
@@ -55,57 +36,50 @@ def personalized_pagerank(
     alpha: float = ALPHA,
     iterations: int = ITERATIONS,
     links_per_salt: int = LINKS_PER_SALT,
+    links: Links | None = None,
 ) -> DataFrame:
     """Centrality of nodes around weighted ``seeds`` (id, weight).
 
     The graph is an undirected multigraph over the walk relations.  ``nodes``
     bounds the walk: pass a filtered table to walk a subgraph.  With ``by``
-    every group is walked on its own.  Returns (id, by…, pr), the top node of
+    every group is walked on its own.  With stored ``links`` of the same groups
+    neither nodes nor edges are read.  Returns (id, by…, pr), the top node of
     each group at 1; nodes the walk never reaches are absent.
     """
     by = by or []
-    known = numbered(nodes, by)
-    inside = inner_edges(known, edges, by)
-    # one pass over the edges gives both directions
-    both = inside.select(F.explode(F.array(
-        F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
-        F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("l")).select("l.src", "l.dst")
-    links = materialize(both.groupBy("src", "dst").agg(F.count("*").alias("mult")))
-    with partitions_for(nodes.sparkSession, links.count()):
-        degree = materialize(links.groupBy("src").agg(F.sum("mult").alias("deg"), F.count("*").alias("fan")))
-        adj = adjacency(
-            links.join(degree, "src").select("src", "dst", ((1 - alpha) * F.col("mult") / F.col("deg")).alias("p")),
-            links_per_salt, fan=degree.select("src", "fan"),
-        )
-
-        start = seeds.where(F.col("weight") > 0).groupBy("id").agg(F.sum("weight").alias("weight")).join(known, "id")
-        start = materialize(start.select(F.col("n").alias("id"), *by, "weight").join(
-            degree.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left"
-        ).select("id", *by, "weight", F.coalesce("dangling", F.lit(True)).alias("dangling")))
-        sums = start.groupBy(*by).agg(
-            F.sum("weight").alias("total"),
-            F.coalesce(F.sum(F.when(F.col("dangling"), F.col("weight"))), F.lit(0.0)).alias("loose"),
-        )
-        if by:
-            start = start.join(broadcast_if_small(sums), by)
-        else:
-            one = sums.first()  # two numbers
-            if not one["total"]:
-                return known.where(F.lit(False)).select("id", F.lit(0.0).alias("pr"))
-            start = start.withColumns({"total": F.lit(one["total"]), "loose": F.lit(one["loose"])})
-        start = materialize(start.select(
-            "id",
-            (F.col("weight") / F.col("total")).alias("w"),
-            ((1 - alpha) * F.col("loose") / F.col("total")).alias("q"),
-        ))
-
-        rank = start.select("id", F.col("w").alias("r"))
-        for step in range(iterations):
-            moved = adj.expand(rank).select(F.col("dst").alias("id"), (F.col("r") * F.col("p")).alias("v"))
-            home = start.select("id", (F.col("w") * _teleport(F.col("q"), step, alpha)).alias("v"))
-            rank = moved.unionAll(home).groupBy("id").agg(F.sum("v").alias("r"))
-            if (step + 1) % CHECKPOINT_EVERY == 0 or step == iterations - 1:
-                rank = materialize(rank)
+    if links is None:
+        links = walk_links(nodes, edges, by, lambda shares: adjacency(shares, links_per_salt))
+    elif links.by != by:
+        raise ValueError(f"links are stored for groups {links.by}, not {by}")
+    known, adj = links.numbers.where("is_node"), links.walk
+
+    start = seeds.where(F.col("weight") > 0).groupBy("id").agg(F.sum("weight").alias("weight")).join(known, "id")
+    start = materialize(start.select(F.col("n").alias("id"), *by, "weight").join(
+        adj.salts.withColumnRenamed("src", "id"), "id", "left").withColumn("salts", F.coalesce("salts", F.lit(0))))
+    sums = start.groupBy(*by).agg(
+        F.sum("weight").alias("total"),
+        F.coalesce(F.sum(F.when(F.col("salts") == 0, F.col("weight"))), F.lit(0.0)).alias("loose"),
+    )
+    if by:
+        start = start.join(broadcast_if_small(sums), by)
+    else:
+        one = sums.first()  # two numbers
+        if not one["total"]:
+            return known.where(F.lit(False)).select("id", F.lit(0.0).alias("pr"))
+        start = start.withColumns({"total": F.lit(one["total"]), "loose": F.lit(one["loose"])})
+    start = materialize(start.select(
+        "id",
+        (F.col("weight") / F.col("total")).alias("w"),
+        ((1 - alpha) * F.col("loose") / F.col("total")).alias("q"),
+    ))
+
+    rank = start.select("id", F.col("w").alias("r"))
+    for step in range(iterations):
+        moved = adj.expand(rank, everywhere=True).select(F.col("dst").alias("id"), ((1 - alpha) * F.col("r") * F.col("share")).alias("v"))
+        home = start.select("id", (F.col("w") * _teleport(F.col("q"), step, alpha)).alias("v"))
+        rank = moved.unionAll(home).groupBy("id").agg(F.sum("v").alias("r"))
+        if (step + 1) % CHECKPOINT_EVERY == 0 or step == iterations - 1:
+            rank = materialize(rank)
 
     named = rank.withColumnRenamed("id", "n").join(known, "n").select("id", *by, "r")
     if by:

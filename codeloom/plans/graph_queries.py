@@ -193,19 +193,19 @@ WHERE f.depth > 0 AND f.id NOT IN (SELECT id FROM seeds)"""
 @query("impact_bfs_depth3", bfs_sql("SELECT id FROM turns WHERE turn = 0", 3))
 def q_bfs3(spark, sf):
     g = S.conversation_graph(spark, sf)
-    return W.impact(g.edges, g.nodes.where("turn = 0"), 3)
+    return W.impact(None, g.nodes.where("turn = 0"), 3, links=S.stored_links(spark, sf, "conversations", "into"))
 
 
 @query("closure_all", bfs_sql("SELECT id FROM turns WHERE name = 'user0'", None))
 def q_closure(spark, sf):
     g = S.conversation_graph(spark, sf)
-    return W.impact(g.edges, W.resolve_symbol(g.nodes, "user0"), None)
+    return W.impact(None, W.resolve_symbol(g.nodes, "user0"), None, links=S.stored_links(spark, sf, "conversations", "into"))
 
 
 @query("closure_callees", bfs_sql("SELECT id FROM nodes WHERE kind = 'function'", None, "walk", Q.CATALOG, "out"))
 def q_closure_out(spark, sf):
     g = S.catalog(spark, sf)
-    return W.impact(g.edges, g.nodes.where("kind = 'function'"), None, "out")
+    return W.impact(None, g.nodes.where("kind = 'function'"), None, "out", links=S.stored_links(spark, sf, "catalog", "out"))
 
 
 FILE_SEEDS = """SELECT id FROM nodes WHERE path IN (SELECT path FROM nodes WHERE name = 'NATION_3')"""
@@ -215,7 +215,8 @@ FILE_SEEDS = """SELECT id FROM nodes WHERE path IN (SELECT path FROM nodes WHERE
 def q_file_seed(spark, sf):
     g = S.catalog(spark, sf)
     files = g.nodes.where("kind = 'file' AND name = 'NATION_3'")
-    return W.edge_walk(g.nodes, g.edges, files, "in", 2).select("id", "relation", "depth")
+    hits = W.edge_walk(g.nodes, g.edges, files, "in", 2, S.stored_links(spark, sf, "catalog", "into"))
+    return hits.select("id", "relation", "depth")
 
 
 @query("blast_radius", f"""WITH {Q.CATALOG}
@@ -277,7 +278,8 @@ CAT_PR = Q.pagerank("nodes", "walk", "(SELECT id, lex AS weight FROM lx_hits)")
 def q_ppr(spark, sf):
     g = S.catalog(spark, sf)
     hits = L.score_corpus(g.nodes, PART_QUERY, []).hits
-    pr = personalized_pagerank(g.nodes, g.edges, hits.select("id", F.col("lex").alias("weight")))
+    pr = personalized_pagerank(g.nodes, g.edges, hits.select("id", F.col("lex").alias("weight")),
+                               links=S.stored_links(spark, sf, "catalog", "walk"))
     return pr.select("id", r6("pr").alias("pr"))
 
 
@@ -292,7 +294,7 @@ cand AS (
 
 def blended(spark, sf):
     g = S.catalog(spark, sf)
-    return A.rank_nodes(g.nodes, g.edges, PART_QUERY)
+    return A.rank_nodes(g.nodes, g.edges, PART_QUERY, links=S.stored_links(spark, sf, "catalog", "walk"))
 
 
 @query("ask_graph_blend", f"""WITH {CAT}, {CAT_PR}, {BLEND}
@@ -308,7 +310,8 @@ SELECT pr.id, round(0.5 * pr.pr, 6) AS score FROM pr WHERE pr.pr >= 0.15 AND pr.
 def q_rescue(spark, sf):
     g = S.catalog(spark, sf)
     scored = L.score_corpus(A.with_labels(g.nodes), PART_QUERY, A.LABELS)
-    pr = personalized_pagerank(g.nodes, g.edges, scored.hits.select("id", F.col("lex").alias("weight")))
+    pr = personalized_pagerank(g.nodes, g.edges, scored.hits.select("id", F.col("lex").alias("weight")),
+                               links=S.stored_links(spark, sf, "catalog", "walk"))
     return A.rescue(scored, pr, []).select("id", r6("score").alias("score"))
 
 
@@ -338,7 +341,7 @@ SELECT id, scope, round(score, 6) AS score FROM fused ORDER BY round(score, 6) D
 def q_scopes_graph(spark, sf):
     """Per-scope words and walk, then fusion; copies of a text are wired together."""
     nodes = S.document_nodes(spark, sf).withColumn("scope", F.col("lang"))
-    ranking = A.rank_scopes(nodes, S.copy_edges(spark, sf), DOC_QUERY, limit=12)
+    ranking = A.rank_scopes(nodes, S.copy_edges(spark, sf), DOC_QUERY, limit=12, links=S.stored_links(spark, sf, "copies", "walk"))
     return ranking.hits.select("id", "scope", r6("score").alias("score")).orderBy(
         F.col("score").desc(), "scope", "id").limit(12)
 

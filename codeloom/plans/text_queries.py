@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.ranking import top_per_group
 from ..operators import ask as A
 from ..operators import lexical as L
+from ..session import checkpoint_dir
 from ..sources import tables as S
+from ..sources.token_index import TokenStore
 from . import sqltext as Q
 from .registry import query
 
@@ -113,14 +117,47 @@ SELECT id, round(lex, 6) AS lex, round(coverage, 6) AS coverage, round(coverage_
 def ask_from_index(spark, sf):
     """The same scores from a stored token index instead of the text."""
     docs = S.document_nodes(spark, sf)
-    post = L.postings(docs)
-    info = L.body_lengths(docs, post).join(docs.select("id", "path", "kind"), "id")
-    terms = X.query_terms(DOC_QUERY)
-    rows = L.matches_from_index(post, info, terms, ["path", "kind"])
-    hits = L.score_matches(rows, terms, DOC_QUERY).hits
+    index = token_store(spark).update("first", docs).index()
+    hits = L.score_corpus(docs.select("id", "path", "kind"), DOC_QUERY, [], index=index, whole=True).hits
     return hits.select("id", *[r6(c).alias(c) for c in ("lex", "coverage", "coverage_strong")])
 
 
+def token_store(spark):
+    return TokenStore(spark, f"{checkpoint_dir(spark)}/index/{uuid.uuid4().hex}")
+
+
+@query("idf_from_index", f"""{POSTINGS_SQL}, df AS (SELECT token, count(DISTINCT id) AS df FROM tok GROUP BY token)
+SELECT token, df, round(ln(1 + (SELECT count(*) FROM documents) / (1 + df)), 6) AS idf FROM df""")
+def idf_from_index(spark, sf):
+    """Weights from the stored counters of an index, without its postings."""
+    index = token_store(spark).update("first", S.document_nodes(spark, sf)).index()
+    return index.frequencies.select("token", "df", r6(L.idf(F.lit(index.n_docs), F.col("df"))).alias("idf"))
+
+
+@query("index_after_delta", f"""{POSTINGS_SQL}, len AS (SELECT count(*) AS n_docs, round(avg(len({Q.tokens('body')})), 6) AS avgdl FROM docs)
+SELECT token, count(DISTINCT id) AS df, count(*) AS tf, count(DISTINCT (id, field)) AS n_postings, any_value(n_docs) AS n_docs,
+       any_value(avgdl) AS avgdl FROM tok, len GROUP BY token""")
+def index_after_delta(spark, sf):
+    """An index of an earlier state, brought up to date by two changes; the twin indexes the present state afresh.
+
+    Earlier, web pages were indexed as well, the last language was not, and of
+    texts with several lines there were only the first ones.
+    """
+    docs = S.document_nodes(spark, sf)
+    last = docs.agg(F.max("lang")).first()[0]
+    known = docs.where(F.col("lang") != F.lit(last))
+    pages = S.table(spark, sf, "pages").select(
+        F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("name"), F.col("url").alias("path"), F.col("html").alias("body_text"))
+    begun = known.withColumn("body_text", F.substring_index("body_text", "\n", 1)).select(*pages.columns)
+    store = token_store(spark).update("first", begun.union(pages))
+    store = store.update("second", known.select(*pages.columns))  # everything is compared
+    store = store.update("third", docs.where(F.col("lang") == F.lit(last)), docs.where(F.col("lang") == F.lit(last)))  # the change is named
+    index = store.index()
+    tokens = index.postings.groupBy("token").agg(F.sum("tf").alias("tf"), F.count("*").alias("n_postings"))
+    return tokens.join(index.frequencies, "token").select(
+        "token", "df", "tf", "n_postings", F.lit(index.n_docs).alias("n_docs"), r6(F.lit(index.avgdl)).alias("avgdl"))
+
+
 @query("ask_prefix_filtered", f"""WITH {Q.DOCS}, en AS (SELECT * FROM docs WHERE path = 'en' OR starts_with(path, 'en/')),
 {Q.lexical(DOC_QUERY, 'en')}
 SELECT id, round(lex / (SELECT max(lex) FROM lx_hits), 6) AS score, round(coverage, 6) AS coverage FROM lx_hits""")

@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lexical as L
+from ..operators import links as LN
 from ..schemas import last_by_id
 from .files import open_root
+from .token_index import TokenStore
 
 POINTER = "CURRENT"
 KEPT_VERSIONS = 2
@@ -91,6 +93,16 @@ class Store:
         names = sorted(posixpath.basename(e.path) for e in folder if e.type == pafs.FileType.Directory)
         for old in [n for n in names if n != version][: max(0, len(names) - KEPT_VERSIONS)]:
             self.fs.delete_dir(self._at("versions", old))
+        self._drop_generations([n for n in names if self._exists("versions", n, "meta.json")])
+
+    def _drop_generations(self, versions: list[str]) -> None:
+        """Drop what no kept version counts among the generations of its index."""
+        if not self._exists("index"):
+            return
+        used = {g for v in versions for g, _ in json.loads(self.read_text("versions", v, "meta.json")).get("index") or []}
+        for e in self.fs.get_file_info(pafs.FileSelector(self._at("index"))):
+            if e.type == pafs.FileType.Directory and posixpath.basename(e.path) not in used:
+                self.fs.delete_dir(e.path)
 
     def meta(self) -> dict | None:
         version = self.current()
@@ -106,21 +118,41 @@ class Store:
         self.write(version, "nodes", _sorted(nodes.drop("body_text"), "id", "ord"))
         self.write(version, "edges", _sorted(edges, "source", "relation", "target"))
 
-    def write_index(self, version: str, nodes: DataFrame) -> None:
-        """Postings sorted by token, so a query reads the row groups of its terms only."""
+    def write_index(self, version: str, nodes: DataFrame, same_rules: bool = True) -> list[list]:
+        """Bring the token index up to date; returns its generations, which ``commit`` has to be told.
+
+        Only documents that differ are written.  Rows made by other rules are not kept.
+        """
         docs = last_by_id(nodes.select("id", "name", "path", "signature", "summary", "body_text", "ord"))
-        self.write(version, "postings", _sorted(L.postings(docs), "token", "id"))
-        stored = self.spark.read.parquet(self.uri("versions", version, "postings"))
-        self.write(version, "body_lengths", L.body_lengths(docs, stored))
+        known = ((self.meta() or {}).get("index") or []) if same_rules else []
+        store = TokenStore(self.spark, self.uri("index"), [tuple(g) for g in known]).update(version, docs)
+        return [list(g) for g in store.live]
 
     def index_is_valid(self) -> bool:
-        """The token index covers exactly the nodes of the graph."""
-        nodes, lengths = self.table("nodes"), self.table("body_lengths")
-        if nodes is None or lengths is None or self.table("postings") is None:
-            return False
-        if nodes.select("id").distinct().count() != lengths.select("id").distinct().count():
-            return False
-        return nodes.join(lengths, "id", "left_anti").isEmpty()
+        """The token index belongs to the graph: both are made current by one pointer."""
+        return bool((self.meta() or {}).get("index"))
+
+    def token_index(self) -> L.TokenIndex | None:
+        known = (self.meta() or {}).get("index")
+        return TokenStore(self.spark, self.uri("index"), [tuple(g) for g in known]).index() if known else None
+
+    def links(self, way: str, grouped: DataFrame, by: list[str]) -> LN.Links:
+        """Link tables of the current version with ``way`` among them.
+
+        A table is made when a question first needs it, kept with the version
+        and only read after that.  ``grouped`` are the nodes with the columns ``by``.
+        """
+        version = self.current()
+        at, edges = self.uri("versions", version, "links"), self.table("edges", version)
+        told = json.loads(self.read_text("versions", version, "links", "made.json") or "{}")
+        if not told:
+            LN.number(grouped, edges, at, by)
+            told = {"by": by}
+        if way not in told:
+            LN.add(LN.read(self.spark, at, {}, told["by"]), way, edges, at)
+            told[way] = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            self.write_text(json.dumps(told), "versions", version, "links", "made.json")
+        return LN.read(self.spark, at, {w: told[w] for w in LN.WAYS if w in told}, told["by"])
 
     def export_json(self, folder: str) -> None:
         """The graph as sorted JSON lines: nodes by id, edges by source, relation, target."""
