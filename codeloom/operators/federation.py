@@ -14,6 +14,7 @@ from ..session import materialize
 from . import ask as A
 from .fuse import Fusion, fuse_scopes, strong_enough
 from .grep import group_hits, innermost_span, matching_lines
+from .links import Links
 from .repomap import HUBS_PER_DIR, MAX_DIRS, dir_entries, dir_hubs, grouped
 from .walk import impact, one_hop, symbol_tier
 
@@ -38,7 +39,7 @@ def federate_ask(nodes: DataFrame, edges: DataFrame | None, query: str, limit: i
     if only is not None:
         docs = docs.where(F.col("repo") == only)
     own = materialize(_per_repo(docs, edges, query))
-    page = materialize(top_per_group(own, ["scope"], [F.col("score").desc(), F.col("title"), F.col("id")], over_fetch(limit)))
+    page = materialize(top_per_group(own, ["scope"], [F.col("score").desc(), F.col("id")], over_fetch(limit)))  # in the order of the fusion
     head = page.where(F.col("rank") == 1)
     joins = F.lit(True) if only is not None else strong_enough(F.col("coverage_strong"), F.col("coverage"))
     passing = head.where(joins).select("scope")
@@ -113,22 +114,24 @@ def federate_check(stored: DataFrame, current: DataFrame, known: DataFrame) -> D
 
 
 def federate_callers(
-    nodes: DataFrame, edges: DataFrame, symbol: str, direction: str = "in", depth: int = 1, within: str | None = None
+    nodes: DataFrame, edges: DataFrame, symbol: str, direction: str = "in", depth: int = 1, within: str | None = None,
+    links: Links | None = None,
 ) -> DataFrame:
     """Walks from a symbol in every repository that has it.
 
     The symbol tier is chosen per repository: a weak match in one does not
-    depend on what another holds.
+    depend on what another holds.  Each match is walked on its own; rows say
+    which ``symbol`` they belong to, and its ``repo``.
     """
     tiered = nodes.withColumn("tier", symbol_tier(symbol)).where(F.col("tier").isNotNull())
     best = tiered.groupBy("repo").agg(F.min("tier").alias("best"))
     found = tiered.join(best, "repo").where(F.col("tier") == F.col("best"))
     if within:
         found = found.where(F.contains(F.col("path"), F.lit(within)))
-    found = materialize(found.select("id", "repo"))
+    found = materialize(found.select("id", "repo", F.col("id").alias("symbol")).distinct())
     if depth <= 1:
         hits = one_hop(nodes, edges, found, direction)
-        return hits.join(found.select(F.col("id").alias("symbol"), "repo").distinct(), "symbol")
-    hits = impact(edges, found, depth, direction)
-    return hits.join(nodes.select("id", "repo", "name", "kind", "path"), "id", "left")
-
+    else:
+        hits = impact(edges, found.drop("repo"), depth, direction, links=links).join(
+            nodes.select("id", "name", "kind", "path"), "id", "left")
+    return hits.join(found.select("symbol", "repo"), "symbol")

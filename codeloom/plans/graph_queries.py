@@ -407,3 +407,16 @@ def q_federate_callers(spark, sf):
     g = S.conversation_graph(spark, sf)
     nodes = g.nodes.withColumn("repo", F.col("conv_id"))
     return FED.federate_callers(nodes, g.edges, "user0").select("repo", "id", "relation")
+
+
+@query("federate_callers_deep", f"""WITH {Q.CONV}, f AS (SELECT conv_id, id FROM turns WHERE lower(name) = 'assistant1'),
+one AS (SELECT f.conv_id, f.id AS symbol, e.source AS id, min(e.relation) AS relation FROM f JOIN replies e ON e.target = f.id WHERE e.source <> f.id GROUP BY ALL),
+two AS (SELECT o.conv_id, o.symbol, e.source AS id, min(e.relation) AS relation FROM one o JOIN replies e ON e.target = o.id
+        WHERE e.source <> o.symbol AND NOT EXISTS (SELECT 1 FROM one x WHERE x.symbol = o.symbol AND x.id = e.source) GROUP BY ALL)
+SELECT conv_id AS repo, symbol, id, relation, 1 AS depth FROM one UNION ALL SELECT conv_id, symbol, id, relation, 2 FROM two""")
+def q_federate_callers_deep(spark, sf):
+    """Two steps from every match, each match walked on its own."""
+    g = S.conversation_graph(spark, sf)
+    nodes = g.nodes.withColumn("repo", F.col("conv_id"))
+    hits = FED.federate_callers(nodes, g.edges, "assistant1", depth=2, links=S.stored_links(spark, sf, "conversations", "into"))
+    return hits.select("repo", "symbol", "id", "relation", "depth")
