@@ -46,10 +46,14 @@ FIRST = 2000
 SAMPLE = 4
 LEAST_BITS, BITMAP_BITS = 1 << 20, 1 << 28
 # Phrases that a task counts before it hands counts on.
-HELD = 4 << 20
+HELD = 1 << 20
+# Rows that are handed to Spark, or taken from a batch, at once.
+ROWS_OUT, ROWS_IN = 1 << 16, 512
 # One document in so many is asked for the names of phrases before all are asked for the rest.
 NAMED_FIRST = 16
-SEEN = 4 << 20
+SEEN = 1 << 20
+# Bytes of text whose phrases are hashed at once; a longer text is a group of its own.
+GROUP = 1 << 19
 
 _BREAKS = np.zeros(256, dtype=bool)
 _BREAKS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -83,11 +87,13 @@ class _Phrases:
         return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.start[i: i + k].tolist(), self.end[i: i + k].tolist())).decode()
 
 
-def _phrases(batch: pa.RecordBatch) -> Iterator[tuple[int, _Phrases]]:
-    raw, offs = C.binary_column(batch, "text")
-    lang = np.asarray(batch.column("lang_hash")).view(C.U)
-    for i, j, data, o in C.groups(raw, offs):
-        yield i, _Phrases(data, o, lang[i:j])
+def _phrases(whole: pa.RecordBatch) -> Iterator[tuple[int, _Phrases]]:
+    for lo in range(0, whole.num_rows, ROWS_IN):
+        batch = whole.slice(lo, ROWS_IN)
+        raw, offs = C.binary_column(batch, "text")
+        lang = np.asarray(batch.column("lang_hash")).view(C.U)
+        for i, j, data, o in C.groups(raw, offs, GROUP):
+            yield lo + i, _Phrases(data, o, lang[i:j])
 
 
 def _count(levels: tuple[int, ...], now, before):
@@ -97,9 +103,11 @@ def _count(levels: tuple[int, ...], now, before):
         held: list[np.ndarray] = []
         size = 0
 
-        def summed() -> pa.RecordBatch:
+        def summed() -> Iterator[pa.RecordBatch]:
             h, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, C.U), np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+            for lo in range(0, len(h), ROWS_OUT):
+                part = slice(lo, lo + ROWS_OUT)
+                yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(c[part].astype(np.int64))], names=["h", "c"])
 
         for batch in batches:
             for _, p in _phrases(batch):
@@ -113,9 +121,9 @@ def _count(levels: tuple[int, ...], now, before):
                     held.append(p.hash[k - 1][take])
                     size += len(held[-1])
                 if size >= HELD:
-                    yield summed()
+                    yield from summed()
                     held, size = [], 0
-        yield summed()
+        yield from summed()
 
     return run
 
@@ -214,7 +222,7 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many words each text has."""
     for batch in batches:
         raw, offs = C.binary_column(batch, "text")
-        parts = [np.diff(C.words_of(data, o, _INSIDE).first) for _, _, data, o in C.groups(raw, offs)]
+        parts = [np.diff(C.words_of(data, o, _INSIDE).first) for _, _, data, o in C.groups(raw, offs, GROUP)]
         n = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(n.astype(np.int64))], names=["lang", "n"])
 
