@@ -14,8 +14,12 @@ one block that does not fit, rows are taken in the order of their hash while
 they fit.  So no task ever holds a source.
 
 All of it is DataFrame functions; a round of the bisection sums one row per
-source.  Null sources are a source of their own, null and empty texts have no
-tokens and come once a pass.  Equal rows are told apart by a number.
+source.  A null source is a source of its own, apart from the empty one.  Null
+and empty texts have no tokens and come once a pass.  Equal rows are counted
+and their copies numbered, so each copy is scheduled on its own; the numbers
+are dealt in runs of ``RUN`` copies to many tasks.  Very long texts count whole
+and are never cut: one that does not fit in what is left is passed over.  Rows
+of one hash are ordered by id, key and number.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import ordered_prefix
 from ..session import store_table
 from . import common as C
 
@@ -30,15 +35,36 @@ WORDS = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 4.0
 ENTROPY = 0.95  # of the largest possible one
 BLOCK_TOKENS = 200_000
+RUN = 1024
 POINTS, ROUNDS = 32, 6
 SEED = 17
 
 
-def count_tokens(documents: DataFrame) -> DataFrame:
-    """One narrow row per document: key, doc_id, source, tokens."""
-    df = C.spread(C.only(documents, "doc_id", "source", "text"))
-    return df.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), *C.row_key(),
-                     F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS)).cast("long").alias("tokens"))
+def _row_hashes(df: DataFrame) -> list[Column]:
+    """``k1`` and ``k2`` over all columns; nulls and empty values differ."""
+    at = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in df.dtypes]
+    null = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in df.columns])
+    return [F.xxhash64(null, *at).alias("k1"), F.hash(null, *at).alias("k2")]
+
+
+def count_tokens(documents: DataFrame, whole: bool = False) -> DataFrame:
+    """One narrow row per document: k1, k2, copy, doc_id, source, tokens.
+
+    Rows that agree in id, source and text, or with ``whole`` in every column,
+    share k1 and k2 and are told apart by ``copy``, from 0.
+    """
+    doc_id, source, text = (f"_c{documents.columns.index(c)}" for c in ("doc_id", "source", "text"))
+    df = C.numbered(documents)
+    df = C.spread(df if whole else df.select(doc_id, source, text))
+    rows = df.select(
+        *_row_hashes(df), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
+        F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORDS)).cast("long").alias("tokens"))
+    # equal rows combine before the shuffle; runs of their copies are then dealt out
+    met = rows.groupBy("k1", "k2", "doc_id", "source", "tokens").agg(F.count("*").alias("copies"))
+    runs = met.withColumn("run", F.explode(F.expr(f"sequence(0L, (copies - 1) div {RUN})")))
+    many = runs.where(f"copies > {RUN}").repartition("k1", "run")
+    copy = F.explode(F.expr(f"sequence(run * {RUN}, least(copies, (run + 1) * {RUN}) - 1)")).alias("copy")
+    return runs.where(f"copies <= {RUN}").unionByName(many).select("k1", "k2", copy, "doc_id", "source", "tokens")
 
 
 def find_exponent(shares: DataFrame, budget: float, max_repeats: float = MAX_REPEATS, entropy: float | None = ENTROPY) -> float:
@@ -99,45 +125,53 @@ def plan_weights(rows: DataFrame, budget: float | None, max_repeats: float, entr
 
 
 def _hash(seed: int) -> Column:
-    return F.xxhash64("k1", "k2", "doc_id", F.lit(seed))
+    return F.xxhash64("k1", "k2", "copy", "doc_id", F.lit(seed))
 
 
 def schedule(documents: DataFrame, budget: float | None = None, max_repeats: float = MAX_REPEATS,
-             entropy: float | None = ENTROPY) -> DataFrame:
-    """One row per document and pass that it is taken in: doc_id, source, tokens, epoch, block, place, weight, k1, k2.
+             entropy: float | None = ENTROPY, whole: bool = False) -> DataFrame:
+    """One row per document and pass that it is taken in: doc_id, source, tokens, epoch, block, place, weight, k1, k2, copy.
 
     ``epoch`` counts passes from 0, ``block`` and ``place`` order the rows of a pass.
     """
-    rows, _ = store_table(count_tokens(documents))
+    rows, _ = store_table(count_tokens(documents, whole))
     sources, _ = store_table(plan_weights(rows, budget, max_repeats, entropy)[0])
-    df = rows.join(sources, "source").withColumn("block", F.pmod(_hash(SEED), F.greatest(F.col("blocks"), F.lit(1))))
-    whole = df.where("passes > 0").select(
-        "doc_id", "source", "tokens", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("epoch"), "block", "weight", "k1", "k2")
-    # blocks of the last, partial pass in the order of their hash; one row per block
-    blocks = df.where("rest > 0").groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"), F.first("rest").alias("rest"))
-    line = Window.partitionBy("source").orderBy(F.xxhash64("source", "block", F.lit(SEED + 1)), "block")
-    blocks = blocks.withColumn("upto", F.sum("block_tokens").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = blocks.withColumn("room", F.col("rest") - (F.col("upto") - F.col("block_tokens"))).where("room > 0").select("source", "block", "block_tokens", "room")
-    part = df.where("rest > 0").join(blocks, ["source", "block"])
-    full = part.where("block_tokens <= room")
-    inside = Window.partitionBy("source", "block").orderBy(_hash(SEED + 2), "doc_id", "k1").rowsBetween(Window.unboundedPreceding, 0)
-    cut = part.where("block_tokens > room").withColumn("upto", F.sum("tokens").over(inside)).where("upto <= room").drop("upto")
-    rest = full.unionByName(cut).select("doc_id", "source", "tokens", F.col("passes").alias("epoch"), "block", "weight", "k1", "k2")
-    return whole.unionByName(rest).withColumn("place", F.xxhash64("k1", "k2", "doc_id", "epoch", F.lit(SEED + 3)))
+    df = rows.alias("r").join(sources.alias("s"), F.expr("r.source <=> s.source")).drop(F.col("s.source"))
+    df = df.withColumn("block", F.pmod(_hash(SEED), F.greatest(F.col("blocks"), F.lit(1))))
+    out = ["doc_id", "source", "tokens", "epoch", "block", "weight", "k1", "k2", "copy"]
+    passes = df.where("passes > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("passes") - 1))).select(*out)
+    # blocks of the last, partial pass in the order of their hash; one row per block, no task holds a source's
+    rest = df.where("rest > 0")
+    blocks = rest.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"), F.first("rest").alias("rest"))
+    order = [F.col("source"), F.xxhash64("source", "block", F.lit(SEED + 1)), F.col("block")]
+    blocks = ordered_prefix(blocks, order, "block_tokens").drop("pos")
+    before = blocks.groupBy(F.col("source").alias("of")).agg(F.min(F.col("run") - F.col("block_tokens")).alias("before"))
+    blocks = blocks.join(before, F.expr("source <=> of")).withColumn(
+        "room", F.col("rest") - (F.col("run") - F.col("before") - F.col("block_tokens"))).where("room > 0")
+    blocks = blocks.select(F.col("source").alias("of"), F.col("block").alias("b"), "block_tokens", "room")
+    part = rest.join(blocks, F.expr("source <=> of AND block = b")).withColumn("epoch", F.col("passes"))
+    full = part.where("block_tokens <= room").select(*out)
+    inside = Window.partitionBy("source", "block").orderBy(_hash(SEED + 2), "doc_id", "k1", "k2", "copy").rowsBetween(
+        Window.unboundedPreceding, 0)
+    cut = part.where("block_tokens > room").withColumn("upto", F.sum("tokens").over(inside)).where("upto <= room").select(*out)
+    return passes.unionByName(full).unionByName(cut).withColumn(
+        "place", F.xxhash64("k1", "k2", "copy", "doc_id", "epoch", F.lit(SEED + 3)))
 
 
 def report(documents: DataFrame) -> DataFrame:
-    return schedule(documents).drop("k1", "k2")
+    return schedule(documents).drop("k1", "k2", "copy")
 
 
 def mixed_documents(documents: DataFrame, **how) -> DataFrame:
     """The scheduled rows with all columns of their documents, plus mix_epoch, mix_block and mix_place.
 
-    Columns of these names in the input give way.
+    Columns of these names in the input give way.  Rows that are equal in every
+    column stand for each other: one of them meets the places of all.
     """
-    plan = schedule(documents, **how).select(
-        "k1", "k2", F.col("epoch").alias("mix_epoch"), F.col("block").alias("mix_block"), F.col("place").alias("mix_place")).distinct()
-    mix = [c for c in plan.columns if c.startswith("mix_")]
-    rows = C.keyed(documents).join(plan, ["k1", "k2"])
-    keep = [i for i, c in enumerate(documents.columns) if c not in mix]
-    return rows.select(*[f"_c{i}" for i in keep], *mix).toDF(*[documents.columns[i] for i in keep], *mix)
+    mix = {"epoch": "mix_epoch", "block": "mix_block", "place": "mix_place"}
+    plan = schedule(documents, whole=True, **how).select("k1", "k2", *[F.col(c).alias(m) for c, m in mix.items()])
+    keep = [i for i, c in enumerate(documents.columns) if c not in mix.values()]
+    rows = C.numbered(documents)
+    once = rows.select("*", *_row_hashes(rows)).dropDuplicates(["k1", "k2"])
+    found = once.join(plan, ["k1", "k2"])
+    return found.select(*[f"_c{i}" for i in keep], *mix.values()).toDF(*[documents.columns[i] for i in keep], *mix.values())

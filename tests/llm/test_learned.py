@@ -153,6 +153,40 @@ def test_mixing_meets_its_targets(spark, odd_docs):
     assert mixing.schedule(odd.empty(spark)).count() == 0
 
 
+def test_mixing_counts_equal_rows_and_null_sources(spark):
+    """Fifty copies each of twenty rows, and a null source beside an empty one."""
+    rows = [(i % 20, f"w{i % 20} " * 10, "en", "big", 1) for i in range(1000)]
+    rows += [(2000 + i, "v " * 10, "en", None if i % 2 else "", 1) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    plan = mixing.schedule(docs, max_repeats=4.0, entropy=0.9)
+    taken = {(r.doc_id, r.source): r["count"] for r in plan.groupBy("doc_id", "source").count().collect()}
+    per_source = {r.source: r for r in plan.groupBy("source").agg(F.sum("tokens").alias("t"), F.first("weight").alias("w")).collect()}
+    assert set(per_source) == {"big", None, ""}
+    for s, r in per_source.items():
+        quota = min(r.w * 10_200, 4 * sum(10 for x in rows if x[3] == s))
+        assert quota - 10 <= r.t <= quota + 1e-6
+    # every copy of a pass is taken once
+    again = plan.groupBy("k1", "k2", "copy", "epoch").count().where("count > 1")
+    assert again.count() == 0
+    mixed = mixing.mixed_documents(docs, max_repeats=4.0, entropy=0.9)
+    of_source = {r.source: r["count"] for r in mixed.groupBy("source").count().collect()}
+    for s, r in per_source.items():
+        assert abs(of_source[s] - r.t // 10) <= 1  # rows of ten tokens; hashes of whole rows cut elsewhere
+    assert sum(taken.values()) == plan.count()
+    # rows that differ only in another column are rows of their own
+    two = spark.createDataFrame([(1, "a b", "en", "s", 1), (1, "a b", "de", "s", 1), (1, "a b", "de", "s", 1)], docs.schema)
+    assert sorted(r.lang for r in mixing.mixed_documents(two).collect()) == ["de", "de", "en"]
+
+
+def test_mixing_deals_many_copies(spark, monkeypatch):
+    """Copies beyond a run are dealt in several; nothing is lost or taken twice."""
+    monkeypatch.setattr(mixing, "RUN", 7)
+    rows = [(1, "a b c", "en", "s", 1)] * 100 + [(2, "x y", "en", "t", 1)] * 7 + [(3, "z", "en", "t", 1)] * 8
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {(r.doc_id, r.copy) for r in mixing.count_tokens(docs).collect()}
+    assert got == {(1, i) for i in range(100)} | {(2, i) for i in range(7)} | {(3, i) for i in range(8)}
+
+
 def test_pipeline_against_its_parts(spark, tmp_path):
     """Every stage takes what the one before kept, and decides as a plain version does."""
     sf = "/root/testdata/sf0.001"
