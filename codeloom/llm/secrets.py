@@ -9,7 +9,10 @@ a span of kind ``random``, unless it touches a base span.
 All of it is DataFrame functions inside the row, but for the two counts, which
 read bounded samples: the values and the words of ``SAMPLE`` documents each,
 those with the smallest hashes.  Null texts are empty.  Without secrets to
-learn from, random strings are uniform.
+learn from, random strings are uniform; an empty table gives no rows.  Repeated
+rows are scanned each.  Spans that begin together come in the order of their
+kinds.  Work on one very long text grows almost as its length: running sums go
+by pieces of the square root of the number of matches.
 """
 
 from __future__ import annotations
@@ -32,20 +35,40 @@ SAMPLE = 2000
 MIN_RATIO, MIN_STEP = 12.0, 0.5
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, start: Column, op) -> Column:
+    """``start`` and what ``op`` makes of it value by value; appending copies, so for short arrays only."""
+    return F.aggregate(values, F.array(start), lambda a, x: F.concat(a, F.array(op(F.element_at(a, -1), x))))
+
+
+def _scan(values: Column, op, zero: int) -> Column:
+    """For every place of an integer array, ``op`` over the values up to it."""
+    def pieces(v):
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.size(v) - 1, width), lambda i: F.slice(v, i + 1, width))
+
+    def join(p):
+        starts = _running(F.transform(p, lambda c: F.aggregate(c, F.lit(zero), lambda a, x: op(a, x))), F.lit(zero), op)
+        return F.flatten(F.zip_with(p, F.slice(starts, 1, F.size(p)), lambda c, o: F.slice(_running(c, o, op), 2, F.size(c))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, _let(pieces(v), join)).otherwise(v))
+
+
 def _spans(pattern: str, value_group: int = 0) -> Column:
     """Start, end and value of the matches of ``pattern`` in ``t``, in code points."""
     # pieces between matches and matches alternate, so their lengths give the places
     zipped = F.arrays_zip(
         F.split("t", pattern, -1).alias("gap"), F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("hit"),
         F.regexp_extract_all("t", F.lit(pattern), F.lit(value_group)).alias("value"))
-    start = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<s:int,e:int,v:string>>)").alias("out"))
-
-    def step(a, z):
-        s = a["pos"] + F.length(z["gap"])
-        e = s + F.length(z["hit"])
-        return F.struct(e.alias("pos"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), z["value"].alias("v")))).alias("out"))
-
-    found = F.aggregate(F.filter(zipped, lambda z: z["hit"].isNotNull()), start, step, lambda a: a["out"])
+    short = F.transform(F.filter(zipped, lambda z: z["hit"].isNotNull()), lambda z: F.struct(
+        F.length(z["gap"]).alias("gap"), F.length(z["hit"]).alias("hit"), z["value"].alias("v")))
+    found = _let(short, lambda h: F.zip_with(
+        h, _scan(F.transform(h, lambda z: z["gap"] + z["hit"]), lambda a, x: a + x, 0),
+        lambda z, e: F.struct((e - z["hit"]).alias("s"), e.alias("e"), z["v"].alias("v"))))
     none = F.expr("cast(array() as array<struct<s:int,e:int,v:string>>)")
     return F.when(F.col("t").rlike(pattern), found).otherwise(none)
 
@@ -59,8 +82,8 @@ def _with_base(documents: DataFrame) -> DataFrame:
 
 def _steps(tokens: DataFrame) -> DataFrame:
     """How often one letter of the alphabet follows another: at most 67 * 67 rows."""
-    pairs = tokens.select(F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("v") - 1), lambda i: F.struct(F.substr("v", i, F.lit(1)).alias("a"), F.substr("v", i + 1, F.lit(1)).alias("b")))).alias("p"))
+    pairs = tokens.select(F.explode(_let(F.split("v", ""), lambda c: F.transform(
+        F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.struct(F.get(c, i - 1).alias("a"), F.get(c, i).alias("b"))))).alias("p"))
     return pairs.groupBy("p.a", "p.b").count()
 
 
@@ -87,10 +110,27 @@ def learn(documents: DataFrame, sample: int = SAMPLE) -> list[float]:
 
 
 def _ratio(token: Column, table: Column) -> Column:
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substr(token, i, F.lit(1))) - 1
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0),
-        lambda a, i: a + F.get(table, place(i) * len(ALPHABET) + place(i + 1)))
+    places = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    return _let(places, lambda p: F.aggregate(
+        F.sequence(F.lit(1), F.size(p) - 1), F.lit(0.0), lambda a, i: a + F.get(table, F.get(p, i - 1) * len(ALPHABET) + F.get(p, i))))
+
+
+def _untouched(tokens: Column, base: Column) -> Column:
+    """The tokens that share no place with a base span: one sorted line of both, scanned from either end."""
+    far = (1 << 31) - 1
+    span = lambda x, k, v: F.struct(x["s"].alias("s"), k.alias("k"), x["e"].alias("e"), v.alias("v"))
+    line = F.array_sort(F.concat(
+        F.transform(base, lambda x: span(x, F.lit(0), F.lit(""))), F.transform(tokens, lambda x: span(x, F.lit(1), x["v"]))))
+
+    def free(events):
+        ends = F.transform(events, lambda x: F.when(x["k"] == 0, x["e"]).otherwise(F.lit(0)))
+        starts = F.transform(events, lambda x: F.when(x["k"] == 0, x["s"]).otherwise(F.lit(far)))
+        before, after = _scan(ends, F.greatest, 0), F.reverse(_scan(F.reverse(starts), F.least, far))
+        found = F.filter(F.arrays_zip(events.alias("x"), before.alias("b"), after.alias("a")),
+                         lambda z: (z["x"]["k"] == 1) & (z["b"] <= z["x"]["s"]) & (z["a"] >= z["x"]["e"]))
+        return F.transform(found, lambda z: F.struct(z["x"]["s"].alias("s"), z["x"]["e"].alias("e"), z["x"]["v"].alias("v")))
+
+    return F.when((F.size(tokens) == 0) | (F.size(base) == 0), tokens).otherwise(_let(line, free))
 
 
 def scan(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -105,8 +145,8 @@ def scan(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
             F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")).alias("name")))
 
     df = df.withColumn("base", F.array_sort(F.concat(*[tagged(k) for k in KINDS[:3]])))
-    free = F.filter("tokens", lambda x: ~F.exists("base", lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"])))
-    df = df.withColumn("free", F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), _ratio(x["v"], table).alias("r"))))
+    df = df.withColumn("free", _untouched(F.col("tokens"), F.col("base")))
+    df = df.withColumn("free", F.transform("free", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), _ratio(x["v"], table).alias("r"))))
     df = df.withColumn("random", F.filter("free", lambda x: (x["r"] >= MIN_RATIO) & (x["r"] >= MIN_STEP * (x["e"] - x["s"] - 1))))
     names = lambda a: F.array_join(F.transform(a, lambda x: x["name"]), ",")
     size = lambda c: F.size(c).cast("long").alias(f"n_{c}")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import odd
@@ -130,6 +131,38 @@ def test_markov_tells_random_from_words(spark):
     assert len(got) < 12
 
 
+def test_secrets_against_a_plain_scan(spark):
+    """Every span of crowded and of long texts, random ones included, as a plain loop finds them."""
+    rng = random.Random(4)
+
+    def token(n=40):
+        return "".join(rng.choice("abcdefXYZ0189_-=+/") for _ in range(rng.randint(10, n)))
+
+    def crowd(n):
+        return "".join(rng.choice([token(), " ", "\n", f'password = "{token()}"', "AKIA" + token().upper(), "0123456789abcdef" * 2, "é日"]) for _ in range(n))
+
+    texts = [crowd(rng.randint(1, 200)) for _ in range(40)] + [crowd(9000), "aB3x" * 50_000, None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    ratios = [float(f"{x:.6f}") for x in secrets.learn(docs)]
+    size = len(secrets.ALPHABET)
+    found = 0
+    for r in secrets.scan(docs).collect():
+        t = texts[r.doc_id] or ""
+        base = odd.secret_spans(t)
+        held = [tuple(map(int, x.split(":")[1:])) for x in base]
+        taken = {p for s, e in held for p in range(s, e)}
+        spans = [(int(x.split(":")[1]), secrets.KINDS.index(x.split(":")[0]), x) for x in base]
+        for m in re.finditer(secrets.TOKEN, t):
+            at = [secrets.ALPHABET.index(c) for c in m.group()]
+            score = sum(ratios[x * size + y] for x, y in zip(at, at[1:]))
+            if score >= secrets.MIN_RATIO and score >= secrets.MIN_STEP * (len(at) - 1) and taken.isdisjoint(range(*m.span())):
+                spans.append((m.start(), 3, f"random:{m.start()}:{m.end()}"))
+                found += 1
+        assert r.spans == ",".join(x[2] for x in sorted(spans)), r.doc_id
+        assert r.n_random == sum(x[1] == 3 for x in spans)
+    assert found > 20
+
+
 def test_mixing_meets_its_targets(spark, odd_docs):
     rows = [(i, "w " * 50, "en", "big" if i < 900 else f"small{i % 4}", 1) for i in range(1000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
