@@ -60,7 +60,7 @@ def count_tokens(documents: DataFrame, whole: bool = False) -> DataFrame:
         *_row_hashes(df), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
         F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORDS)).cast("long").alias("tokens"))
     # equal rows combine before the shuffle; runs of their copies are then dealt out
-    met = rows.groupBy("k1", "k2", "doc_id", "source", "tokens").agg(F.count("*").alias("copies"))
+    met, _ = store_table(rows.groupBy("k1", "k2", "doc_id", "source", "tokens").agg(F.count("*").alias("copies")))
     runs = met.withColumn("run", F.explode(F.expr(f"sequence(0L, (copies - 1) div {RUN})")))
     many = runs.where(f"copies > {RUN}").repartition("k1", "run")
     copy = F.explode(F.expr(f"sequence(run * {RUN}, least(copies, (run + 1) * {RUN}) - 1)")).alias("copy")
