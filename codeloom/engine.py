@@ -242,13 +242,13 @@ class Engine:
         return answer
 
     def inline_source(self, hits: DataFrame, full: bool = False) -> DataFrame:
-        """Add the code behind each pointer: its crux, or up to eighty lines."""
+        """Add the code behind each pointer, in the order of the hits: its crux, or up to eighty lines."""
         parts = {
             "h_path": F.regexp_extract("pointer", r"^(.*):L\d+-L\d+$", 1),
             "h_from": F.expr(r"try_cast(regexp_extract(pointer, ':L(\\d+)-L\\d+$', 1) AS int)"),
             "h_to": F.expr(r"try_cast(regexp_extract(pointer, ':L\\d+-L(\\d+)$', 1) AS int)"),
         }
-        placed = hits.withColumns(parts)
+        placed = materialize(hits.withColumns({**parts, "_place": F.monotonically_increasing_id()}))  # one page, in its order
         text = self.contents(placed.select(F.col("h_path").alias("path"))).select(
             F.col("path").alias("h_path"), F.split("content", "\n").alias("lines"))
         crux = self.nodes().where(F.col("crux").isNotNull()).select(
@@ -261,7 +261,7 @@ class Engine:
             F.lit("\n… (+"), (size - MAX_SOURCE_LINES).cast("string"), F.lit(" more lines)"))).otherwise("")
         code = F.when(F.col("lines").isNotNull() & F.col("h_from").isNotNull(), F.concat(head, more))
         short = F.when(F.col("crux").isNotNull() & F.lit(not full), F.concat("crux", F.lit("\n… (crux; ask for the full definition)")))
-        return joined.withColumn("code", F.coalesce(short, code)).drop(*parts, "lines", "crux")
+        return joined.withColumn("code", F.coalesce(short, code)).orderBy("_place").drop(*parts, "lines", "crux", "_place")
 
     def callers(self, symbol: str, direction: str = "in", depth: int | None = 1, within: str | None = None) -> DataFrame:
         matches = materialize(W.resolve_symbol(self.nodes(), symbol, within))

@@ -289,6 +289,8 @@ def test_answers(engine):
     assert by_index.first()["pointer"].startswith(("web/store.ts", "web/app.ts"))
     found = engine.ask("who calls run")
     assert found.mode == "structural"
+    plain, sourced = (engine.ask("save store", limit=5, source=x).hits.collect() for x in (False, True))
+    assert len(plain) > 1 and [r.pointer for r in sourced] == [r.pointer for r in plain]
     code = engine.ask("save store", limit=3, source=True).hits.where("pointer = 'web/store.ts:L2-L2'").first()["code"]
     assert code.strip() == "save(v) { return v; }"
     with pytest.raises(ValueError):
