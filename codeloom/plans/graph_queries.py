@@ -331,9 +331,9 @@ cand AS (
   SELECT pr.id, pr.g, round(0.5 * pr.pr, 9) FROM pr WHERE pr.pr >= 0.15 AND pr.id NOT IN (SELECT id FROM lx_hits)),
 kept AS (SELECT c.* FROM cand c JOIN best b ON b.g = c.g AND (b.coverage_strong >= 0.1 OR b.coverage >= 0.5) {cut}),
 tops AS (SELECT g FROM kept GROUP BY g HAVING max(score) >= 0.25 * (SELECT max(score) FROM kept)),
-ranked AS (SELECT id, g, 1.0 / (60 + row_number() OVER (PARTITION BY g ORDER BY score DESC, id)) AS s
+ranked AS (SELECT id, g, score, 1.0 / (60 + row_number() OVER (PARTITION BY g ORDER BY score DESC, id)) AS s
            FROM kept WHERE g IN (SELECT g FROM tops)),
-fused AS (SELECT id, g AS scope, s / max(s) OVER () AS score FROM ranked)
+fused AS (SELECT id, g AS scope, CASE WHEN (SELECT count(DISTINCT g) FROM kept) > 1 THEN s / max(s) OVER () ELSE score END AS score FROM ranked)
 SELECT id, scope, round(score, 6) AS score FROM fused ORDER BY round(score, 6) DESC, scope, id LIMIT {limit}"""
 
 
@@ -373,10 +373,10 @@ def _fed_sql(limit: int) -> str:
     return f"""WITH {Q.DOCS}, {Q.lexical(DOC_QUERY, 'docs', by='source')},
 own AS (SELECT h.id, h.source AS g, round(h.lex / max(h.lex) OVER (PARTITION BY h.source), 9) AS score, h.coverage, h.coverage_strong,
                d.name || ' · ' || d.kind AS title FROM lx_hits h JOIN docs d ON d.id = h.id),
-page AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, title, id) AS rank FROM own QUALIFY rank <= {page}),
+page AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, id) AS rank FROM own QUALIFY rank <= {page}),
 pass AS (SELECT g FROM page WHERE rank = 1 AND (coverage_strong >= 0.1 OR coverage >= 0.5)),
-ranked AS (SELECT id, g, 1.0 / (60 + row_number() OVER (PARTITION BY g ORDER BY score DESC, id)) AS s FROM page WHERE g IN (SELECT g FROM pass)),
-fused AS (SELECT id, g AS scope, s / max(s) OVER () AS score FROM ranked)
+ranked AS (SELECT id, g, score, 1.0 / (60 + row_number() OVER (PARTITION BY g ORDER BY score DESC, id)) AS s FROM page WHERE g IN (SELECT g FROM pass)),
+fused AS (SELECT id, g AS scope, CASE WHEN (SELECT count(DISTINCT g) FROM ranked) > 1 THEN s / max(s) OVER () ELSE score END AS score FROM ranked)
 SELECT id, scope, round(score, 6) AS score FROM fused ORDER BY round(score, 6) DESC, scope, id LIMIT {limit}"""
 
 

@@ -199,7 +199,7 @@ def test_path_penalty(spark, sf):
 
 
 @query("slug_and_first_prose", """
-WITH t AS (SELECT doc_id, text, substring(split_part(text, chr(10), 1), 1, 40) AS name FROM documents),
+WITH t AS (SELECT doc_id, text, split_part(text, chr(10), 1) AS name FROM documents),
 flat AS (SELECT doc_id, text, regexp_replace(regexp_replace(lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))),
          '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM t)
 SELECT doc_id, CASE WHEN slug = '' THEN 'node' ELSE slug END AS slug,
@@ -210,7 +210,7 @@ SELECT doc_id, CASE WHEN slug = '' THEN 'node' ELSE slug END AS slug,
 def slug_and_first_prose(spark, sf):
     """The small text functions over whole texts."""
     d = S.table(spark, sf, "documents")
-    name = F.substring(F.substring_index("text", "\n", 1), 1, 40)
+    name = F.substring_index("text", "\n", 1)
     path = F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string"))
     return d.select(
         "doc_id", X.slugify(name).alias("slug"), X.first_prose(F.col("text")).alias("prose"),
@@ -247,8 +247,8 @@ def rrf_sql(k: int) -> str:
     return f"""
 kept AS (SELECT h.lang AS scope, h.id, round(h.lex / max(h.lex) OVER (PARTITION BY h.lang), 9) AS score
          FROM lx_hits h JOIN best b ON b.lang = h.lang AND (b.coverage_strong >= 0.1 OR b.coverage >= 0.5)),
-ranked AS (SELECT scope, id, 1.0 / (60 + row_number() OVER (PARTITION BY scope ORDER BY score DESC, id)) AS s FROM kept),
-fused AS (SELECT id, scope, s / max(s) OVER () AS score FROM ranked)
+ranked AS (SELECT scope, id, score, 1.0 / (60 + row_number() OVER (PARTITION BY scope ORDER BY score DESC, id)) AS s FROM kept),
+fused AS (SELECT id, scope, CASE WHEN (SELECT count(DISTINCT scope) FROM kept) > 1 THEN s / max(s) OVER () ELSE score END AS score FROM ranked)
 SELECT id, scope, round(score, 6) AS score FROM fused ORDER BY round(score, 6) DESC, scope, id LIMIT {k}"""
 
 
