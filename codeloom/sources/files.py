@@ -212,3 +212,18 @@ def child_repositories(listing: DataFrame) -> list[str]:
         return []
     children = sorted(g.split("/")[0] for g in gits)
     return children if len(children) >= 2 else []
+
+
+def repositories_below(root: str) -> list[str]:
+    """Folders directly below ``root`` that are repositories; empty when the root is one itself."""
+    system, base = open_root(root)
+
+    def has_git(at: str) -> bool:
+        return system.get_file_info(posixpath.join(at, ".git")).type != pafs.FileType.NotFound
+
+    if has_git(base):
+        return []
+    folders = [e.path for e in system.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+               if e.type == pafs.FileType.Directory]
+    names = sorted(posixpath.basename(f) for f in folders if has_git(f))
+    return [n for n in names if not n.startswith(".") and n not in SKIP_DIRS]
