@@ -8,6 +8,7 @@ import sys
 from . import __version__, report
 from .engine import Engine
 from .session import local_session
+from .workspace import Workspace
 
 
 def parser() -> argparse.ArgumentParser:
@@ -44,9 +45,45 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def ask_workspace(space: Workspace, a: argparse.Namespace) -> int:
+    """The same commands over a folder of repositories."""
+    if a.command == "build":
+        repos = space.split(lambda found, mixed: print(report.split_text(found, mixed)))
+        if a.cards:
+            print(f"{sum(space.engine(r).write_cards() for r in repos)} cards")
+        return 0
+    if a.command == "check":
+        text, ok = report.space_check_text(space)
+        print(text, end="")
+        return 0 if ok else 1
+    if a.command == "skeleton":
+        repo, _, file = a.file.partition("/")
+        if repo not in space.built():
+            print(f"{a.file}: begin with one of {', '.join(space.built())}")
+            return 1
+        print(report.skeleton_text(space.engine(repo), file), end="")
+        return 0
+    text = report.refresh_text(space.refresh())
+    if a.command == "ask":
+        text += report.space_ask_text(space, a.query, a.limit, a.within, not a.no_graph_rank)
+    elif a.command == "callers":
+        text += report.space_callers_text(space, a.symbol, a.direction, None if a.depth == "all" else int(a.depth), a.within)
+    elif a.command == "grep":
+        text += report.space_grep_text(space, a.pattern, within=a.within, fixed=a.fixed, ignore_case=a.ignore_case)
+    else:
+        text += report.space_map_text(space, a.max_dirs)
+    note = space.note()
+    print(text + (note + "\n" if note else ""), end="")
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
-    engine = Engine(local_session(), a.root, a.out)
+    spark = local_session()
+    space = Workspace(spark, a.root, a.out)
+    if space.is_workspace():
+        return ask_workspace(space, a)
+    engine = Engine(spark, a.root, a.out)
     if a.command == "build":
         print(engine.build())
         if a.cards:

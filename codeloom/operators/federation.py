@@ -114,7 +114,7 @@ def federate_check(stored: DataFrame, current: DataFrame, known: DataFrame) -> D
 
 
 def federate_callers(
-    nodes: DataFrame, edges: DataFrame, symbol: str, direction: str = "in", depth: int = 1, within: str | None = None,
+    nodes: DataFrame, edges: DataFrame, symbol: str, direction: str = "in", depth: int | None = 1, within: str | None = None,
     links: Links | None = None,
 ) -> DataFrame:
     """Walks from a symbol in every repository that has it.
@@ -129,7 +129,7 @@ def federate_callers(
     if within:
         found = found.where(F.contains(F.col("path"), F.lit(within)))
     found = materialize(found.select("id", "repo", F.col("id").alias("symbol")).distinct())
-    if depth <= 1:
+    if depth is not None and depth <= 1:
         hits = one_hop(nodes, edges, found, direction)
     else:
         hits = impact(edges, found.drop("repo"), depth, direction, links=links).join(

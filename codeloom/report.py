@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .engine import Answer, Engine
 from .operators import repomap as M
 from .operators import savings as SV
+from .workspace import Refresh, Workspace
 
 LABEL = "codeloom"
 SHOWN = 200
@@ -153,3 +154,70 @@ def status_line(engine: Engine) -> str:
     return f"{r['nodes']} nodes · {r['edges']} edges · {r['ready']} ready · {r['stale']} stale"
 
 
+# --------------------------------------------------------------------------
+# folders of repositories
+
+
+def split_text(repos: list[str], mixed: bool) -> str:
+    given_up = "; the graph over the whole folder is no longer used" if mixed else ""
+    return f"{len(repos)} repositories, each with its own graph: {', '.join(repos)}{given_up}"
+
+
+def refresh_text(done: Refresh) -> str:
+    lines = [f"rebuilt before answering: {', '.join(done.rebuilt)}"] if done.rebuilt else []
+    if done.failed:
+        lines.append(f"not rebuilt, answers are of the last graph: {', '.join(done.failed)}")
+    return "".join(line + "\n" for line in lines)
+
+
+def space_ask_text(space: Workspace, query: str, limit: int, only: str | None, graph_rank: bool) -> str:
+    fused = space.ask(query, limit, only, graph_rank)
+    rows = fused.ranked.orderBy(F.col("score").desc(), "scope", "id").limit(limit).collect()
+    lines = [f'{LABEL} ask: "{query}"', ""]
+    for i, r in enumerate(rows, 1):
+        lines += [f"{i}. [{r['scope']}/] {r['title']}", f"   {r['pointer']}"]
+    also = [r["scope"] for r in fused.also_matched.orderBy("scope").limit(SHOWN).collect()]
+    if also:
+        lines += ["", "also matched: " + ", ".join(also)]
+    return "\n".join(lines if rows else [*lines, "no matches."]) + "\n"
+
+
+def space_callers_text(space: Workspace, symbol: str, direction: str, depth: int | None, within: str | None) -> str:
+    hits = space.callers(symbol, direction, depth, within)
+    order = ["symbol", *(["depth"] if "depth" in hits.columns else []), "id"]
+    rows = hits.orderBy(*order).limit(SHOWN).collect()
+    arrow = "←" if direction == "in" else "→"
+    lines = [f"{r['symbol']} {arrow} {r['id']}  ({r['relation']})" for r in rows]
+    if len(rows) == SHOWN:
+        lines.append(f"… {hits.count() - SHOWN} more")
+    return "\n".join(lines or [f"{symbol}: nothing indexed"]) + "\n"
+
+
+def space_grep_text(space: Workspace, pattern: str, **flags) -> str:
+    groups, counts = space.grep(pattern, **flags)
+    found = counts.orderBy("repo").collect()  # one row per repository
+    lines = [f'{LABEL} grep: "{pattern}": ' + (", ".join(f"{r['total_hits']} in {r['repo']}" for r in found) or "no hits")]
+    for g in groups.orderBy(F.col("in_degree").desc(), "path", "first_line").limit(SHOWN).collect():
+        lines += ["", f"{g['key']}  ({g['in_degree']}←)"]
+        lines += [f"  {h['line']}: {h['text']}" for h in g["hits"][:SHOWN]]
+        if g["n_hits"] > SHOWN:
+            lines.append(f"  and {g['n_hits'] - SHOWN} further lines")
+    return "\n".join(lines) + "\n"
+
+
+def space_map_text(space: Workspace, max_dirs: int | None) -> str:
+    dirs, _ = space.repo_map(max_dirs)
+    rows = dirs.orderBy("scope", F.col("symbols").desc(), "path").limit(SHOWN).collect()
+    return "\n".join(f"{r['path']}  {r['files']} files · {r['symbols']} symbols" for r in rows) + "\n"
+
+
+def space_check_text(space: Workspace) -> tuple[str, bool]:
+    """A line per repository; one that is not built never fails, but something must be built."""
+    if not space.built():
+        return "no repository is built\n", False
+    rows = space.check().orderBy("repo").collect()  # one per repository
+    lines = []
+    for r in rows:
+        counts = ", ".join(f"{r[s]} {s}" for s in ("added", "removed", "changed", "stale") if r[s])
+        lines.append(f"{r['repo']}: " + ("not built" if not r["built"] else "OK" if r["ok"] else f"STALE ({counts})"))
+    return "\n".join(lines) + "\n", all(r["ok"] for r in rows)

@@ -73,6 +73,24 @@ def test_folder_of_repositories(spark, folder):
     assert done.rebuilt == ["alpha"] and done.failed == [] and ws.engine("beta").store.current() == still
 
 
+def test_commands(spark, folder, capsys):
+    from codeloom.cli import main
+
+    assert main(["check", str(folder)]) == 1
+    assert main(["build", str(folder)]) == 0
+    assert "2 repositories" in capsys.readouterr().out
+    assert main(["grep", str(folder), "license"]) == 0
+    assert "1 in alpha" in capsys.readouterr().out
+    assert main(["callers", str(folder), "helper", "--depth", "all"]) == 0
+    assert "beta/b.py#helper ← beta/b.py#Store.save" in capsys.readouterr().out
+    assert main(["ask", str(folder), "save store"]) == 0
+    assert "beta/" in capsys.readouterr().out
+    assert main(["skeleton", str(folder), "beta/b.py"]) == 0
+    assert "save" in capsys.readouterr().out
+    assert main(["map", str(folder)]) == 0 and "alpha" in capsys.readouterr().out
+    assert main(["check", str(folder)]) == 0
+
+
 def test_a_repository_is_no_workspace(spark, folder):
     os.makedirs(folder / ".git")
     assert not Workspace(spark, str(folder)).is_workspace()
