@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.ranking import ordered_prefix
-from ..session import materialize
+from ..session import broadcast_if_small, materialize
 
 # Characters per batch and per entry besides its texts.
 BATCH_CHARS = 48_000
@@ -166,21 +166,27 @@ def inherit_sources(concepts: DataFrame, own: DataFrame, links: DataFrame) -> Da
 
     Concepts are filled in order, so one filled earlier can feed a later one
     but not the reverse.  Each round passes on only what was new in the last.
+    What travels are pairs of concepts; files are attached to them once, at the
+    end.  Only files that several concepts name can then meet a concept twice.
     """
     has = own.select("slug").distinct()
     empty = materialize(concepts.join(has, "slug", "left_anti").select("slug", "ord"))
-    pull = links.select("slug", "to").distinct().join(empty, "slug")
-    first = pull.join(own.withColumnRenamed("slug", "to"), "to").select("slug", "path", "hash").distinct()
+    pull = materialize(links.select("slug", "to").distinct().join(empty, "slug"))
     later = materialize(
         pull.join(empty.select(F.col("slug").alias("to"), F.col("ord").alias("to_ord")), "to")
         .where(F.col("to_ord") < F.col("ord")).select("slug", "to"))
-    new = materialize(first)
+    new = materialize(pull.join(has.withColumnRenamed("slug", "to"), "to", "left_semi").select("slug", F.col("to").alias("giver")))
     gained = new
     while not new.isEmpty():
-        passed = later.join(new.withColumnRenamed("slug", "to"), "to").select("slug", "path", "hash").distinct()
-        new = materialize(passed.join(gained, ["slug", "path"], "left_anti"))
+        passed = later.join(new.withColumnRenamed("slug", "to"), "to").select("slug", "giver").distinct()
+        new = materialize(passed.join(gained, ["slug", "giver"], "left_anti"))
         gained = materialize(gained.unionAll(new))
-    return own.unionByName(gained)
+    given = own.select(F.col("slug").alias("giver"), "path", "hash").distinct()
+    several = materialize(given.groupBy("path").agg(F.count_distinct("giver").alias("n")).where("n > 1").select("path"))
+    pairs = broadcast_if_small(gained)
+    once = given.join(broadcast_if_small(several), "path", "left_anti").join(pairs, "giver").select("slug", "path", "hash")
+    more = given.join(several, "path", "left_semi").join(pairs, "giver").select("slug", "path", "hash").distinct()
+    return own.unionByName(once).unionByName(more)
 
 
 def build_concepts(drafts: DataFrame, files: DataFrame) -> DataFrame:

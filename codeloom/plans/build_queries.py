@@ -15,7 +15,7 @@ from ..operators import grep as G
 from ..operators import resolve as R
 from ..operators import savings as SV
 from ..operators import viz as V
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 from ..sources import tables as S
 from ..streaming import sessions as SS
 from . import sqltext as Q
@@ -427,7 +427,7 @@ def concept_sources(spark, sf):
     """Concepts without files of their own take those of what they link to."""
     d = drafts(spark, sf)
     files = present(spark, sf)
-    own = C.own_sources(d, files)
+    own = materialize(C.own_sources(d, files))
     return C.inherit_sources(C.merge(d), own, C.resolve_links(d)).select("slug", "path")
 
 

@@ -146,6 +146,21 @@ def test_concepts_merge_link_and_inherit(spark):
     assert [s.path for s in got["idea"].sources] == ["a.py"] and [s.path for s in got["later"].sources] == ["a.py"]
 
 
+def test_inherited_sources_are_attached_once(spark, monkeypatch):
+    """A hub of many files below many bare concepts: what is stored grows with the concepts, not with concepts times files."""
+    hub = [("hub", f"f{i}", f"h{i}") for i in range(200)] + [("twin", f"f{i}", f"h{i}") for i in range(190, 210)]
+    own = spark.createDataFrame(hub, "slug string, path string, hash string")
+    bare = [f"b{i:02d}" for i in range(30)]
+    concepts = spark.createDataFrame([(s, i) for i, s in enumerate(["hub", "twin", *bare])], "slug string, ord int")
+    links = spark.createDataFrame([(bare[0], "hub"), (bare[0], "twin")] + [(bare[i], bare[i - 1]) for i in range(1, 30)], "slug string, to string")
+    stored = []
+    keep = C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df: (lambda kept: stored.append(kept.count()) or kept)(keep(df)))
+    got = [(r.slug, r.path) for r in C.inherit_sources(concepts, own, links).collect()]
+    assert len(got) == len(set(got)) == 220 + 30 * 210
+    assert max(stored) <= 2 * 30
+
+
 def test_viz_counts_what_it_drops(spark):
     notes = spark.createDataFrame([
         ("a", "A", "concept", f"{V.GENERATED_START}\n## Summary\n\nHello\n\n## Related\n- x\n{V.GENERATED_END}\n", [("p", "h")], [("b", "supports", None), ("zz", "uses", None)], False),
