@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import lexical as L
-from ..session import materialize
+from ..session import broadcast_if_small
 
 KEYS = ["token", "id", "field", "fresh", "h"]
 # A generation is merged with the one before while that is less than so many times its size.
@@ -42,16 +42,22 @@ def entries(docs: DataFrame) -> DataFrame:
     ``fresh`` marks the first field of a document that holds the token, so that
     it counts once in the document frequency.
     """
-    tokens = _indexed(docs).select("id", *[X.tokenize(F.col(c)).alias(c[0]) for c in ("name", "path", "body")], fingerprint().alias("h"))
-    in_name, in_path = F.array_contains("n", F.col("token")), F.array_contains("p", F.col("token"))
-    fresh = {"name": F.lit(True), "path": ~in_name, "body": ~in_name & ~in_path}
-    rows = None
-    for f, is_fresh in fresh.items():
-        own = tokens.select("id", "n", "p", F.explode(f[0]).alias("token")).select("id", F.lit(f).alias("field"), "token", is_fresh.alias("fresh"))
-        rows = own if rows is None else rows.union(own)
-    counted = rows.groupBy("token", "id", "field", "fresh").agg(F.count("*").alias("tf"))
-    lengths = tokens.select(F.lit("").alias("token"), "id", F.lit("").alias("field"), F.lit(False).alias("fresh"), "h", F.size("b").cast("long").alias("tf"))
-    return counted.withColumn("h", F.lit(None).cast("long")).select(*KEYS, "tf").union(lengths.select(*KEYS, "tf")).withColumn("sign", F.lit(1).cast("long"))
+    tokens = _indexed(docs).where("id is not null").select("id", *[X.tokenize(F.col(c)).alias(c[0]) for c in ("name", "path", "body")], fingerprint().alias("h"))
+    in_name, in_path = (lambda t: F.array_contains("n", t)), (lambda t: F.array_contains("p", t))
+    fresh = {"name": lambda t: F.lit(True), "path": lambda t: ~in_name(t), "body": lambda t: ~in_name(t) & ~in_path(t)}
+
+    def rows_of(f: str) -> Column:
+        return F.transform(f[0], lambda t: row(t, f, fresh[f](t), none, F.lit(1)))
+
+    def row(token: Column, f: str, is_fresh: Column, h: Column, tf: Column) -> Column:
+        return F.struct(token.alias("token"), F.lit(f).alias("field"), is_fresh.alias("fresh"), h.alias("h"), tf.cast("long").alias("tf"))
+
+    # all rows of a document come from one pass over its text
+    none = F.lit(None).cast("long")
+    length = F.array(row(F.lit(""), "", F.lit(False), F.col("h"), F.size("b")))
+    rows = tokens.select("id", F.explode(F.concat(*map(rows_of, fresh), length)).alias("r")).select("id", "r.*")
+    sign = F.when(F.col("token") == "", F.count("*")).otherwise(F.lit(1))
+    return rows.groupBy(*KEYS).agg(F.sum("tf").alias("tf"), sign.cast("long").alias("sign"))
 
 
 @dataclass
@@ -92,10 +98,11 @@ class TokenStore:
 
     def _write(self, name: str, rows: DataFrame) -> int:
         to = f"{self.at}/{name}"
-        rows.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(f"{to}/postings")
+        # rows come grouped, so they are sorted where they are: every file holds all tokens in order, and its pages tell which
+        rows.sortWithinPartitions("token", "id").write.mode("overwrite").parquet(f"{to}/postings")
         stored = self._read("postings", [name])
         df = stored.where("fresh").groupBy("token").agg(F.sum("sign").alias("df")).where("df <> 0")
-        df.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{to}/frequencies")
+        df.sortWithinPartitions("token").write.mode("overwrite").parquet(f"{to}/frequencies")
         lengths = stored.where("token = ''").agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("length"))
         lengths.write.mode("overwrite").parquet(f"{to}/totals")
         return stored.count()
@@ -114,8 +121,11 @@ class TokenStore:
         ``ids`` names all documents that may differ, and ``docs`` need then hold
         only those of them that are still there; without it all are compared.
         """
-        ids = materialize(ids.select("id").distinct() if ids is not None else self.changed(docs))
-        rows = entries(docs.join(ids, "id", "left_semi"))
+        if not self.live and ids is None:
+            rows = entries(docs)  # all is new, so no text meets a list of ids
+        else:
+            ids = broadcast_if_small(ids.select("id").distinct() if ids is not None else self.changed(docs))
+            rows = entries(docs.join(ids, "id", "left_semi"))
         if self.live:
             gone = self.rows().join(ids, "id", "left_semi")
             rows = self._net(rows.union(gone.select(*KEYS, -F.col("tf"), -F.col("sign"))))

@@ -5,7 +5,7 @@ import os
 from graphs import nodes
 
 from codeloom.operators import lexical as L
-from codeloom.sources.token_index import TokenStore
+from codeloom.sources.token_index import TokenStore, entries
 
 
 def state(spark, words):
@@ -18,6 +18,20 @@ def contents(store):
             sorted(map(tuple, index.frequencies.collect())), index.n_docs, round(index.avgdl, 9))
 
 
+def test_texts_are_read_once(spark, tmp_path):
+    """All fields come from one scan, and rows are written where they were grouped, not computed again to be spread."""
+    at = str(tmp_path / "docs")
+    state(spark, {1: "alpha beta", 2: "beta"}).write.parquet(at)
+    plan = entries(spark.read.parquet(at))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+    store = TokenStore(spark, str(tmp_path / "i")).update("v1", spark.read.parquet(at))
+    for f in os.listdir(tmp_path / "i" / "v1" / "postings"):
+        if f.endswith(".parquet"):
+            tokens = [r[0] for r in spark.read.parquet(str(tmp_path / "i" / "v1" / "postings" / f)).select("token").collect()]
+            assert tokens == sorted(tokens)
+    assert store.index().n_docs == 2
+
+
 def test_changes_add_up(spark, tmp_path):
     first = {i: f"alpha beta{i % 7} gamma gamma word{i}" for i in range(60)}
     store = TokenStore(spark, str(tmp_path / "i")).update("v1", state(spark, first))
