@@ -121,6 +121,20 @@ def partitions_for(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, now)
 
 
+# Rows that a task takes in where the number of tasks follows the rows.
+TASK_ROWS = 200_000
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for ``rows``: their number grows with the rows, and not what a task holds."""
+    return max(spark.sparkContext.defaultParallelism, rows // TASK_ROWS + 1)
+
+
+def spread_by(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over ``parts`` partitions; without ``parts`` Spark decides."""
+    return df.repartition(parts, *keys) if parts else df
+
+
 # Rows up to which a table may be sent whole to every executor.
 BROADCAST_ROWS = 100_000
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import links as LN
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, parts_for, spread_by
 
 
 @dataclass
@@ -73,6 +73,11 @@ def catalog_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+def catalog_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions for the edges of the catalog; the files tell the rows of its largest table."""
+    return parts_for(spark, table(spark, sf_dir, "lineitem").count())
+
+
 def catalog_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containment of the geography plus who ordered what from whom."""
     t = lambda n: table(spark, sf_dir, n)
@@ -81,12 +86,14 @@ def catalog_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.select(_key(sp, sk).alias("source"), _key(tp, tk).alias("target"), F.lit(rel).alias("relation"))
 
     lines = t("lineitem")
+    # hardly a pair of order and part repeats, so these are dealt before they are compared
+    ordered = spread_by(lines.select("l_orderkey", "l_partkey"), catalog_parts(spark, sf_dir), "l_orderkey", "l_partkey").distinct()
     return (
         link(t("nation"), "region", "n_regionkey", "nation", "n_nationkey", "contains")
         .unionAll(link(t("customer"), "nation", "c_nationkey", "customer", "c_custkey", "contains"))
         .unionAll(link(t("supplier"), "nation", "s_nationkey", "supplier", "s_suppkey", "contains"))
         .unionAll(link(t("orders"), "order", "o_orderkey", "customer", "o_custkey", "calls"))
-        .unionAll(link(lines.select("l_orderkey", "l_partkey").distinct(), "order", "l_orderkey", "part", "l_partkey", "references"))
+        .unionAll(link(ordered, "order", "l_orderkey", "part", "l_partkey", "references"))
         .unionAll(link(lines.select("l_partkey", "l_suppkey").distinct(), "part", "l_partkey", "supplier", "l_suppkey", "imports"))
     )
 

@@ -1,10 +1,12 @@
 """Search, roll-ups, scopes, drift, enrichment, concepts and sessions."""
 
 import random
+import re
 
 from graphs import edges, nodes
 from pyspark.sql import functions as F
 
+from codeloom import session
 from codeloom.operators import concepts as C
 from codeloom.operators import drift as D
 from codeloom.operators import enrich as E
@@ -13,6 +15,7 @@ from codeloom.operators import repomap as M
 from codeloom.operators import savings as SV
 from codeloom.operators import scopes as SC
 from codeloom.operators import viz as V
+from codeloom.sources import tables as S
 from codeloom.sources.files import workspace_globs
 from codeloom.streaming import sessions as SS
 
@@ -161,6 +164,19 @@ def test_inherited_sources_are_attached_once(spark, monkeypatch):
     assert max(stored) <= 2 * 30
 
 
+def test_tasks_hold_no_more_of_larger_tables(spark, monkeypatch):
+    """Edges of the catalog are dealt over partitions that follow their rows, however many the session's setting names."""
+    sf = "/root/testdata/sf0.001"
+    rows = S.table(spark, sf, "lineitem").count()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for per_task in (300, 200):
+        monkeypatch.setattr(session, "TASK_ROWS", per_task)
+        parts = S.catalog_parts(spark, sf)
+        assert parts == rows // per_task + 1
+        g = S.catalog(spark, sf)
+        assert len(re.findall(rf"hashpartitioning\([^)]*, {parts}\)", plan(G.in_degree(g.edges)))) == 1
+
+
 def test_viz_counts_what_it_drops(spark):
     notes = spark.createDataFrame([
         ("a", "A", "concept", f"{V.GENERATED_START}\n## Summary\n\nHello\n\n## Related\n- x\n{V.GENERATED_END}\n", [("p", "h")], [("b", "supports", None), ("zz", "uses", None)], False),
