@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread_by
+
 # Vague verbs and what they are shown as.
 NORMALIZED = {"influences": "configures", "supports": "validates", "defines": "validates", "measures": "validates"}
 
@@ -40,13 +42,11 @@ def extract_summary(body: Column) -> Column:
     return F.when(F.length(flat) > SUMMARY_MAX, F.concat(cut, F.lit("…"))).otherwise(flat)
 
 
-def real_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with both endpoints present."""
-    ids = nodes.select("id").distinct()
-    return (
-        edges.join(ids.select(F.col("id").alias("source")), "source", "left_semi")
-        .join(ids.select(F.col("id").alias("target")), "target", "left_semi")
-    )
+def real_edges(nodes: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """Edges with both endpoints present; ``parts`` partitions bound what a task sorts."""
+    ids = spread_by(nodes.select("id"), parts, "id")  # repeated ids change nothing here
+    begun = spread_by(edges, parts, "source").join(ids.select(F.col("id").alias("source")), "source", "left_semi")
+    return spread_by(begun, parts, "target").join(ids.select(F.col("id").alias("target")), "target", "left_semi")
 
 
 def assemble(notes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

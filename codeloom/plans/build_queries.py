@@ -499,7 +499,7 @@ def relation_normalize(spark, sf):
 SELECT relation, count(*) AS n FROM edges WHERE source IN (SELECT id FROM kept) AND target IN (SELECT id FROM kept) GROUP BY relation""")
 def dangling(spark, sf):
     g = S.catalog(spark, sf)
-    kept = V.real_edges(g.nodes.where("kind <> 'method'"), g.edges)
+    kept = V.real_edges(g.nodes.where("kind <> 'method'"), g.edges, S.catalog_parts(spark, sf))
     return kept.groupBy("relation").agg(F.count("*").alias("n"))
 
 

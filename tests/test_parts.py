@@ -175,6 +175,7 @@ def test_tasks_hold_no_more_of_larger_tables(spark, monkeypatch):
         assert parts == rows // per_task + 1
         g = S.catalog(spark, sf)
         assert len(re.findall(rf"hashpartitioning\([^)]*, {parts}\)", plan(G.in_degree(g.edges)))) == 1
+        assert len(re.findall(rf"hashpartitioning\([^)]*, {parts}\)", plan(V.real_edges(g.nodes, g.edges, parts)))) >= 4
 
 
 def test_viz_counts_what_it_drops(spark):
