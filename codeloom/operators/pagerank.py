@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, materialize
+from . import blocks as BL
 from .adjacency import LINKS_PER_SALT, adjacency
 from .links import Links, walk_links
 
@@ -36,7 +37,7 @@ def personalized_pagerank(
     alpha: float = ALPHA,
     iterations: int = ITERATIONS,
     links_per_salt: int = LINKS_PER_SALT,
-    links: Links | None = None,
+    links: Links | BL.Blocks | None = None,
 ) -> DataFrame:
     """Centrality of nodes around weighted ``seeds`` (id, weight).
 
@@ -51,6 +52,8 @@ def personalized_pagerank(
         links = walk_links(nodes, edges, by, lambda shares: adjacency(shares, links_per_salt))
     elif links.by != by:
         raise ValueError(f"links are stored for groups {links.by}, not {by}")
+    if isinstance(links, BL.Blocks):
+        return _over_blocks(links, seeds, alpha, iterations)
     known, adj = links.numbers.where("is_node"), links.walk
 
     start = seeds.where(F.col("weight") > 0).groupBy("id").agg(F.sum("weight").alias("weight")).join(known, "id")
@@ -88,3 +91,32 @@ def personalized_pagerank(
         return placed.join(top, by).select("id", *by, (F.col("r") / F.col("top")).alias("pr"))
     top = rank.agg(F.max("r")).first()[0]
     return named.select("id", (F.col("r") / F.lit(top)).alias("pr"))
+
+
+def _over_blocks(blocks: BL.Blocks, seeds: DataFrame, alpha: float, iterations: int) -> DataFrame:
+    """The same walk with packed numbers; seeds without links are told apart before it."""
+    by = blocks.by
+    start = seeds.where(F.col("weight") > 0).groupBy("id").agg(F.sum("weight").alias("weight"))
+    start = start.withColumn("n", BL.number(F.col("id"), blocks.salt)).join(blocks.ids, ["n", "id"])
+    start = materialize(start.join(blocks.linked().withColumn("linked", F.lit(True)), "n", "left").select(
+        "n", *by, "weight", F.coalesce("linked", F.lit(False)).alias("linked")))
+    loose = F.coalesce(F.sum(F.when(~F.col("linked"), F.col("weight"))), F.lit(0.0))
+    sums = start.groupBy(*by).agg(F.sum("weight").alias("total"), ((1 - alpha) * loose / F.sum("weight")).alias("q"))
+    one = None
+    if by:
+        start = start.join(broadcast_if_small(sums), by)
+    else:
+        one = sums.first()  # two numbers
+        if not one["total"]:
+            return blocks.ids.where(F.lit(False)).select("id", F.lit(0.0).alias("pr"))
+        start = start.withColumns({"total": F.lit(one["total"]), "q": F.lit(one["q"])})
+    start = materialize(start.select("n", "linked", (F.col("weight") / F.col("total")).alias("w"), "q"))
+    rank = BL.ranks(blocks, start.where("linked").drop("linked"), alpha, iterations, one["q"] if one else None)
+    back = _teleport(F.col("q"), iterations - 1, alpha) if iterations else F.lit(1.0)
+    rank = materialize(rank.unionAll(start.where("NOT linked").select("n", (F.col("w") * back).alias("r"))))
+    if by:
+        placed = materialize(rank.join(blocks.ids, "n").select("id", *by, "r"))
+        top = broadcast_if_small(placed.groupBy(*by).agg(F.max("r").alias("top")))
+        return placed.join(top, by).select("id", *by, (F.col("r") / F.col("top")).alias("pr"))
+    top = rank.agg(F.max("r")).first()[0]
+    return rank.join(blocks.ids, "n").select("id", (F.col("r") / F.lit(top)).alias("pr"))

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import blocks as BL
 from ..operators import links as LN
 from ..session import checkpoint_dir, parts_for, spread_by
 
@@ -199,6 +200,7 @@ def conversation_graph(spark: SparkSession, sf_dir: str) -> Graph:
 # stored link tables
 
 _stored: dict[tuple, tuple[LN.Links, str]] = {}
+_blocks: dict[tuple, BL.Blocks | None] = {}
 
 
 def state_of(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> tuple:
@@ -211,14 +213,27 @@ def state_of(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> tuple:
     return one["n"], one["sum"]
 
 
+_GRAPHS = {
+    "catalog": (("region", "nation", "customer", "supplier", "part", "orders", "lineitem"), catalog, []),
+    "conversations": (("conversations",), conversation_graph, []),
+    "copies": (("documents",), lambda s, d: Graph(
+        document_nodes(s, d).select("id", F.col("lang").alias("scope")), copy_edges(s, d)), ["scope"]),
+}
+
+
+def stored_ranks(spark: SparkSession, sf_dir: str, graph: str) -> BL.Blocks | LN.Links:
+    """What PageRank reads of a graph, stored like ``stored_links``: links in blocks, or per source where a node has too many."""
+    names, make, by = _GRAPHS[graph]
+    key = (spark.sparkContext.applicationId, graph, state_of(spark, sf_dir, names))
+    if key not in _blocks:
+        g = make(spark, sf_dir)
+        _blocks[key] = BL.build(g.nodes, g.edges, f"{checkpoint_dir(spark)}/links/{uuid.uuid4().hex}", by)
+    return _blocks[key] or stored_links(spark, sf_dir, graph, "walk")
+
+
 def stored_links(spark: SparkSession, sf_dir: str, graph: str, way: str) -> LN.Links:
     """The link table ``way`` of a graph, written once for each state of its tables and only read after that."""
-    names, make, by = {
-        "catalog": (("region", "nation", "customer", "supplier", "part", "orders", "lineitem"), catalog, []),
-        "conversations": (("conversations",), conversation_graph, []),
-        "copies": (("documents",), lambda s, d: Graph(
-            document_nodes(s, d).select("id", F.col("lang").alias("scope")), copy_edges(s, d)), ["scope"]),
-    }[graph]
+    names, make, by = _GRAPHS[graph]
     key = (spark.sparkContext.applicationId, graph, state_of(spark, sf_dir, names))
     g = make(spark, sf_dir)
     if key not in _stored:
