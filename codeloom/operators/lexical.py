@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import broadcast_if_small, materialize
+from ..session import broadcast_if_small, materialize, store_table
 
 # Field weights and BM25 parameters.
 NAME_WEIGHT, PATH_WEIGHT = 3.0, 2.0
@@ -206,7 +206,7 @@ def score_corpus(
     else:
         info = docs.select("id", *keep).join(index.body_lengths, "id")
         matches = matches_from_index(index.postings, info, terms, keep)
-    return score_matches(materialize(matches), terms, query, by, concepts)
+    return score_matches(store_table(matches)[0], terms, query, by, concepts)  # a row per document, of which each reader needs little
 
 
 def score_matches(
