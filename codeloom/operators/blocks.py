@@ -35,7 +35,7 @@ class Blocks:
     ids: DataFrame      # id, n, group columns
     packed: DataFrame   # see ``PACKED``, in buckets of the key
     keys: list[int]     # the key of each block, which falls into the bucket of the same number
-    salt: int           # of the numbers
+    seed: int           # of the numbers
     by: list[str]       # no link leaves a group of these
 
     def linked(self) -> DataFrame:
@@ -54,8 +54,20 @@ def _array(cell, dtype) -> np.ndarray:
     return np.frombuffer(buffer, dtype) if buffer is not None and buffer.size else np.empty(0, dtype)
 
 
-def number(id_: Column, salt: int) -> Column:
-    return F.xxhash64(F.lit(salt), id_)
+def id_hash(id_: Column, seed: int) -> Column:
+    return F.when(id_.isNotNull(), F.xxhash64(F.lit(seed), id_))
+
+
+def hashed(nodes: DataFrame, at: str, by: list[str]) -> tuple[DataFrame, int]:
+    """(id, n, group columns) of distinct nodes, stored, and the seed of a hash ``n`` that tells all of them apart."""
+    spark, seed, rest = nodes.sparkSession, 0, [F.min(c).alias(c) for c in by]
+    while True:
+        ids = nodes.where("id IS NOT NULL").select(id_hash(F.col("id"), seed).alias("n"), "id", *by)
+        (ids.groupBy("n", "id").agg(*rest) if by else ids.distinct()).write.mode("overwrite").parquet(at)
+        ids = spark.read.parquet(at)
+        if ids.groupBy("n").count().where("count > 1").isEmpty():
+            return ids, seed
+        seed += 1
 
 
 def _block(n: Column, parts: int) -> Column:
@@ -73,20 +85,10 @@ def _key(n: Column, keys: list[int]) -> Column:
 
 
 def build(nodes: DataFrame, edges: DataFrame, at: str, by: list[str] | None = None) -> Blocks | None:
-    """Pack the walk edges between ``nodes`` below ``at``; None if so many meet in a node that its block would not be bounded.
-
-    Nodes are numbered by a hash that is made anew until it tells all of them apart.
-    """
-    by, spark, salt = by or [], nodes.sparkSession, 0
-    while True:
-        rest = [F.min(c).alias(c) for c in by]
-        named = nodes.select("id", *by).withColumn("n", number(F.col("id"), salt)).groupBy("n", "id")
-        (named.agg(*rest) if rest else named.agg(F.lit(None)).select("n", "id")).write.mode("overwrite").parquet(f"{at}/ids")
-        ids = spark.read.parquet(f"{at}/ids")
-        if ids.groupBy("n").count().where("count > 1").isEmpty():
-            break
-        salt += 1
-    inside = walk_edges(edges).select(number(F.col("source"), salt).alias("a"), number(F.col("target"), salt).alias("b"))
+    """Pack the walk edges between ``nodes`` below ``at``; None if so many meet in a node that its block would not be bounded."""
+    by, spark = by or [], nodes.sparkSession
+    ids, seed = hashed(nodes, f"{at}/ids", by)
+    inside = walk_edges(edges).select(id_hash(F.col("source"), seed).alias("a"), id_hash(F.col("target"), seed).alias("b"))
     for end in ("b", "a"):
         inside = inside.join(ids.select(F.col("n").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in by]), end, "inner" if by else "left_semi")
     for c in by:
@@ -106,7 +108,7 @@ def build(nodes: DataFrame, edges: DataFrame, at: str, by: list[str] | None = No
     keys = _keys(spark, parts)
     rows = both.select(_key(F.col("src"), keys).alias("key"), "src", "dst", _block(F.col("dst"), parts).alias("other"))
     packed = rows.repartition(parts, "key").groupBy("key").applyInArrow(_packer(keys), PACKED)
-    return Blocks(ids, write_bucketed(packed, f"{at}/blocks", ["key"], parts), keys, salt, by)
+    return Blocks(ids, write_bucketed(packed, f"{at}/blocks", ["key"], parts), keys, seed, by)
 
 
 def _packer(keys: list[int]):

@@ -97,7 +97,7 @@ def _over_blocks(blocks: BL.Blocks, seeds: DataFrame, alpha: float, iterations:
     """The same walk with packed numbers; seeds without links are told apart before it."""
     by = blocks.by
     start = seeds.where(F.col("weight") > 0).groupBy("id").agg(F.sum("weight").alias("weight"))
-    start = start.withColumn("n", BL.number(F.col("id"), blocks.salt)).join(blocks.ids, ["n", "id"])
+    start = start.withColumn("n", BL.id_hash(F.col("id"), blocks.seed)).join(blocks.ids, ["n", "id"])
     start = materialize(start.join(blocks.linked().withColumn("linked", F.lit(True)), "n", "left").select(
         "n", *by, "weight", F.coalesce("linked", F.lit(False)).alias("linked")))
     loose = F.coalesce(F.sum(F.when(~F.col("linked"), F.col("weight"))), F.lit(0.0))

@@ -51,3 +51,11 @@ def test_a_node_with_too_many_links_stays_out_of_blocks(graph, tmp_path, monkeyp
     n, e, _ = graph
     monkeypatch.setattr(BL, "LINKS_PER_BLOCK", 20)
     assert BL.build(n, e, str(tmp_path / "b")) is None
+
+
+def test_rows_without_an_id_are_no_node(spark, tmp_path):
+    n = spark.createDataFrame([("a",), ("b",), (None,)], "id string")
+    e = spark.createDataFrame([("a", "b", "calls"), ("a", None, "calls"), (None, "b", "calls")], "source string, target string, relation string")
+    blocks = BL.build(n, e, str(tmp_path / "b"))
+    assert sorted(r.id for r in blocks.ids.collect()) == ["a", "b"] and blocks.linked().count() == 2
+    assert blocks.packed.where(F.col("other") == BL.OWN).select(F.length("nodes")).first()[0] == 16
