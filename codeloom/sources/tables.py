@@ -38,6 +38,11 @@ def _key(prefix: str, col: str) -> Column:
     return F.concat(F.lit(prefix + ":"), F.col(col).cast("string"))
 
 
+def id_sort(id_: Column) -> Column:
+    """What ``_key`` puts before the colon."""
+    return F.substring_index(id_, ":", 1)
+
+
 # --------------------------------------------------------------------------
 # the star schema as a graph
 
