@@ -28,17 +28,18 @@ def _table_name(at: str) -> str:
     return f"links_{hashlib.sha256(at.encode()).hexdigest()[:24]}"
 
 
-def write_bucketed(df: DataFrame, at: str, keys: list[str], buckets: int | None = None) -> DataFrame:
+def write_bucketed(df: DataFrame, at: str, keys: list[str], buckets: int | None = None, mode: str = "overwrite") -> DataFrame:
     """Write ``df`` at a location in sorted buckets of ``keys``, one file a bucket, and read it back.
 
-    With ``buckets`` the rows of a bucket are in one partition already.
+    With ``buckets`` the rows of a bucket are in one partition already.  To
+    ``append`` is for buckets that have no rows yet.
     """
     if buckets:
         placed = df
     else:
         buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         placed = df.repartition(buckets, *keys).sortWithinPartitions(*keys)
-    placed.write.format("parquet").mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", at).saveAsTable(_table_name(at))
+    placed.write.format("parquet").mode(mode).option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys).option("path", at).saveAsTable(_table_name(at))
     return df.sparkSession.table(_table_name(at))
 
 

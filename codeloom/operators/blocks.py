@@ -9,6 +9,7 @@ the neighbour's own value.  Both ends know which, so numbers move without a key.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,14 +18,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import walk_edges
+from ..session import checkpoint_dir, drop_files, dropping_shuffles
 from .adjacency import write_bucketed
 
 # Links of one block, each counted at both of its ends.
 LINKS_PER_BLOCK = 6_000_000
 # Below that, links for which a further block is worth a task.
 LINKS_PER_TASK = 200_000
+# Rounds in which all blocks are packed, so that their links are not all in shuffle files at once.
+ROUNDS = 4
 
 POSITIONS = ["out_src", "out_rank", "send", "in_push", "in_dst", "in_rank"]
+# Numbers, one per end of a link and step at most, that steps may leave on disk before these are stored and the others dropped.
+NUMBERS_KEPT = 20_000_000
+
+ASCENDING = {"out_src", "send", "in_push", "in_dst"}  # stored as differences, which are small
 PACKED = "key long, block int, other int, nodes binary, degree binary, out_n int, " + ", ".join(f"{c} binary" for c in POSITIONS)
 SENT = "key long, other int, n long, w double, q double, values binary"
 SEED, KEPT, OWN = -1, -2, -1
@@ -37,6 +45,7 @@ class Blocks:
     keys: list[int]     # the key of each block, which falls into the bucket of the same number
     seed: int           # of the numbers
     by: list[str]       # no link leaves a group of these
+    ends: int           # links, each counted at both of its ends
 
     def linked(self) -> DataFrame:
         """(n) of all nodes with links."""
@@ -86,15 +95,23 @@ def _key(n: Column, keys: list[int]) -> Column:
 
 def build(nodes: DataFrame, edges: DataFrame, at: str, by: list[str] | None = None) -> Blocks | None:
     """Pack the walk edges between ``nodes`` below ``at``; None if so many meet in a node that its block would not be bounded."""
-    by, spark = by or [], nodes.sparkSession
+    with dropping_shuffles(nodes.sparkSession):
+        return _build(nodes, edges, at, by or [])
+
+
+def _build(nodes: DataFrame, edges: DataFrame, at: str, by: list[str]) -> Blocks | None:
+    spark = nodes.sparkSession
     ids, seed = hashed(nodes, f"{at}/ids", by)
     inside = walk_edges(edges).select(id_hash(F.col("source"), seed).alias("a"), id_hash(F.col("target"), seed).alias("b"))
     for end in ("b", "a"):
+        last, before = end == "a", f"{at}/known_b"
         inside = inside.join(ids.select(F.col("n").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in by]), end, "inner" if by else "left_semi")
-    for c in by:
-        inside = inside.where(F.col(f"a_{c}") == F.col(f"b_{c}"))
-    inside.select("a", "b").write.mode("overwrite").parquet(f"{at}/inside")
-    inside = spark.read.parquet(f"{at}/inside")
+        for c in by if last else []:
+            inside = inside.where(F.col(f"a_{c}") == F.col(f"b_{c}"))
+        to = f"{at}/inside" if last else before
+        (inside.select("a", "b") if last else inside).write.mode("overwrite").parquet(to)
+        inside = spark.read.parquet(to)
+    drop_files(spark, before)
 
     cores, ends = spark.sparkContext.defaultParallelism, 2 * inside.count()
     parts = min(cores, ends // LINKS_PER_TASK + 1)
@@ -104,11 +121,17 @@ def build(nodes: DataFrame, edges: DataFrame, at: str, by: list[str] | None = No
         F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))))
     most = both.groupBy(_block(F.col("src"), parts).alias("block")).count().agg(F.max("count")).first()[0] or 0
     if most > 2 * LINKS_PER_BLOCK:
+        drop_files(spark, f"{at}/inside")
         return None
     keys = _keys(spark, parts)
-    rows = both.select(_key(F.col("src"), keys).alias("key"), "src", "dst", _block(F.col("dst"), parts).alias("other"))
-    packed = rows.repartition(parts, "key").groupBy("key").applyInArrow(_packer(keys), PACKED)
-    return Blocks(ids, write_bucketed(packed, f"{at}/blocks", ["key"], parts), keys, seed, by)
+    rounds = max(1, min(ROUNDS, parts // cores))
+    for i in range(rounds):
+        now = both.where(_block(F.col("src"), parts) % rounds == i)
+        rows = now.select(_key(F.col("src"), keys).alias("key"), "src", "dst", _block(F.col("dst"), parts).alias("other"))
+        packed = rows.repartition(parts, "key").groupBy("key").applyInArrow(_packer(keys), PACKED)
+        table = write_bucketed(packed, f"{at}/blocks", ["key"], parts, "append" if i else "overwrite")
+    drop_files(spark, f"{at}/inside")
+    return Blocks(ids, table, keys, seed, by, ends)
 
 
 def _packer(keys: list[int]):
@@ -120,7 +143,7 @@ def _packer(keys: list[int]):
         nodes, own = np.unique(own, return_inverse=True)
         me = {"key": key[0].as_py(), "block": place[key[0].as_py()]}
         rows = [{**me, "other": OWN, "nodes": nodes.tobytes(), "degree": np.bincount(own).astype(np.int32).tobytes()}]
-        order = np.argsort(other, kind="stable")
+        order = np.lexsort((far, own, other))
         found, starts = np.unique(other[order], return_index=True)
         for j, at in zip(found.tolist(), np.split(order, starts[1:])):
             mine, u = np.unique(own[at], return_inverse=True)
@@ -132,12 +155,16 @@ def _packer(keys: list[int]):
             arrays = {
                 "out_src": mine[u[summed]], "out_rank": out_rank, "send": mine[np.unique(u[~summed])],
                 "in_push": mine[np.unique(u[~fetched])], "in_dst": mine[u[fetched]], "in_rank": in_rank}
-            rows.append({**me, "other": j, "out_n": len(targets), **{c: a.astype(np.int32).tobytes() for c, a in arrays.items()}})
+            rows.append({**me, "other": j, "out_n": len(targets), **{c: _coded(c, a) for c, a in arrays.items()}})
         return pa.Table.from_pylist(rows, schema=_schema(PACKED))
 
     return pack
 
 
+def _coded(name: str, a: np.ndarray) -> bytes:
+    return (np.diff(a, prepend=0) if name in ASCENDING else a).astype(np.int32).tobytes()
+
+
 def _schema(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
     return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
@@ -161,7 +188,8 @@ def _stepper(keys: list[int], step: int, last: int, alpha: float, q: float | Non
         at = {j: i for i, j in enumerate(mine["other"].to_pylist())}
 
         def part(name, j, dtype=np.int32):
-            return _array(mine[name][at[j]], dtype)
+            a = _array(mine[name][at[j]], dtype)
+            return np.cumsum(a, dtype=dtype) if name in ASCENDING else a
 
         nodes = part("nodes", OWN, np.int64)
         x, kept, to, values = np.zeros(len(nodes)), np.zeros(len(nodes)), [], []
@@ -205,8 +233,15 @@ def _stepper(keys: list[int], step: int, last: int, alpha: float, q: float | Non
     return walk
 
 
-def ranks(blocks: Blocks, start: DataFrame, alpha: float, iterations: int, q: float | None) -> DataFrame:
-    """(n, r) of all nodes that the walk reaches from ``start`` (n, w, q); with one ``q`` for all, as a number."""
+def ranks(blocks: Blocks, start: DataFrame, alpha: float, iterations: int, q: float | None, at: str | None = None) -> DataFrame:
+    """(n, r) of all nodes that the walk reaches from ``start`` (n, w, q); with one ``q`` for all, as a number.
+
+    Where links are many, what a step sends is stored below ``at`` until a later
+    step is stored, so disk holds the numbers of a few steps and not of all.
+    The result reads those stored last.
+    """
+    spark, every, before = start.sparkSession, max(1, NUMBERS_KEPT // max(blocks.ends, 1)), None
+    at = at or f"{checkpoint_dir(spark)}/steps/{uuid.uuid4().hex}"
     seeds = start.select(
         _key(F.col("n"), blocks.keys).alias("key"), F.lit(SEED).alias("other"), "n", "w", "q", F.lit(None).cast("binary").alias("values"))
     come = seeds
@@ -214,6 +249,14 @@ def ranks(blocks: Blocks, start: DataFrame, alpha: float, iterations: int, q: fl
         walk = _stepper(blocks.keys, step, iterations, alpha, q)
         met = blocks.packed.groupBy("key").cogroup(come.groupBy("key"))
         come = met.applyInArrow(walk, SENT if step < iterations else "n long, r double")
+        if (step + 1) % every == 0 and step < iterations:
+            to = f"{at}/{step}"
+            with dropping_shuffles(spark):
+                come.write.mode("overwrite").parquet(to)
+            come = spark.read.schema(SENT).parquet(to)
+            if before:
+                drop_files(spark, before)
+            before = to
         if q is None and step < iterations:
             come = come.unionAll(seeds)
     return come

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, materialize
+from ..session import broadcast_if_small, checkpoint_dir, drop_files, dropping_shuffles, materialize, store_table
 from . import blocks as BL
 from .adjacency import LINKS_PER_SALT, adjacency
 from .links import Links, walk_links
@@ -95,11 +97,13 @@ def personalized_pagerank(
 
 def _over_blocks(blocks: BL.Blocks, seeds: DataFrame, alpha: float, iterations: int) -> DataFrame:
     """The same walk with packed numbers; seeds without links are told apart before it."""
-    by = blocks.by
+    by, spark = blocks.by, seeds.sparkSession
     start = seeds.where(F.col("weight") > 0).groupBy("id").agg(F.sum("weight").alias("weight"))
     start = start.withColumn("n", BL.id_hash(F.col("id"), blocks.seed)).join(blocks.ids, ["n", "id"])
-    start = materialize(start.join(blocks.linked().withColumn("linked", F.lit(True)), "n", "left").select(
-        "n", *by, "weight", F.coalesce("linked", F.lit(False)).alias("linked")))
+    start = start.join(blocks.linked().withColumn("linked", F.lit(True)), "n", "left").select(
+        "n", *by, "weight", F.coalesce("linked", F.lit(False)).alias("linked"))
+    with dropping_shuffles(spark):
+        start, _ = store_table(start)
     loose = F.coalesce(F.sum(F.when(~F.col("linked"), F.col("weight"))), F.lit(0.0))
     sums = start.groupBy(*by).agg(F.sum("weight").alias("total"), ((1 - alpha) * loose / F.sum("weight")).alias("q"))
     one = None
@@ -111,9 +115,12 @@ def _over_blocks(blocks: BL.Blocks, seeds: DataFrame, alpha: float, iterations:
             return blocks.ids.where(F.lit(False)).select("id", F.lit(0.0).alias("pr"))
         start = start.withColumns({"total": F.lit(one["total"]), "q": F.lit(one["q"])})
     start = materialize(start.select("n", "linked", (F.col("weight") / F.col("total")).alias("w"), "q"))
-    rank = BL.ranks(blocks, start.where("linked").drop("linked"), alpha, iterations, one["q"] if one else None)
+    steps = f"{checkpoint_dir(spark)}/steps/{uuid.uuid4().hex}"
+    rank = BL.ranks(blocks, start.where("linked").drop("linked"), alpha, iterations, one["q"] if one else None, steps)
     back = _teleport(F.col("q"), iterations - 1, alpha) if iterations else F.lit(1.0)
-    rank = materialize(rank.unionAll(start.where("NOT linked").select("n", (F.col("w") * back).alias("r"))))
+    with dropping_shuffles(spark):
+        rank, _ = store_table(rank.unionAll(start.where("NOT linked").select("n", (F.col("w") * back).alias("r"))))
+    drop_files(spark, steps)
     if by:
         placed = materialize(rank.join(blocks.ids, "n").select("id", *by, "r"))
         top = broadcast_if_small(placed.groupBy(*by).agg(F.max("r").alias("top")))

@@ -79,6 +79,24 @@ def store_table(df: DataFrame, *partition_by: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(at), at
 
 
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Each query that runs inside leaves no shuffle files; so later ones read what it wrote, and not its plan."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    now = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, now)
+
+
+def drop_files(spark: SparkSession, at: str) -> None:
+    """Remove what a job wrote at a location and does not read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize_by(df: DataFrame, *keys: str, grouped: bool = False) -> DataFrame:
     """Store ``df`` partitioned and sorted by ``keys``, and let later joins know.
 
