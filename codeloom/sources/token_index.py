@@ -43,21 +43,22 @@ def entries(docs: DataFrame) -> DataFrame:
     it counts once in the document frequency.
     """
     tokens = _indexed(docs).where("id is not null").select("id", *[X.tokenize(F.col(c)).alias(c[0]) for c in ("name", "path", "body")], fingerprint().alias("h"))
-    in_name, in_path = (lambda t: F.array_contains("n", t)), (lambda t: F.array_contains("p", t))
-    fresh = {"name": lambda t: F.lit(True), "path": lambda t: ~in_name(t), "body": lambda t: ~in_name(t) & ~in_path(t)}
 
-    def rows_of(f: str) -> Column:
-        return F.transform(f[0], lambda t: row(t, f, fresh[f](t), none, F.lit(1)))
-
-    def row(token: Column, f: str, is_fresh: Column, h: Column, tf: Column) -> Column:
-        return F.struct(token.alias("token"), F.lit(f).alias("field"), is_fresh.alias("fresh"), h.alias("h"), tf.cast("long").alias("tf"))
-
-    # all rows of a document come from one pass over its text
-    none = F.lit(None).cast("long")
-    length = F.array(row(F.lit(""), "", F.lit(False), F.col("h"), F.size("b")))
-    rows = tokens.select("id", F.explode(F.concat(*map(rows_of, fresh), length)).alias("r")).select("id", "r.*")
+    def part(f: str, found: Column, fresh: bool, tf: Column, h: Column | None = None) -> Column:
+        return F.struct(F.lit(f).alias("field"), F.lit(fresh).alias("fresh"), (F.lit(None) if h is None else h).cast("long").alias("h"),
+                        tf.cast("long").alias("tf"), found.alias("tokens"))
+
+    # all rows of a document come from one pass over its text; which tokens are fresh is told by rows that count nothing
+    one, nothing = F.lit(1), F.lit(0)
+    parts = F.array(
+        part("name", F.col("n"), True, one), part("path", F.col("p"), False, one), part("path", F.array_except("p", "n"), True, nothing),
+        part("body", F.col("b"), False, one), part("body", F.array_except(F.array_except("b", "n"), F.col("p")), True, nothing),
+        part("", F.array(F.lit("")), False, F.size("b"), F.col("h")))
+    rows = tokens.select("id", F.explode(parts).alias("r")).select(
+        "id", "r.field", "r.fresh", "r.h", "r.tf", F.explode("r.tokens").alias("token"))
     sign = F.when(F.col("token") == "", F.count("*")).otherwise(F.lit(1))
-    return rows.groupBy(*KEYS).agg(F.sum("tf").alias("tf"), sign.cast("long").alias("sign"))
+    grouped = rows.groupBy("token", "id", "field", "h").agg(F.max("fresh").alias("fresh"), F.sum("tf").alias("tf"), sign.cast("long").alias("sign"))
+    return grouped.select(*KEYS, "tf", "sign")
 
 
 @dataclass
@@ -84,13 +85,20 @@ class TokenStore:
         read = read if where is None else read.where(where)
         return read if len(self.live) == 1 else self._net(read)
 
+    def _postings(self) -> DataFrame:
+        """The rows of tokens.  They need no sums where later generations only add: then no two have one key."""
+        tokens, later = F.col("token") != "", [n for n, _ in self.live[1:]]
+        if later and self._read("postings", later).where(tokens & (F.col("sign") <= 0)).isEmpty():
+            return self._read("postings").where(tokens)
+        return self.rows(tokens)
+
     def index(self) -> L.TokenIndex:
         one = self._read("totals").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).first()  # two numbers
         frequencies = self._read("frequencies")
         if len(self.live) > 1:
             frequencies = frequencies.groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
         return L.TokenIndex(
-            self.rows(F.col("token") != "").select("id", "field", "token", "tf"),
+            self._postings().select("id", "field", "token", "tf"),
             self.rows(F.col("token") == "").select("id", F.col("tf").alias("body_len")),
             frequencies, one["n"] or 0, (one["length"] or 0) / one["n"] if one["n"] else 0.0)
 
@@ -126,12 +134,21 @@ class TokenStore:
         else:
             ids = broadcast_if_small(ids.select("id").distinct() if ids is not None else self.changed(docs))
             rows = entries(docs.join(ids, "id", "left_semi"))
+        if self.live and self._mostly(ids):
+            # it would be merged with all there is, so what stays is taken over and nothing is subtracted
+            made = f"{name}-merged"
+            stays = self.rows().join(ids, "id", "left_anti").select(*rows.columns)
+            return TokenStore(self.spark, self.at, [(made, self._write(made, rows.union(stays)))])
         if self.live:
             gone = self.rows().join(ids, "id", "left_semi")
             rows = self._net(rows.union(gone.select(*KEYS, -F.col("tf"), -F.col("sign"))))
         live = [*self.live, (name, self._write(name, rows))]
         return TokenStore(self.spark, self.at, live)._merged(name)
 
+    def _mostly(self, ids: DataFrame) -> bool:
+        """Whether a change of ``ids`` is more than half as large as the index."""
+        return 2 * ids.count() > self._read("totals").agg(F.sum("n")).first()[0]
+
     def _merged(self, name: str) -> TokenStore:
         """Merge the newest generations while the one before is of like size."""
         n = 1
